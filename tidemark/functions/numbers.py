@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 # A decimal literal at the start of a text: sign, digits with optional point, exponent.
 NUMBER_PREFIX = r"^\s*([+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?)"
 
+# Relative distance below a rounding tie that still rounds as the tie.
+TIE_TOLERANCE = 3e-16
+
 
 def leading_number(text: Column) -> Column:
     """The number a text starts with; 0 when it starts with none; NULL for NULL."""
@@ -50,10 +53,20 @@ def _all_present(first: Column, *others: Column) -> Column:
     return present
 
 
+def round_half_away(value: Column, digits: int) -> Column:
+    """Decimal rounding, ties away from zero.
+
+    A quotient that should be a tie is often stored just below it; within
+    ``TIE_TOLERANCE`` of its size it still counts as one.
+    """
+    return F.round(value + value * F.lit(TIE_TOLERANCE), digits)
+
+
 def points_by_length(length: Column, points: Sequence[int]) -> Column:
     """Table look-up by 1-based length; the last entry serves all longer lengths."""
     table = F.array(*[F.lit(p) for p in points])
-    return F.get(table, F.least(length, F.lit(len(points))).cast("int") - 1)
+    place = F.when(length > len(points), F.lit(len(points))).otherwise(length.cast("int"))
+    return F.get(table, place - 1)
 
 
 def at_least_band(value: Column, bounds: Sequence[tuple], otherwise) -> Column:

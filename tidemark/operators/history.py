@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from tidemark.functions.numbers import change_ratio, ratio
+from tidemark.functions.numbers import change_ratio, ratio, round_half_away
 
 SIGNALS = ("engagement", "user", "jobs")
 
@@ -61,7 +61,7 @@ def with_signals(rows: DataFrame, keys: list[str]) -> DataFrame:
     def before(name: str) -> Column:
         return F.lag(name).over(order)
 
-    per_user = F.round(ratio(F.col("total_clicks_wo_api"), F.col("active_users")), 2)
+    per_user = round_half_away(ratio(F.col("total_clicks_wo_api"), F.col("active_users")), 2)
     return (
         rows
         .withColumn("clicks_per_user", per_user)
@@ -83,7 +83,7 @@ def with_signals(rows: DataFrame, keys: list[str]) -> DataFrame:
         .withColumns({
             "worst_3m_pct_change": F.min("user_pct_change").over(last_three),
             # the engagement change counts at four digits, the other two as they are
-            "engagement_declining": _negative(F.round("clicks_per_user_change", 4)),
+            "engagement_declining": _negative(round_half_away(F.col("clicks_per_user_change"), 4)),
             "user_declining": _negative(F.col("user_pct_change")),
             "jobs_declining": _negative(F.col("jobs_pct_change")),
         })

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,48 +11,56 @@ from tidemark.plans import accounts, health, snapshots, trends
 from tidemark.rules import STANDARD, Rules
 
 
-def views(raw: DataFrame, as_of: datetime | None = None, rules: Rules = STANDARD,
-          layout: str = "window") -> dict[str, DataFrame]:
-    """Every named view as a lazy frame.  Nothing runs until a view is read."""
-    clean = snapshots.clients_clean(raw)
-    return {
-        "clients_clean": clean,
-        "latest_snapshot": snapshots.latest_snapshot(clean),
-        "previous_snapshot": snapshots.previous_snapshot(clean),
-        "growth_summary": snapshots.growth_summary(clean),
-        "contract_status": snapshots.contract_status(clean, as_of, rules),
-        "at_risk_watchlist": snapshots.at_risk_watchlist(clean, as_of, rules),
-        "start_date": snapshots.start_date(clean),
-        "client_tenure": snapshots.client_tenure(clean, rules),
-        "monthly_usage": trends.monthly_usage(clean, layout),
-        "engagement_penalty_monthly": trends.engagement_penalty_monthly(clean, rules, layout),
-        "user_monthly_penalty": trends.user_monthly_penalty(clean, rules, layout),
-        "user_sharp_decline_penalty": trends.user_sharp_decline_penalty(clean, rules, layout),
-        "jobs_posted_penalty_monthly": trends.jobs_posted_penalty_monthly(clean, rules, layout),
-        "pricing_exposure_monthly": trends.pricing_exposure_monthly(clean),
-        "overall_health_score": health.overall_health_score(clean, rules, layout),
-        "health_penalties": health.health_penalties(clean, rules, layout=layout),
-        "health_score_monthly": health.health_score_monthly(clean, rules, layout=layout),
-        "health_narrative_monthly": health.health_narrative_monthly(clean, rules, layout),
-        "health_score_monthly_enriched":
-            health.health_score_monthly_enriched(clean, rules, layout),
-        "company_overview": accounts.company_overview(clean, rules, layout),
-        "at_risk_next_actions":
-            accounts.at_risk_next_actions(clean, as_of, rules, layout=layout),
-        "onboarding_clients": accounts.onboarding_clients(clean, rules),
-        "engagement_trend": trends.engagement_trend(clean, layout),
-        "user_trend_monthly": trends.user_trend_monthly(clean, layout=layout),
-        "clicks_per_user_trend": trends.clicks_per_user_trend(clean, layout=layout),
-        "user_mom_severity": health.user_mom_severity(clean, rules, layout=layout),
-    }
+# name: (clean rows, as_of, rules, layout) -> frame.  Each view names its own inputs, so
+# the order of the entries does not matter.
+VIEWS: dict[str, Callable[[DataFrame, datetime | None, Rules, str], DataFrame]] = {
+    "clients_clean": lambda c, at, r, lay: c,
+    "latest_snapshot": lambda c, at, r, lay: snapshots.latest_snapshot(c),
+    "previous_snapshot": lambda c, at, r, lay: snapshots.previous_snapshot(c),
+    "growth_summary": lambda c, at, r, lay: snapshots.growth_summary(c),
+    "contract_status": lambda c, at, r, lay: snapshots.contract_status(c, at, r),
+    "at_risk_watchlist": lambda c, at, r, lay: snapshots.at_risk_watchlist(c, at, r),
+    "start_date": lambda c, at, r, lay: snapshots.start_date(c),
+    "client_tenure": lambda c, at, r, lay: snapshots.client_tenure(c, r),
+    "monthly_usage": lambda c, at, r, lay: trends.monthly_usage(c, lay),
+    "engagement_penalty_monthly":
+        lambda c, at, r, lay: trends.engagement_penalty_monthly(c, r, lay),
+    "user_monthly_penalty": lambda c, at, r, lay: trends.user_monthly_penalty(c, r, lay),
+    "user_sharp_decline_penalty":
+        lambda c, at, r, lay: trends.user_sharp_decline_penalty(c, r, lay),
+    "jobs_posted_penalty_monthly":
+        lambda c, at, r, lay: trends.jobs_posted_penalty_monthly(c, r, lay),
+    "pricing_exposure_monthly": lambda c, at, r, lay: trends.pricing_exposure_monthly(c),
+    "overall_health_score": lambda c, at, r, lay: health.overall_health_score(c, r, lay),
+    "health_penalties": lambda c, at, r, lay: health.health_penalties(c, r, layout=lay),
+    "health_score_monthly": lambda c, at, r, lay: health.health_score_monthly(c, r, layout=lay),
+    "health_narrative_monthly":
+        lambda c, at, r, lay: health.health_narrative_monthly(c, r, lay),
+    "health_score_monthly_enriched":
+        lambda c, at, r, lay: health.health_score_monthly_enriched(c, r, lay),
+    "company_overview": lambda c, at, r, lay: accounts.company_overview(c, r, lay),
+    "at_risk_next_actions":
+        lambda c, at, r, lay: accounts.at_risk_next_actions(c, at, r, layout=lay),
+    "onboarding_clients": lambda c, at, r, lay: accounts.onboarding_clients(c, r),
+    "engagement_trend": lambda c, at, r, lay: trends.engagement_trend(c, lay),
+    "user_trend_monthly": lambda c, at, r, lay: trends.user_trend_monthly(c, layout=lay),
+    "clicks_per_user_trend": lambda c, at, r, lay: trends.clicks_per_user_trend(c, layout=lay),
+    "user_mom_severity": lambda c, at, r, lay: health.user_mom_severity(c, r, layout=lay),
+}
+
+
+def view(name: str, raw: DataFrame, as_of: datetime | None = None, rules: Rules = STANDARD,
+         layout: str = "window") -> DataFrame:
+    """One named view over a raw table.  ``as_of`` (default: now) dates the contract rules."""
+    return VIEWS[name](snapshots.clients_clean(raw), as_of, rules, layout)
 
 
 def register_views(raw: DataFrame, as_of: datetime | None = None, rules: Rules = STANDARD,
                    layout: str = "window") -> None:
     """Make the raw table and all views available to SQL text of this session."""
     raw.createOrReplaceTempView("clients_raw")
-    for name, frame in views(raw, as_of, rules, layout).items():
-        frame.createOrReplaceTempView(name)
+    for name in VIEWS:
+        view(name, raw, as_of, rules, layout).createOrReplaceTempView(name)
 
 
 def sql_to_frame(spark: SparkSession, query: str, params: Sequence | None = None) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark import rules as r
 from tidemark.functions.numbers import (
-    at_least_band, at_most_band, points_by_length, strict_greatest, strict_least)
+    at_least_band, at_most_band, points_by_length, round_half_away, strict_greatest,
+    strict_least)
 from tidemark.operators.history import account_timeline
 from tidemark.plans.snapshots import snapshot_months
 from tidemark.plans.trends import (
@@ -132,7 +133,7 @@ def health_score_monthly(clean: DataFrame, rules: Rules = STANDARD, corrected: b
     """Two-signal score; empty where the engagement change is unknown."""
     left = F.lit(100) - F.col("engagement_penalty") - F.col("user_penalty")
     return (health_penalties(clean, rules, corrected, layout)
-            .withColumn("health_score", strict_greatest(F.lit(0.0), F.round(left)))
+            .withColumn("health_score", strict_greatest(F.lit(0.0), round_half_away(left, 0)))
             .select(*VIEW_COLUMNS["health_score_monthly"]))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark import rules as r
 from tidemark.functions.dates import (
     MICROS_PER_DAY, iso_from_parts, lenient_day, micros_until, whole_days)
-from tidemark.functions.numbers import leading_number, ratio
+from tidemark.functions.numbers import leading_number, ratio, round_half_away
 from tidemark.rules import STANDARD, Rules
 from tidemark.schema import CLEAN_COLUMNS, VIEW_COLUMNS
 
@@ -163,7 +163,7 @@ def with_risk_columns(rows: DataFrame, as_of: datetime | None,
                 F.col("first_seen_month"), F.col("snapshot_month"), rules)),
         })
         .withColumns({
-            "fee_per_user": F.round(ratio(F.col("monthly_fee"), F.col("active_users")), 2),
+            "fee_per_user": round_half_away(ratio(F.col("monthly_fee"), F.col("active_users")), 2),
             "client_stage": stage_of(F.col("months_since_start"), rules.risk_onboarding_months),
             "risk_flag": risk_flag_of(F.col("months_since_start"), F.col("days_to_contract_end"),
                                       F.col("user_trend"), rules),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.numbers import points_by_length, ratio
+from tidemark.functions.numbers import points_by_length, ratio, round_half_away
 from tidemark.operators.history import account_timeline
 from tidemark.plans.snapshots import latest_snapshot, size_of
 from tidemark.rules import STANDARD, Rules
@@ -63,7 +63,7 @@ def user_sharp_decline_penalty(clean: DataFrame, rules: Rules = STANDARD,
 
 
 def price_per_user(fee: Column, users: Column) -> Column:
-    return F.round(ratio(fee, users), 2)
+    return round_half_away(ratio(fee, users), 2)
 
 
 def has_pricing(fee: Column) -> Column:
@@ -97,7 +97,7 @@ def user_trend_columns(corrected: bool = False) -> dict[str, Column]:
     return {
         "prev_active_users": previous,
         "users_delta": delta,
-        "users_pct_change": F.round(ratio(delta, previous), 3),
+        "users_pct_change": round_half_away(ratio(delta, previous), 3),
     }
 
 
@@ -114,5 +114,5 @@ def clicks_per_user_trend(clean: DataFrame, ordered: bool = True,
         "company_name", "team_id", "snapshot_month", "clicks_per_user", "prev_clicks_per_user",
         (F.col("clicks_per_user") - F.col("prev_clicks_per_user"))
         .alias("clicks_per_user_delta"),
-        F.round(F.col("clicks_per_user_change") * 100, 2).alias("clicks_per_user_pct_change"))
+        round_half_away(F.col("clicks_per_user_change") * 100, 2).alias("clicks_per_user_pct_change"))
     return rows.orderBy("company_name", "snapshot_month") if ordered else rows
