@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from oracle.views import over_views, rounded
-from tidemark.schema import VIEW_COLUMNS
+from tidemark.rules import MISSING_TEXTS
+from tidemark.schema import RAW_COLUMNS, VIEW_COLUMNS
 
 
 def _columns(view: str, **renamed: str) -> str:
@@ -61,4 +62,161 @@ VIEWS = {
                                user_mom_decline="user_penalty"),
 }
 
-ALL = VIEWS
+_REVIEW = ", ".join(VIEW_COLUMNS["at_risk_next_actions"])
+_AT_RISK = ("select company_name, overall_health_score, health_narrative, company_size, "
+            "monthly_fee, salesperson from actions where overall_health_score <= 40")
+_COMPANIES = ("select distinct team_id, company_name, company_size, region, monthly_fee, "
+              "client_stage, overall_health_score, salesperson from overview")
+_USAGE = ("select u.team_id, u.snapshot_month, u.total_clicks_wo_api, u.active_users, "
+          "u.jobs_posted, u.active_coddlers, s.overall_health_score from usage u "
+          "left join scored s using (team_id, snapshot_month)")
+
+
+def _newest(relation: str, columns: str) -> str:
+    return over_views(
+        f"select {columns} from {relation} qualify row_number() over "
+        "(partition by team_id order by snapshot_month desc) = 1")
+
+
+SERVING = {
+    "load_companies": over_views(_COMPANIES),
+    "load_monthly_usage": over_views(_USAGE),
+    "load_risk_flag": over_views(
+        "select team_id, risk_flag, contract_status, days_to_contract_end, "
+        "latest_contract_end_date from watchlist"),
+    "load_at_risk_clients": over_views(_AT_RISK),
+    "load_clients_to_review": over_views(f"select {_REVIEW} from actions"),
+    "load_health_scores": over_views(
+        "select team_id, snapshot_month, health_score from simple_score"),
+    "load_latest_health_summary": _newest(
+        "scored join narrated using (team_id, snapshot_month)",
+        "team_id, snapshot_month, overall_health_score, health_band, health_narrative"),
+    "load_onboarding_clients": _newest(
+        "onboarding", "team_id, snapshot_month, onboarding_age_band"),
+}
+
+_PICKED_REVIEW = (
+    "health_band in ('Critical', 'Healthy') and company_size in ('medium', 'large') "
+    "and salesperson in ('Rep 1', 'Rep 2', 'Rep 5') and region in ('AFRICA', 'AMERICA')")
+
+
+def _options(relation: str, *dimensions: str) -> str:
+    return over_views(" union all ".join(
+        f"select distinct '{d}' as dimension, {d} as option from ({relation}) "
+        + ("where salesperson is not null" if d == "salesperson" else "") for d in dimensions))
+
+
+def _bands(where: str) -> str:
+    return over_views("select " + ", ".join(
+        f"count(*) filter (health_band = '{band}') as {name}"
+        for band, name in [("Critical", "critical"), ("At Risk", "at_risk"),
+                           ("Watch", "watch"), ("Healthy", "healthy")])
+        + f" from actions {where}")
+
+
+_LAST_USERS = ("select team_id, active_users as latest_users from usage qualify row_number() "
+               "over (partition by team_id order by snapshot_month desc) = 1")
+
+DASHBOARD = {
+    "critical_count": over_views(f"select count(*) as critical_count from ({_AT_RISK})"),
+    "onboarding_count": over_views(
+        "select count(*) as onboarding_count from overview where client_stage = 'Onboarding'"),
+    "growth_opportunity_pct": over_views(
+        "select round_even(count(*) filter (overall_health_score > 70) "
+        "/ cast(nullif(count(*), 0) as double) * 100, 1) as growth_opportunity_pct "
+        "from overview"),
+    "latest_month": over_views("select max(snapshot_month) as latest_month from usage"),
+    "at_risk_sorted": over_views(_AT_RISK),
+    "filter_at_risk": over_views(
+        f"select * from ({_AT_RISK}) where company_size in ('medium', 'large') "
+        "and salesperson in ('Rep 1', 'Rep 2', 'Rep 3', 'Rep 5')"),
+    "filter_clients": over_views(
+        f"select * from ({_COMPANIES}) where company_size in ('medium', 'small') "
+        "and salesperson in ('Rep 0', 'Rep 4', 'Rep 6') "
+        "and region in ('AFRICA', 'ASIA', 'EUROPE')"),
+    "filter_review": over_views(f"select {_REVIEW} from actions where {_PICKED_REVIEW}"),
+    "filter_default_selection": over_views(
+        f"select {_REVIEW} from actions where salesperson is not null"),
+    "filter_options_at_risk": _options(_AT_RISK, "company_size", "salesperson"),
+    "filter_options_clients": _options(_COMPANIES, "company_size", "salesperson", "region"),
+    "filter_options": _options(
+        "select * from actions", "health_band", "company_size", "salesperson", "region"),
+    "band_counts": _bands(""),
+    "band_counts_filtered": _bands(f"where {_PICKED_REVIEW}"),
+    "client_lookup": over_views(
+        "select company_name, min(team_id) as team_id from overview group by company_name"),
+    "prepare_time_series": over_views(
+        f"select u.* replace (cast(snapshot_month as date) as snapshot_month) from ({_USAGE}) u"),
+    "usage_series": over_views(" union all ".join(
+        f"select team_id, snapshot_month, '{c}' as series, cast({c} as bigint) as value "
+        f"from ({_USAGE})" for c in [
+            "total_clicks_wo_api", "jobs_posted", "active_users", "active_coddlers",
+            "overall_health_score"])),
+    "fee_per_latest_user": over_views(
+        "select team_id, round_even(monthly_fee / nullif(latest_users, 0) * 100, 0) / 100 "
+        f"as fee_per_user from overview join ({_LAST_USERS}) using (team_id)"),
+    "latest_users": over_views(_LAST_USERS),
+    "fee_display": over_views(
+        "select team_id, case when monthly_fee is null then 'Unknown' else "
+        "(case when region = 'UK' then '£' else '$' end) "
+        "|| format('{:,}', cast(trunc(monthly_fee) as bigint)) end as fee_display from actions"),
+    "days_display": over_views(
+        "select team_id, coalesce(cast(days_to_contract_end as varchar), "
+        "'Unknown. Please check') as days_display from actions"),
+    "size_display": over_views(
+        "select team_id, upper(company_size[1]) || lower(company_size[2:]) as size_display "
+        "from actions"),
+    "review_table": over_views(
+        "select company_name, salesperson, company_size, region, monthly_fee, "
+        "overall_health_score, health_band, recommended_action, contract_status, "
+        "days_to_contract_end from actions"),
+}
+
+# Field texts that count as missing when they come from a file.
+_MISSING = ", ".join(f"'{t}'" for t in MISSING_TEXTS)
+_FROM_FILES = (
+    "company_name, team_id, total_clicks, total_clicks_wo_api, non_jobs_clicks, "
+    "view_candidates, active_coddlers, "
+    f"case when monthly_fee not in ({_MISSING}) then monthly_fee end as monthly_fee, "
+    "number_candidate_emails, number_contact_emails, salesperson, latest_contract_end_date, "
+    "active_harvester_accounts, active_users, total_resumes, total_jobs, hires_in_past_year")
+_PATH = "'/drop/' || lower(region) || '/' || substr(snapshot_month, 1, 7) || '.csv'"
+_SOURCE = "lower(region) || '/' || substr(snapshot_month, 1, 7) || '.csv'"
+_LOADED = (
+    f"select {_FROM_FILES}, cast(null as integer) as is_test, region, snapshot_month, "
+    f"{_SOURCE} as source_file, '2001-10-15' as load_date, "
+    "cast(null as varchar) as monthly_fee_currency from raw")
+
+INGEST = {
+    "fixture_panel": over_views(f"select {', '.join(RAW_COLUMNS)} from raw"),
+    "ingest_scan": over_views(f"select {_FROM_FILES} from raw"),
+    "ingest_rename": over_views(f"select {_FROM_FILES} from raw"),
+    "ingest_region": over_views(
+        f"select cast(team_id as varchar) as team_id, {_PATH} as path, region from raw"),
+    "ingest_month": over_views(
+        f"select cast(team_id as varchar) as team_id, {_PATH} as path, snapshot_month from raw"),
+    "ingest_lineage": over_views(
+        f"select cast(team_id as varchar) as team_id, {_PATH} as path, {_SOURCE} as source_file, "
+        "'2001-10-15' as load_date, cast(null as integer) as is_test from raw"),
+    "ingest_new_files": over_views(
+        "select snapshot_month, region, min('/again/' || lower(region) || '/' "
+        "|| substr(snapshot_month, 1, 7) || '.csv') as path from raw "
+        "where region <> 'AFRICA' group by 1, 2"),
+    "ingest_idempotent": over_views(
+        f"select * from ({_LOADED}) b where not exists (select 1 from ({_LOADED}) t "
+        "where t.region in ('ASIA', 'EUROPE') and t.region = b.region "
+        "and t.snapshot_month = b.snapshot_month)"),
+    "ingest_append": over_views(_LOADED),
+    "ingest_report": over_views(
+        f"select source_file, count(*) as rows from ({_LOADED}) group by source_file"),
+    "raw_table": over_views(_LOADED),
+    "sql_to_frame": over_views(
+        "select company_name, overall_health_score, health_band, recommended_action "
+        "from actions where overall_health_score <= 60 and region <> 'ASIA'"),
+}
+
+LONG_HISTORY = {f"{name}_blocks": VIEWS[name] for name in [
+    "user_monthly_penalty", "overall_health_score", "health_score_monthly_enriched",
+    "engagement_trend", "at_risk_next_actions"]}
+
+ALL = {**VIEWS, **SERVING, **DASHBOARD, **INGEST, **LONG_HISTORY}

@@ -57,7 +57,8 @@ def _with_lead_in(blocks: DataFrame) -> DataFrame:
     earlier = F.concat(*[F.coalesce(F.lag("tail", n).over(along), nothing)
                          for n in range(LOOK_BACK_ROWS, 0, -1)])
     lead_in = (
-        tail.select("block", F.explode(_last(earlier)).alias("item"))
+        tail.withColumn("earlier", earlier)
+        .select("block", F.explode(_last(F.col("earlier"))).alias("item"))
         .select("item.row.*", "block")
         .withColumn("is_lead_in", F.lit(True))
     )

@@ -24,11 +24,12 @@ def scored_history(clean: DataFrame, rules: Rules = STANDARD,
     A streak counts whole: a month's score can still change while its streak goes on.
     Price per user is today's: that of the account's row in the latest snapshot.
     """
-    in_latest = F.col("last_month") == snapshot_months(clean)["latest"]
+    timeline = account_timeline(clean, layout).withColumn(
+        "in_latest", F.col("last_month") == snapshot_months(clean)["latest"])
     return _scored(
-        account_timeline(clean, layout), "streak",
-        fee=F.when(in_latest, F.col("last_monthly_fee")),
-        users=F.when(in_latest, F.col("last_active_users")), rules=rules)
+        timeline, "streak",
+        fee=F.when(F.col("in_latest"), F.col("last_monthly_fee")),
+        users=F.when(F.col("in_latest"), F.col("last_active_users")), rules=rules)
 
 
 def scored_latest(clean: DataFrame, rules: Rules = STANDARD,

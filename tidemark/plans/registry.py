@@ -5,19 +5,216 @@ The raw table of every query is the panel derived from the tables in ``sf_dir``.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
+from datetime import date
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.plans.catalog import view
-from tidemark.schema import VIEW_COLUMNS
+from tidemark.plans import dashboard, serving
+from tidemark.plans.accounts import at_risk_next_actions
+from tidemark.plans.catalog import VIEWS, register_views, sql_to_frame, view
+from tidemark.plans.snapshots import clients_clean
+from tidemark.rules import HEADER_TO_COLUMN
+from tidemark.schema import RAW_SCHEMA
+from tidemark.sources import csv_files
 from tidemark.sources.panel import AS_OF, panel
+from tidemark.sources.raw_table import append_rows, read_raw_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+LOAD_DATE = date(2001, 10, 15)
+
 
 def _view(name: str, layout: str = "window") -> Query:
     return lambda spark, sf_dir: view(name, panel(spark, sf_dir), AS_OF, layout=layout)
 
 
-QUERIES: dict[str, Query] = {name: _view(name) for name in VIEW_COLUMNS}
+def _on_clean(build: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: build(clients_clean(panel(spark, sf_dir)))
+
+
+def _on_companies(build: Callable[[DataFrame], DataFrame]) -> Query:
+    return _on_clean(lambda clean: build(serving.load_companies(clean)))
+
+
+def _on_usage(build: Callable[[DataFrame], DataFrame]) -> Query:
+    return _on_clean(lambda clean: build(serving.load_monthly_usage(clean)))
+
+
+def _on_at_risk(build: Callable[[DataFrame], DataFrame]) -> Query:
+    return _on_clean(lambda clean: build(serving.load_at_risk_clients(clean, AS_OF)))
+
+
+def _on_review(build: Callable[[DataFrame], DataFrame]) -> Query:
+    return _on_clean(lambda clean: build(serving.load_clients_to_review(clean, AS_OF)))
+
+
+SERVING: dict[str, Query] = {
+    "load_companies": _on_companies(lambda rows: rows),
+    "load_monthly_usage": _on_usage(lambda rows: rows),
+    "load_risk_flag": _on_clean(lambda clean: serving.load_risk_flag(clean, AS_OF)),
+    "load_at_risk_clients": _on_at_risk(lambda rows: rows),
+    "load_clients_to_review": _on_review(lambda rows: rows),
+    "load_health_scores": _on_clean(serving.load_health_scores),
+    "load_latest_health_summary": _on_clean(serving.load_latest_health_summary),
+    "load_onboarding_clients": _on_clean(serving.load_onboarding_clients),
+}
+
+# What a user may pick on each page: two sizes, two regions, some sales people.
+PICKED = {
+    "at_risk": {"company_size": ["medium", "large"],
+                "salesperson": ["Rep 1", "Rep 2", "Rep 3", "Rep 5"]},
+    "clients": {"company_size": ["medium", "small"], "salesperson": ["Rep 0", "Rep 4", "Rep 6"],
+                "region": ["AFRICA", "ASIA", "EUROPE"]},
+    "review": {"health_band": ["Critical", "Healthy"], "company_size": ["medium", "large"],
+               "salesperson": ["Rep 1", "Rep 2", "Rep 5"], "region": ["AFRICA", "AMERICA"]},
+}
+
+
+def _fee_per_latest_user(clean: DataFrame) -> DataFrame:
+    return dashboard.fee_per_latest_user(
+        serving.load_companies(clean), serving.load_monthly_usage(clean))
+
+
+DASHBOARD: dict[str, Query] = {
+    "critical_count": _on_at_risk(dashboard.critical_count),
+    "onboarding_count": _on_companies(dashboard.onboarding_count),
+    "growth_opportunity_pct": _on_companies(dashboard.growth_opportunity_pct),
+    "latest_month": _on_usage(dashboard.latest_month),
+    "at_risk_sorted": _on_at_risk(dashboard.at_risk_sorted),
+    "filter_at_risk": _on_at_risk(
+        lambda rows: dashboard.keep_selected(rows, PICKED["at_risk"])),
+    "filter_clients": _on_companies(
+        lambda rows: dashboard.keep_selected(rows, PICKED["clients"])),
+    "filter_review": _on_review(
+        lambda rows: dashboard.keep_selected(rows, PICKED["review"])),
+    "filter_default_selection": _on_review(dashboard.keep_with_default_selection),
+    "filter_options_at_risk": _on_at_risk(
+        lambda rows: dashboard.filter_options(rows, dashboard.AT_RISK_FILTERS)),
+    "filter_options_clients": _on_companies(
+        lambda rows: dashboard.filter_options(rows, dashboard.CLIENT_FILTERS)),
+    "filter_options": _on_review(
+        lambda rows: dashboard.filter_options(rows, dashboard.REVIEW_FILTERS)),
+    "band_counts": _on_review(dashboard.band_counts),
+    "band_counts_filtered": _on_review(
+        lambda rows: dashboard.band_counts(dashboard.keep_selected(rows, PICKED["review"]))),
+    "client_lookup": _on_companies(dashboard.client_lookup),
+    "prepare_time_series": _on_usage(dashboard.prepare_time_series),
+    "usage_series": _on_usage(dashboard.usage_series),
+    "fee_per_latest_user": _on_clean(_fee_per_latest_user),
+    "latest_users": _on_usage(dashboard.latest_users),
+    "fee_display": _on_review(
+        lambda rows: dashboard.review_display(rows).select("team_id", "fee_display")),
+    "days_display": _on_review(
+        lambda rows: dashboard.review_display(rows).select("team_id", "days_display")),
+    "size_display": _on_review(
+        lambda rows: dashboard.review_display(rows).select("team_id", "size_display")),
+    "review_table": _on_review(dashboard.review_table),
+}
+
+
+# --- ingest: the panel as it would come in files -------------------------------------------
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder where the cluster keeps checkpoints, or a temporary one (local runs)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{base.rstrip('/')}/tidemark-{uuid4().hex}" if base else tempfile.mkdtemp(
+        prefix="tidemark-")
+
+
+def _as_source_texts(rows: DataFrame) -> DataFrame:
+    """Panel rows under the source headers, all text."""
+    return rows.select(*[F.col(c).cast("string").alias(h) for h, c in HEADER_TO_COLUMN.items()],
+                       "region", "snapshot_month")
+
+
+def _as_scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a scan of the panel's files gives: column texts and the path of each row."""
+    rows = panel(spark, sf_dir)
+    path = F.concat(F.lit("/drop/"), F.lower("region"), F.lit("/"),
+                    F.substring("snapshot_month", 1, 7), F.lit(".csv"))
+    return rows.select(*[F.col(c).cast("string").alias(c) for c in HEADER_TO_COLUMN.values()],
+                       path.alias("path"))
+
+
+def _ingest_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/files"
+    (_as_source_texts(panel(spark, sf_dir)).repartition("region", "snapshot_month")
+     .drop("snapshot_month").write.option("header", True).partitionBy("region").csv(folder))
+    paths = [row["path"] for row in csv_files.list_files(spark, folder).collect()]
+    return csv_files.typed_rows(csv_files.scan_files(spark, paths)).drop("path")
+
+
+def _ingest_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = f"{shared_folder(spark)}/clients_raw"
+    append_rows(csv_files.raw_rows(_as_scanned(spark, sf_dir), LOAD_DATE), table)
+    return read_raw_table(spark, table)
+
+
+def _ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = csv_files.raw_rows(_as_scanned(spark, sf_dir), LOAD_DATE)
+    return rows.groupBy("source_file").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def _ingest_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole batch against a table that holds the files of two regions already."""
+    batch = csv_files.raw_rows(_as_scanned(spark, sf_dir), LOAD_DATE)
+    loaded = batch.where(F.col("region").isin("ASIA", "EUROPE"))
+    return csv_files.only_new(batch, loaded)
+
+
+def _ingest_new_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files to load when each lies in two folders and one region is loaded already."""
+    once = _as_scanned(spark, sf_dir).select("path").distinct()
+    twice = once.select(F.explode(F.array(
+        "path", F.replace("path", F.lit("/drop/"), F.lit("/again/")))).alias("path"))
+    files = csv_files.with_file_keys(twice)
+    return csv_files.new_files(files, files.where(F.col("region") == "AFRICA"))
+
+
+def _lineage(*columns: str) -> Query:
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = csv_files.with_lineage(_as_scanned(spark, sf_dir), F.col("path"), LOAD_DATE)
+        return rows.select("team_id", "path", *columns)
+    return build
+
+
+def _sql_to_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register_views(panel(spark, sf_dir), AS_OF)
+    return sql_to_frame(
+        spark, "select company_name, overall_health_score, health_band, recommended_action "
+        "from at_risk_next_actions where overall_health_score <= ? and region <> ?",
+        [60, "ASIA"])
+
+
+INGEST: dict[str, Query] = {
+    "fixture_panel": lambda spark, sf_dir: panel(spark, sf_dir),
+    "ingest_scan": _ingest_scan,
+    "ingest_rename": lambda spark, sf_dir: csv_files.typed_rows(
+        _as_scanned(spark, sf_dir)).drop("path"),
+    "ingest_region": _lineage("region"),
+    "ingest_month": _lineage("snapshot_month"),
+    "ingest_lineage": _lineage("source_file", "load_date", "is_test"),
+    "ingest_new_files": _ingest_new_files,
+    "ingest_idempotent": _ingest_idempotent,
+    "ingest_append": _ingest_append,
+    "ingest_report": _ingest_report,
+    "raw_table": lambda spark, sf_dir: _ingest_append(spark, sf_dir).select(*RAW_SCHEMA.names),
+    "sql_to_frame": _sql_to_frame,
+}
+
+# The layout for long histories gives the same rows.
+LONG_HISTORY: dict[str, Query] = {
+    "user_monthly_penalty_blocks": _view("user_monthly_penalty", "blocks"),
+    "overall_health_score_blocks": _view("overall_health_score", "blocks"),
+    "health_score_monthly_enriched_blocks": _view("health_score_monthly_enriched", "blocks"),
+    "engagement_trend_blocks": _view("engagement_trend", "blocks"),
+    "at_risk_next_actions_blocks": _on_clean(
+        lambda clean: at_risk_next_actions(clean, AS_OF, layout="blocks")),
+}
+
+QUERIES: dict[str, Query] = {
+    **{name: _view(name) for name in VIEWS}, **SERVING, **DASHBOARD, **INGEST, **LONG_HISTORY}
