@@ -17,6 +17,16 @@ from tidemark.rules import STANDARD, Rules
 from tidemark.schema import VIEW_COLUMNS
 
 
+def _timeline(clean: DataFrame, layout: str) -> DataFrame:
+    """The account timeline; with long histories, rows without an account id stay outside
+    it.  They carry no penalty, so nothing of theirs is measured along months."""
+    if layout != "blocks":
+        return account_timeline(clean, layout)
+    known = F.col("team_id").isNotNull()
+    return account_timeline(clean.where(known), layout).unionByName(
+        clean.where(~known), allowMissingColumns=True)
+
+
 def scored_history(clean: DataFrame, rules: Rules = STANDARD,
                    layout: str = "window") -> DataFrame:
     """Every clean row with its penalties, score, band and narrative, in one shuffle.
@@ -24,7 +34,7 @@ def scored_history(clean: DataFrame, rules: Rules = STANDARD,
     A streak counts whole: a month's score can still change while its streak goes on.
     Price per user is today's: that of the account's row in the latest snapshot.
     """
-    timeline = account_timeline(clean, layout).withColumn(
+    timeline = _timeline(clean, layout).withColumn(
         "in_latest", F.col("last_month") == snapshot_months(clean)["latest"])
     return _scored(
         timeline, "streak",
@@ -39,7 +49,7 @@ def scored_latest(clean: DataFrame, rules: Rules = STANDARD,
     The latest row ends its account's history, so the streak up to it is the whole one
     and its own fee is today's: neither needs a look ahead.
     """
-    timeline = account_timeline(clean, layout)
+    timeline = _timeline(clean, layout)
     latest = timeline.where(F.col("snapshot_month") == snapshot_months(clean)["latest"])
     return _scored(latest, "streak_so_far", fee=F.col("monthly_fee"),
                    users=F.col("active_users"), rules=rules)
@@ -120,9 +130,8 @@ def health_penalties(clean: DataFrame, rules: Rules = STANDARD, corrected: bool
     engagement = F.when(delta >= rules.engagement_delta_floor, F.lit(0.0)).otherwise(
         strict_least(F.lit(rules.engagement_delta_cap), F.abs(delta) * 100 * 1.2))
     users = at_most_band(F.when(known, F.col("users_pct_change")), rules.user_change_points, 0)
-    timeline = account_timeline(clean, layout)
     return (
-        timeline.where(F.col("snapshot_month") == snapshot_months(clean)["latest"])
+        _timeline(clean, layout).where(F.col("snapshot_month") == snapshot_months(clean)["latest"])
         .withColumns(user_trend_columns(corrected))
         .withColumns({"engagement_penalty": engagement, "user_penalty": users})
         .select(*VIEW_COLUMNS["health_penalties"])

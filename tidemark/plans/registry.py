@@ -1,6 +1,8 @@
 """Query names and the callables behind them: ``(spark, sf_dir) -> DataFrame``.
 
-The raw table of every query is the panel derived from the tables in ``sf_dir``.
+The raw table of every query is the panel derived from the tables in ``sf_dir``.  Its
+grouping leaves one row per account and month, and it holds 82 months whatever the size of
+the tables, so no history is long: the views run in the ``window`` layout.
 """
 
 from __future__ import annotations
@@ -8,6 +10,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 from datetime import date
+from functools import lru_cache
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,12 +31,18 @@ Query = Callable[[SparkSession, str], DataFrame]
 LOAD_DATE = date(2001, 10, 15)
 
 
+@lru_cache(maxsize=8)
+def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel's plan, built once per session; its rows are computed by every query."""
+    return panel(spark, sf_dir)
+
+
 def _view(name: str, layout: str = "window") -> Query:
-    return lambda spark, sf_dir: view(name, panel(spark, sf_dir), AS_OF, layout=layout)
+    return lambda spark, sf_dir: view(name, _panel(spark, sf_dir), AS_OF, layout=layout)
 
 
 def _on_clean(build: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf_dir: build(clients_clean(panel(spark, sf_dir)))
+    return lambda spark, sf_dir: build(clients_clean(_panel(spark, sf_dir)))
 
 
 def _on_companies(build: Callable[[DataFrame], DataFrame]) -> Query:
@@ -133,7 +142,7 @@ def _as_source_texts(rows: DataFrame) -> DataFrame:
 
 def _as_scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a scan of the panel's files gives: column texts and the path of each row."""
-    rows = panel(spark, sf_dir)
+    rows = _panel(spark, sf_dir)
     path = F.concat(F.lit("/drop/"), F.lower("region"), F.lit("/"),
                     F.substring("snapshot_month", 1, 7), F.lit(".csv"))
     return rows.select(*[F.col(c).cast("string").alias(c) for c in HEADER_TO_COLUMN.values()],
@@ -142,7 +151,7 @@ def _as_scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ingest_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/files"
-    (_as_source_texts(panel(spark, sf_dir)).repartition("region", "snapshot_month")
+    (_as_source_texts(_panel(spark, sf_dir)).repartition("region", "snapshot_month")
      .drop("snapshot_month").write.option("header", True).partitionBy("region").csv(folder))
     paths = [row["path"] for row in csv_files.list_files(spark, folder).collect()]
     return csv_files.typed_rows(csv_files.scan_files(spark, paths)).drop("path")
@@ -183,7 +192,7 @@ def _lineage(*columns: str) -> Query:
 
 
 def _sql_to_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    register_views(panel(spark, sf_dir), AS_OF)
+    register_views(_panel(spark, sf_dir), AS_OF, layout="window")
     return sql_to_frame(
         spark, "select company_name, overall_health_score, health_band, recommended_action "
         "from at_risk_next_actions where overall_health_score <= ? and region <> ?",
@@ -191,7 +200,7 @@ def _sql_to_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 INGEST: dict[str, Query] = {
-    "fixture_panel": lambda spark, sf_dir: panel(spark, sf_dir),
+    "fixture_panel": lambda spark, sf_dir: _panel(spark, sf_dir),
     "ingest_scan": _ingest_scan,
     "ingest_rename": lambda spark, sf_dir: csv_files.typed_rows(
         _as_scanned(spark, sf_dir)).drop("path"),

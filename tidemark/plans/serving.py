@@ -11,11 +11,10 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.plans.accounts import at_risk_next_actions, company_overview, onboarding_clients
 from tidemark.plans.health import health_score_monthly, scored_history
-from tidemark.plans.snapshots import at_risk_watchlist
+from tidemark.plans.snapshots import at_risk_watchlist, snapshot_months
 from tidemark.rules import STANDARD, Rules
 
 
@@ -23,13 +22,6 @@ def _of_account(rows: DataFrame, team_id: int | None) -> DataFrame:
     return rows if team_id is None else rows.where(F.col("team_id") == team_id)
 
 
-def _newest_per_account(rows: DataFrame) -> DataFrame:
-    newest = Window.partitionBy("team_id").orderBy(F.desc("snapshot_month"))
-    return (rows.where(F.col("team_id").isNotNull())
-            .withColumn("age_rank", F.row_number().over(newest))
-            .where(F.col("age_rank") == 1).drop("age_rank"))
-
-
 def load_companies(clean: DataFrame, rules: Rules = STANDARD) -> DataFrame:
     return (company_overview(clean, rules)
             .select("team_id", "company_name", "company_size", "region", "monthly_fee",
@@ -88,15 +80,22 @@ def load_health_scores(clean: DataFrame, team_id: int | None = None,
 
 def load_latest_health_summary(clean: DataFrame, team_id: int | None = None,
                                rules: Rules = STANDARD) -> DataFrame:
-    """Newest score, band and narrative of each account, gone accounts included."""
+    """Newest score, band and narrative of each account, gone accounts included.
+
+    The timeline already counts an account's rows from the newest one.
+    """
     rows = _of_account(scored_history(clean, rules), team_id)
-    return _newest_per_account(rows.select(
-        "team_id", "snapshot_month", "overall_health_score", "health_band",
-        "health_narrative"))
+    return (rows.where(F.col("team_id").isNotNull() & (F.col("rows_from_here") == 1))
+            .select("team_id", "snapshot_month", "overall_health_score", "health_band",
+                    "health_narrative"))
 
 
 def load_onboarding_clients(clean: DataFrame, team_id: int | None = None,
                             rules: Rules = STANDARD) -> DataFrame:
-    """Newest month and age band of each onboarding account."""
+    """Newest month and age band of each onboarding account.
+
+    Such an account is in the latest snapshot, so its newest row lies there.
+    """
     rows = _of_account(onboarding_clients(clean, rules), team_id)
-    return _newest_per_account(rows.select("team_id", "snapshot_month", "onboarding_age_band"))
+    return (rows.where(F.col("snapshot_month") == snapshot_months(clean)["latest"])
+            .select("team_id", "snapshot_month", "onboarding_age_band"))
