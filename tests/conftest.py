@@ -1,19 +1,21 @@
 from __future__ import annotations
 
 import pytest
-from pyspark.sql import SparkSession
 
 from tidemark.schema import RAW_SCHEMA
+from tidemark.session import session_builder
 
 
 @pytest.fixture(scope="session")
 def spark():
     session = (
-        SparkSession.builder.master("local[4]").appName("tidemark-tests")
+        session_builder("tidemark-tests").master("local[4]")
         .config("spark.sql.shuffle.partitions", "2")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "4g")
+        # tiny inputs: compiling code costs more than it saves
+        .config("spark.sql.codegen.wholeStage", "false")
         # results must not depend on the session's zone
         .config("spark.sql.session.timeZone", "America/New_York")
         .getOrCreate())

@@ -66,7 +66,11 @@ def at_risk_next_actions(clean: DataFrame, as_of: datetime | None = None,
         .withColumn("recommended_action", recommended_action(rules))
         .select(*VIEW_COLUMNS["at_risk_next_actions"])
     )
-    return rows.orderBy("overall_health_score", "company_size") if ordered else rows
+    if not ordered:
+        return rows
+    # A global sort samples its input first.  With the few result rows exchanged before it,
+    # the sample comes from them and not from a second run of the windows.
+    return rows.repartition("team_id").orderBy("overall_health_score", "company_size")
 
 
 def onboarding_clients(clean: DataFrame, rules: Rules = STANDARD) -> DataFrame:
