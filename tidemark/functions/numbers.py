@@ -15,9 +15,14 @@ TIE_TOLERANCE = 3e-16
 
 
 def leading_number(text: Column) -> Column:
-    """The number a text starts with; 0 when it starts with none; NULL for NULL."""
+    """The number a text starts with; 0 when it starts with none; NULL for NULL.
+
+    Plain digits with a point, nearly all texts, are cast without a pattern match.
+    """
+    plain = (text != "") & (F.translate(text, "0123456789.", "") == "")
     prefix = F.nullif(F.regexp_extract(text, NUMBER_PREFIX, 1), F.lit(""))
-    return F.coalesce(prefix.try_cast("double"), F.when(text.isNotNull(), F.lit(0.0)))
+    return F.coalesce(F.when(plain, text.try_cast("double")), prefix.try_cast("double"),
+                      F.when(text.isNotNull(), F.lit(0.0)))
 
 
 def whole_number(text: Column) -> Column:

@@ -12,7 +12,7 @@ from tidemark.functions.dates import lenient_day
 from tidemark.functions.numbers import below_band
 from tidemark.plans.health import scored_latest
 from tidemark.plans.snapshots import (
-    latest_snapshot, months_between_texts, size_of, snapshot_months, stage_of, start_date,
+    latest_snapshot, months_between_texts, snapshot_months, stage_of, start_date,
     with_risk_columns)
 from tidemark.rules import STANDARD, Rules
 from tidemark.schema import VIEW_COLUMNS
@@ -25,7 +25,6 @@ def company_overview(clean: DataFrame, rules: Rules = STANDARD,
     return (
         scored_latest(clean, rules, layout)
         .withColumns({
-            "company_size": size_of(F.col("active_users")),
             "months_since_start": F.when(known, months),
             "overall_health_score": F.when(known, F.col("overall_health_score")),
         })
@@ -52,25 +51,18 @@ def at_risk_next_actions(clean: DataFrame, as_of: datetime | None = None,
                          layout: str = "window") -> DataFrame:
     """Established accounts of the latest snapshot with score, risk and next action.
 
-    All inputs come from the account's own timeline: the row before the latest one is in
-    the previous snapshot exactly when its month is that snapshot's month.
+    The account's row before the latest one is in the previous snapshot exactly when its
+    month is that snapshot's month, so the user trend needs no further join.
+    ``ordered=False`` saves the global sort where the order does not matter.
     """
     in_previous = F.col("prev_month") == snapshot_months(clean)["previous"]
-    rows = scored_latest(clean, rules, layout).withColumns({
-        "users_before": F.when(in_previous, F.col("prev_active_users")),
-        "company_size": size_of(F.col("active_users")),
-    })
-    rows = (
-        with_risk_columns(rows, as_of, rules)
-        .where(F.col("months_since_start") >= rules.risk_onboarding_months)
-        .withColumn("recommended_action", recommended_action(rules))
-        .select(*VIEW_COLUMNS["at_risk_next_actions"])
-    )
-    if not ordered:
-        return rows
-    # A global sort samples its input first.  With the few result rows exchanged before it,
-    # the sample comes from them and not from a second run of the windows.
-    return rows.repartition("team_id").orderBy("overall_health_score", "company_size")
+    rows = scored_latest(clean, rules, layout).withColumn(
+        "users_before", F.when(in_previous, F.col("prev_active_users")))
+    rows = with_risk_columns(rows, as_of, rules).where(
+        F.col("months_since_start") >= rules.risk_onboarding_months)
+    rows = (rows.withColumn("recommended_action", recommended_action(rules))
+            .select(*VIEW_COLUMNS["at_risk_next_actions"]))
+    return rows.orderBy("overall_health_score", "company_size") if ordered else rows
 
 
 def onboarding_clients(clean: DataFrame, rules: Rules = STANDARD) -> DataFrame:

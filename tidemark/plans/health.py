@@ -10,7 +10,7 @@ from tidemark.functions.numbers import (
     at_least_band, at_most_band, points_by_length, round_half_away, strict_greatest,
     strict_least)
 from tidemark.operators.history import account_timeline
-from tidemark.plans.snapshots import snapshot_months
+from tidemark.plans.snapshots import latest_snapshot, snapshot_months
 from tidemark.plans.trends import (
     has_pricing, is_sharp_decline, price_per_user, user_trend_columns)
 from tidemark.rules import STANDARD, Rules
@@ -42,17 +42,34 @@ def scored_history(clean: DataFrame, rules: Rules = STANDARD,
         users=F.when(F.col("in_latest"), F.col("last_active_users")), rules=rules)
 
 
+# What the latest row of an account needs from the months before it.
+_LATEST_SIGNALS = [
+    "first_seen_month", "prev_month", "prev_active_users", "engagement_delta",
+    "worst_3m_pct_change", "engagement_streak_so_far", "user_streak_so_far",
+    "jobs_streak_so_far"]
+
+
+def latest_with_signals(clean: DataFrame, layout: str = "window") -> DataFrame:
+    """The latest snapshot, each account with its signals of that month.
+
+    Only the few numbers behind the signals go through the shuffle of the full history;
+    names, fees and dates come from a scan of the one month and join on the account.
+    """
+    history = account_timeline(clean.where(F.col("team_id").isNotNull()), layout)
+    signals = (history.where(F.col("snapshot_month") == snapshot_months(clean)["latest"])
+               .select("team_id", *_LATEST_SIGNALS))
+    return latest_snapshot(clean).join(signals, "team_id", "left")
+
+
 def scored_latest(clean: DataFrame, rules: Rules = STANDARD,
                   layout: str = "window") -> DataFrame:
-    """The latest snapshot's rows of ``scored_history``.
+    """The latest snapshot's rows of ``scored_history``, with size and signals.
 
     The latest row ends its account's history, so the streak up to it is the whole one
     and its own fee is today's: neither needs a look ahead.
     """
-    timeline = _timeline(clean, layout)
-    latest = timeline.where(F.col("snapshot_month") == snapshot_months(clean)["latest"])
-    return _scored(latest, "streak_so_far", fee=F.col("monthly_fee"),
-                   users=F.col("active_users"), rules=rules)
+    return _scored(latest_with_signals(clean, layout), "streak_so_far",
+                   fee=F.col("monthly_fee"), users=F.col("active_users"), rules=rules)
 
 
 def _scored(timeline: DataFrame, streak: str, fee: Column, users: Column,
@@ -125,13 +142,12 @@ def health_score_monthly_enriched(clean: DataFrame, rules: Rules = STANDARD,
 def health_penalties(clean: DataFrame, rules: Rules = STANDARD, corrected: bool = False,
                      layout: str = "window") -> DataFrame:
     """Two-signal penalties of the latest snapshot."""
-    known = F.col("team_id").isNotNull()
-    delta = F.when(known, F.col("engagement_delta"))
+    delta = F.col("engagement_delta")
     engagement = F.when(delta >= rules.engagement_delta_floor, F.lit(0.0)).otherwise(
         strict_least(F.lit(rules.engagement_delta_cap), F.abs(delta) * 100 * 1.2))
-    users = at_most_band(F.when(known, F.col("users_pct_change")), rules.user_change_points, 0)
+    users = at_most_band(F.col("users_pct_change"), rules.user_change_points, 0)
     return (
-        _timeline(clean, layout).where(F.col("snapshot_month") == snapshot_months(clean)["latest"])
+        latest_with_signals(clean, layout)
         .withColumns(user_trend_columns(corrected))
         .withColumns({"engagement_penalty": engagement, "user_penalty": users})
         .select(*VIEW_COLUMNS["health_penalties"])

@@ -21,11 +21,12 @@ def clients_clean(raw: DataFrame, month_first: bool = True) -> DataFrame:
     Contract dates are read month first; ``month_first=False`` reads them day first.
     """
     month_at, day_at = (1, 4) if month_first else (4, 1)
-    fee = leading_number(F.replace(F.col("monthly_fee").cast("string"), F.lit(","), F.lit("")))
+    without_commas = F.replace(F.col("monthly_fee").cast("string"), F.lit(","), F.lit(""))
     end = iso_from_parts(F.col("latest_contract_end_date"), month_at, day_at, year_at=7)
     return (
         raw.where(F.coalesce(F.col("is_test"), F.lit(0)) == 0)
-        .withColumns({"monthly_fee": fee, "latest_contract_end_date": end})
+        .withColumns({"monthly_fee": without_commas, "latest_contract_end_date": end})
+        .withColumn("monthly_fee", leading_number(F.col("monthly_fee")))
         .select(*CLEAN_COLUMNS)
     )
 
