@@ -136,8 +136,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 def _as_source_texts(rows: DataFrame) -> DataFrame:
     """Panel rows under the source headers, all text."""
-    return rows.select(*[F.col(c).cast("string").alias(h) for h, c in HEADER_TO_COLUMN.items()],
-                       "region", "snapshot_month")
+    return rows.select(*[F.col(c).cast("string").alias(h) for h, c in HEADER_TO_COLUMN.items()])
 
 
 def _as_scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,9 +149,10 @@ def _as_scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ingest_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_folder(spark)}/files"
-    (_as_source_texts(_panel(spark, sf_dir)).repartition("region", "snapshot_month")
-     .drop("snapshot_month").write.option("header", True).partitionBy("region").csv(folder))
+    """The whole panel written as CSV part files two folders down, found and read back."""
+    folder = shared_folder(spark)
+    _as_source_texts(_panel(spark, sf_dir)).write.option("header", True).csv(
+        f"{folder}/drop/files")
     paths = [row["path"] for row in csv_files.list_files(spark, folder).collect()]
     return csv_files.typed_rows(csv_files.scan_files(spark, paths)).drop("path")
 
