@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, piecewise, quality, simhash, url_rules
+from tidemark.llm import byte_bpe, langid, permutation_index, piecewise, quality, simhash, url_rules
 from tidemark.llm.common import fold
 
 URL_RULES = [
@@ -46,7 +46,19 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_quality, op4_piecewise, op6_simhash, op7_url_rules)}
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = byte_bpe.Vocabulary.read(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary)
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_language, op2_quality, op4_piecewise, op6_simhash, op7_url_rules, op8_nearest, op10_byte_bpe)}
 
 SQL = {
     "op7_url_rules": """
