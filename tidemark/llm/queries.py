@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, langid, permutation_index, piecewise, quality, simhash, url_rules
+from tidemark.llm import byte_bpe, interpolation, langid, permutation_index, piecewise, quality, simhash, url_rules
 from tidemark.llm.common import fold
 
 URL_RULES = [
@@ -50,6 +50,12 @@ def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_index.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op9_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = interpolation.score(table(spark, sf_dir, "documents"), fold("doc_id", 7) != 2)
+    return found.select(
+        "doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -58,7 +64,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_language, op2_quality, op4_piecewise, op6_simhash, op7_url_rules, op8_nearest, op10_byte_bpe)}
+    op1_language, op2_quality, op4_piecewise, op6_simhash, op7_url_rules, op8_nearest, op9_interpolation, op10_byte_bpe)}
 
 SQL = {
     "op7_url_rules": """
