@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +53,12 @@ def text_batches(batches: Iterator[pa.RecordBatch], size: int = 2 << 20) -> Iter
             start = stop
 
 
+def chunk_numbers() -> Iterator[int]:
+    """Numbers for the chunks that this task makes, unique over all tasks of its stage."""
+    partition = TaskContext.get().partitionId()
+    return iter(range(partition << 12, (partition + 1) << 12))
+
+
 class Places(dict):
     """Numbers keys in the order in which they are first asked for."""
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Places, partitions, text_batches, texts, written
+from tidemark.llm.common import Places, chunk_numbers, partitions, text_batches, texts, written
 from tidemark.llm.packed import least_type, pack, unpack
 
 #: Words of a chunk, and grams of a bucket of the hash range.
@@ -31,10 +31,10 @@ STEPS = 8
 END, START = 0, 1
 CONTEXTS = 64
 
-_CHUNK = ("chunk string, deleted boolean, train_tokens long, deleted_tokens long, train_docs long, deleted_docs long, "
+_CHUNK = ("chunk long, deleted boolean, train_tokens long, deleted_tokens long, train_docs long, deleted_docs long, "
           "bigrams long, doc_id array<long>, body array<binary>")
-_ASK = "level int, bucket int, chunk string, grams binary, train binary, left_out binary"
-_ANSWER = "level int, bucket int, chunk string, counts binary, left_out binary, types long, main_types long"
+_ASK = "level int, bucket int, chunk long, grams binary, train binary, left_out binary"
+_ANSWER = "level int, bucket int, chunk long, counts binary, left_out binary, types long, main_types long"
 _SCORE = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -69,7 +69,7 @@ class _Chunk:
         self.tokens.append(tokens)
         self.size += len(tokens)
 
-    def row(self, deleted: bool) -> pa.RecordBatch:
+    def row(self, name: int, deleted: bool) -> pa.RecordBatch:
         lengths = np.fromiter(map(len, self.tokens), np.uint32, len(self.tokens))
         tokens = np.concatenate(self.tokens)
         roles = np.array(self.roles, np.uint8)
@@ -77,9 +77,8 @@ class _Chunk:
         train, out = int(lengths[roles > 0].sum()), int(lengths[roles == 2].sum())
         bigrams = len(np.unique(_bigram_keys(vocabulary, tokens, lengths)))
         body = [pack(roles), pack(lengths), pack(vocabulary), pack(least_type(tokens))]
-        name = xxhash.xxh128_hexdigest(b"".join(body) + repr(self.ids).encode())
         return pa.RecordBatch.from_arrays(
-            [pa.array([name]), pa.array([deleted]), pa.array([train], pa.int64()), pa.array([out], pa.int64()),
+            [pa.array([name], pa.int64()), pa.array([deleted]), pa.array([train], pa.int64()), pa.array([out], pa.int64()),
              pa.array([int((roles > 0).sum())], pa.int64()), pa.array([int((roles == 2).sum())], pa.int64()), pa.array([bigrams], pa.int64()),
              pa.array([self.ids], pa.list_(pa.int64())), pa.array([body], pa.list_(pa.binary()))],
             ["chunk", "deleted", "train_tokens", "deleted_tokens", "train_docs", "deleted_docs", "bigrams", "doc_id", "body"])
@@ -87,17 +86,17 @@ class _Chunk:
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Left-out texts go to chunks of their own."""
-    open_ = {False: _Chunk(), True: _Chunk()}
+    open_, names = {False: _Chunk(), True: _Chunk()}, chunk_numbers()
     for batch in text_batches(batches):
         for doc_id, role, text in zip(batch.column("doc_id").to_pylist(), batch.column("role").to_pylist(), texts(batch)):
             deleted = role == 2
             open_[deleted].add(doc_id, role, text)
             if open_[deleted].size >= CHUNK:
-                yield open_[deleted].row(deleted)
+                yield open_[deleted].row(next(names), deleted)
                 open_[deleted] = _Chunk()
     for deleted, chunk in open_.items():
         if chunk.size:
-            yield chunk.row(deleted)
+            yield chunk.row(next(names), deleted)
 
 
 def _grams(body: list[bytes], level: int):
@@ -127,7 +126,7 @@ def _ask(buckets: dict[int, int]):
                     rows = [(level, b, chunk, pack(grams[lo:hi], True), pack(least_type(train[lo:hi])), pack(least_type(out[lo:hi])))
                             for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])) if hi > lo]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int32(), pa.string(), *[pa.binary()] * 3))],
+                        [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 3))],
                         ["level", "bucket", "chunk", "grams", "train", "left_out"])
     return work
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, interpolation, langid, permutation_index, piecewise, quality, simhash, url_rules
+from tidemark.llm import byte_bpe, interpolation, langid, line_join, permutation_index, piecewise, quality, simhash, url_rules
 from tidemark.llm.common import fold
 
 URL_RULES = [
@@ -36,6 +36,11 @@ def op4_piecewise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piecewise.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op5_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_join.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
@@ -64,7 +69,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_language, op2_quality, op4_piecewise, op6_simhash, op7_url_rules, op8_nearest, op9_interpolation, op10_byte_bpe)}
+    op1_language, op2_quality, op4_piecewise, op5_line_join, op6_simhash, op7_url_rules, op8_nearest, op9_interpolation, op10_byte_bpe)}
 
 SQL = {
     "op7_url_rules": """
