@@ -305,3 +305,19 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, lang_pred string, score double")
+
+
+def keep(docs: DataFrame, model: Model, share: float) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, in whose text a language has at least ``share`` of the
+    label probabilities. Null texts and those without letters go; without learned labels no others do."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_batches(batches):
+            docs = texts(batch)
+            if model.labels:
+                labels, found = model.label_texts(docs)
+                good = [label != "und" and part >= share for label, part in zip(labels, found)]
+            else:
+                good = [any(map(str.isalpha, t)) for t in docs]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)

@@ -202,3 +202,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 [batch.column("doc_id"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, score double, predicted int")
+
+
+def keep(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text scores ``least`` or more."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_batches(batches):
+            p = model.scores(np.array([features(t) for t in texts(batch)]).reshape(-1, len(FEATURES)))
+            yield batch.filter(pa.array(p >= least))
+
+    return docs.mapInArrow(work, docs.schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, interpolation, langid, line_join, permutation_index, piecewise, quality, simhash, url_rules
+from tidemark.llm import byte_bpe, interpolation, langid, line_join, packing, permutation_index, piecewise, quality, simhash, url_rules
 from tidemark.llm.common import fold
 
 URL_RULES = [
@@ -32,6 +32,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit(table(spark, sf_dir, "documents"))
+
+
 def op4_piecewise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piecewise.edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -69,7 +73,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_language, op2_quality, op4_piecewise, op5_line_join, op6_simhash, op7_url_rules, op8_nearest, op9_interpolation, op10_byte_bpe)}
+    op1_language, op2_quality, op3_packing, op4_piecewise, op5_line_join, op6_simhash, op7_url_rules, op8_nearest, op9_interpolation, op10_byte_bpe)}
 
 SQL = {
     "op7_url_rules": """
