@@ -162,7 +162,8 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     ids = docs.select("doc_id").repartitionByRange(partitions(docs.sparkSession), "doc_id")
-    heads = sorted(r[0] for r in ids.groupBy(F.spark_partition_id()).agg(F.min("doc_id")).collect() if r[0] is not None) or [0]
+    least = ids.groupBy(F.spark_partition_id()).agg(F.min("doc_id").alias("head")).filter("head is not null")
+    heads = sorted(r.head for r in least.collect()) or [0]
     dealt = docs.mapInArrow(_with_heads(heads), "range int, guest boolean, doc_id long, text string")
     dealt = dealt.repartitionById(len(heads), F.col("range")).sortWithinPartitions("range", "guest", F.asc_nulls_first("doc_id"), "text")
     found = dealt.mapInArrow(_pairs, OUT)
