@@ -37,9 +37,11 @@ FREQUENT = 1 << 16
 ROWS = 150_000
 #: A line's number: that of its chunk, then its place there.
 PLACES = 24
+#: Words beyond which a line's bitmap has 256 bits, not 64.
+WIDE = 80
 
 _CHUNK = "chunk long, body binary, twins binary, words binary, counts binary, tokens long, postings long"
-_POSTINGS = "bucket int, chunk long, word binary, line binary, size binary, place binary, bitmap binary"
+_POSTINGS = "bucket int, chunk long, word binary, line binary, size binary, place binary, bitmap binary, wide binary"
 
 
 def _prefix(size: np.ndarray, t: float) -> np.ndarray:
@@ -97,6 +99,23 @@ def _set_hashes(hashes: np.ndarray, word: np.ndarray, start: np.ndarray) -> np.n
     return np.add.reduceat(mixed ^ (mixed >> np.uint64(31)), start) if len(start) else np.zeros(0, np.uint64)
 
 
+def _bitmaps(hashes: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Of each set the parities of its words in 256 bits, as four numbers; those xor-ed are its parities in
+    64. Bits that differ are at most as many as words that only one of two sets has."""
+    bit, part = np.uint64(1) << (hashes & np.uint64(63)), (hashes >> np.uint64(6)) & np.uint64(3)
+    if not len(start):
+        return np.zeros((0, 4), np.uint64)
+    return np.stack([np.bitwise_xor.reduceat(np.where(part == np.uint64(i), bit, np.uint64(0)), start) for i in range(4)], 1)
+
+
+def _folded(bitmaps: np.ndarray) -> np.ndarray:
+    return np.bitwise_xor.reduce(bitmaps, axis=1)
+
+
+def _differing(bitmaps: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(bitmaps[a] ^ bitmaps[b]).sum(1, dtype=np.int64)
+
+
 def _pack_batch(batch: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema) as writer:
@@ -182,7 +201,9 @@ def _postings(frequent: np.ndarray, buckets: int, t: float):
                 if not len(size):
                     continue
                 first = ~np.isin(lines.line[kept], unpack(twins))
-                bitmap = np.bitwise_xor.reduceat(np.uint64(1) << (lines.hashes[word] & np.uint64(63)), start)
+                bitmaps = _bitmaps(lines.hashes[word], start)
+                short = size <= WIDE
+                bitmaps[short, 0], bitmaps[short, 1:] = _folded(bitmaps[short]), 0
                 count = np.where(first, _prefix(size, t), 0)
                 owner = np.repeat(np.arange(len(size)), count)
                 place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
@@ -195,11 +216,11 @@ def _postings(frequent: np.ndarray, buckets: int, t: float):
                     if hi > lo:
                         who = owner[lo:hi]
                         rows.append((b, chunk, pack(key[lo:hi], True), pack(lines.line[kept][who].astype(np.uint32)), pack(least_type(size[who])),
-                                     pack(least_type(place[lo:hi])), pack(bitmap[who])))
+                                     pack(least_type(place[lo:hi])), pack(bitmaps[who, 0]), pack(bitmaps[who[~short[who]], 1:].ravel())))
                 if rows:
-                    kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 5)
+                    kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 6)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["bucket", "chunk", "word", "line", "size", "place", "bitmap"])
+                        [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["bucket", "chunk", "word", "line", "size", "place", "bitmap", "wide"])
     return work
 
 
@@ -224,12 +245,16 @@ def _unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 def _candidates(t: float):
     """Links of the lines of a bucket that share a prefix word and pass all filters, as a star per family."""
     def work(key: tuple, asked: pa.Table) -> pa.Table:
-        parts = {c: [unpack(v) for v in asked.column(c).to_pylist()] for c in ("word", "line", "size", "place", "bitmap")}
+        parts = {c: [unpack(v) for v in asked.column(c).to_pylist()] for c in ("word", "line", "size", "place", "bitmap", "wide")}
         line = np.concatenate([l.astype(np.int64) + (c << PLACES) for l, c in zip(parts["line"], asked.column("chunk").to_pylist())])
-        word, size, place, bitmap = (np.concatenate([v.astype(k) for v in parts[c]]) for c, k in (
-            ("word", np.uint64), ("size", np.int64), ("place", np.int64), ("bitmap", np.uint64)))
+        word, size, place = (np.concatenate([v.astype(k) for v in parts[c]]) for c, k in (
+            ("word", np.uint64), ("size", np.int64), ("place", np.int64)))
+        bitmaps = np.zeros((len(line), 4), np.uint64)
+        bitmaps[:, 0] = np.concatenate(parts["bitmap"])
+        bitmaps[size > WIDE, 1:] = np.concatenate(parts["wide"]).reshape(-1, 3)
         order = np.lexsort((size, word))
-        line, word, size, place, bitmap = line[order], word[order], size[order], place[order], bitmap[order]
+        line, word, size, place, bitmaps = line[order], word[order], size[order], place[order], bitmaps[order]
+        folded = _folded(bitmaps)
         names, node = np.unique(line, return_inverse=True)
         parent = np.arange(len(names))
         a, step = np.arange(len(line) - 1), 1
@@ -242,8 +267,11 @@ def _candidates(t: float):
             apart = node[a] != node[b]
             least = _overlap(size[a], size[b], t)
             most = np.minimum(place[a], place[b]) + np.minimum(size[a] - place[a], size[b] - place[b])
-            differ = np.bitwise_count(bitmap[a] ^ bitmap[b])
-            passed = apart & (most >= least) & (differ <= size[a] + size[b] - 2 * least)
+            spare = size[a] + size[b] - 2 * least
+            passed = np.flatnonzero(apart & (most >= least) & (np.bitwise_count(folded[a] ^ folded[b]) <= spare))
+            wide = np.flatnonzero((size[a[passed]] > WIDE) & (size[b[passed]] > WIDE))
+            far = _differing(bitmaps, a[passed[wide]], b[passed[wide]]) > spare[passed[wide]]
+            passed = np.delete(passed, wide[far])
             _unite(parent, node[a[passed]], node[b[passed]])
             step += 1
         root = _roots(parent, np.arange(len(names)))
@@ -316,7 +344,8 @@ def _verified(t: float):
         start = np.cumsum(size) - size
         mixed = data * np.uint64(0x9E3779B97F4A7C15)
         whole = np.add.reduceat(mixed ^ (mixed >> np.uint64(31)), start)
-        bitmap = np.bitwise_xor.reduceat(np.uint64(1) << (data & np.uint64(63)), start)
+        bitmaps = _bitmaps(data, start)
+        folded = _folded(bitmaps)
         n = len(line)
         head = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         first = np.repeat(head, np.diff(np.r_[head, n]))  # each row's first comparison: the group's first row
@@ -329,9 +358,10 @@ def _verified(t: float):
             other = first[waiting] + step
             a, b = size[waiting], size[other]
             least = _overlap(a, b, t)
-            close = earlier[other] & (np.bitwise_count(bitmap[waiting] ^ bitmap[other]) <= a + b - 2 * least)
+            close = earlier[other] & (np.bitwise_count(folded[waiting] ^ folded[other]) <= a + b - 2 * least)
             match = close & (whole[waiting] == whole[other]) & (a == b)
             check = np.flatnonzero(close & ~match)
+            check = check[_differing(bitmaps, waiting[check], other[check]) <= (a + b - 2 * least)[check]]
             match[check] = _jaccard(waiting[check], other[check], data, start, size) >= t - 1e-9
             removed[waiting[match]] = True
             waiting = waiting[~match]
