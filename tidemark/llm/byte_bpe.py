@@ -23,25 +23,26 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import Places, text_batches, texts
 
 #: Bytes of new words that one query takes, words beyond which and bytes beyond which a task forgets its words.
-SLICE, KEPT_WORDS, KEPT_BYTES = 300_000, 300_000, 32 << 20
+SLICE, KEPT_WORDS, KEPT_BYTES = 300_000, 700_000, 32 << 20
 #: Words of more bytes are contracted at all places of their least pair at once, some rounds per query.
 LONG = 512
 #: Rows that the rounds of one query over long words may add up to.
 LONG_ROWS = 1_500_000
 
 _SHORT = """
-with recursive step(round, word, pos, next_pos, tok) as (
-  select 0, word, pos, pos + 1, tok from start
+with recursive step(round, word, pos, next_pos, tok, next_tok) as (
+  select 0, word, pos, pos + 1, tok, next_tok from start
   union all
-  select p.round + 1, p.word, p.pos, case when p.pos = b.pair.at then b.pair.beyond else p.next_pos end,
-         case when p.pos = b.pair.at then b.merged else p.tok end
+  select p.round + 1, p.word, p.pos, case when p.pos = b.at then b.beyond else p.next_pos end,
+         case when p.pos = b.at then b.merged else p.tok end,
+         case when p.pos = b.at then b.after when p.next_pos = b.at then b.merged else p.next_tok end
   from step p join (
-    select s.word, min(m.merged) as merged,
-           arg_min({'at': s.pos, 'gone': n.pos, 'beyond': n.next_pos}, m.merged * 16777216::bigint + s.pos) as pair
-    from step s join step n on n.word = s.word and n.pos = s.next_pos
-    join merges m on m.lft = s.tok and m.rgt = n.tok
-    group by s.word) b on b.word = p.word
-  where p.pos <> b.pair.gone)
+    select g.word, (c.best >> 40)::integer as merged, ((c.best >> 20) & 1048575)::integer as at,
+           g.pos as gone, g.next_pos as beyond, g.next_tok as after
+    from (select s.word, min((m.merged::bigint << 40) | (s.pos::bigint << 20) | s.next_pos) as best
+          from step s join merges m on m.lft = s.tok and m.rgt = s.next_tok group by s.word) c
+    join step g on g.word = c.word and g.pos = (c.best & 1048575)) b on b.word = p.word
+  where p.pos <> b.gone)
 select word, pos, tok from step qualify round = max(round) over (partition by word)"""
 
 # The same for few long words: where no merge of the new token ranks before it, the pairs of least rank are
@@ -69,8 +70,7 @@ with recursive step(round, word, pos, tok) as (
 select word, pos, tok, round from step qualify round = max(round) over (partition by word)"""
 
 _WORDS = """
-select s.word, count(*) as n, string_agg(s.tok::varchar, ' ' order by s.pos) as ids,
-       string_agg(v.hex, '' order by s.pos) as hex
+select s.word, string_agg(v.id || ' ' || v.hex, ' ' order by s.pos) as tokens
 from ended s join vocabulary v on v.id = s.tok group by s.word order by s.word"""
 
 _DECODE = """
@@ -130,9 +130,12 @@ class Coder:
         word = np.repeat(np.array([i for i, _ in cut], np.int32), lengths)
         place = np.arange(len(data)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         tok = self.single[data]
-        return pa.table({
-            "word": np.r_[word, [i for i, _ in whole]].astype(np.int32), "pos": np.r_[place, [0] * len(whole)].astype(np.int32),
-            "tok": np.r_[tok, [t for _, t in whole]].astype(np.int32)})
+        follower = np.r_[tok[1:], [-1]][:len(tok)]
+        follower[np.cumsum(lengths) - 1] = -1
+        rows = {
+            "word": np.r_[word, [i for i, _ in whole]], "pos": np.r_[place, [0] * len(whole)],
+            "tok": np.r_[tok, [t for _, t in whole]], "next_tok": np.r_[follower, [-1] * len(whole)]}
+        return pa.table({name: column.astype(np.int32) for name, column in rows.items()})
 
     def _settle_long(self, index: int, word: bytes) -> None:
         rows = self._start([(index, word)])
@@ -161,8 +164,9 @@ class Coder:
             for i, w in part:
                 if len(w) > LONG:
                     self._settle_long(i, w)
-            found = self.db.sql(_WORDS).to_arrow_table()
-            out += zip(found.column("n").to_pylist(), found.column("ids").to_pylist(), map(bytes.fromhex, found.column("hex").to_pylist()))
+            for tokens in self.db.sql(_WORDS).to_arrow_table().column("tokens").to_pylist():
+                tokens = tokens.split(" ")
+                out.append((len(tokens) // 2, " ".join(tokens[::2]), bytes.fromhex("".join(tokens[1::2]))))
             at = stop
         return out
 
