@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from oracle.views import over_views, rounded
-from tidemark.rules import MISSING_TEXTS
-from tidemark.schema import RAW_COLUMNS, VIEW_COLUMNS
+from oracle.columns import MISSING_TEXTS, RAW_COLUMNS, VIEW_COLUMNS
+from oracle.views import over_hot_views, over_views, rounded
 
 
 def _columns(view: str, **renamed: str) -> str:
@@ -72,8 +71,8 @@ _USAGE = ("select u.team_id, u.snapshot_month, u.total_clicks_wo_api, u.active_u
           "left join scored s using (team_id, snapshot_month)")
 
 
-def _newest(relation: str, columns: str) -> str:
-    return over_views(
+def _newest(relation: str, columns: str, over=over_views) -> str:
+    return over(
         f"select {columns} from {relation} qualify row_number() over "
         "(partition by team_id order by snapshot_month desc) = 1")
 
@@ -122,8 +121,9 @@ DASHBOARD = {
     "onboarding_count": over_views(
         "select count(*) as onboarding_count from overview where client_stage = 'Onboarding'"),
     "growth_opportunity_pct": over_views(
-        "select round_even(count(*) filter (overall_health_score > 70) "
-        "/ cast(nullif(count(*), 0) as double) * 100, 1) as growth_opportunity_pct "
+        # the formatter rounds the stored double exactly, ties to even
+        "select cast(format('{:.1f}', count(*) filter (overall_health_score > 70) "
+        "/ cast(nullif(count(*), 0) as double) * 100) as double) as growth_opportunity_pct "
         "from overview"),
     "latest_month": over_views("select max(snapshot_month) as latest_month from usage"),
     "at_risk_sorted": over_views(_AT_RISK),
@@ -219,4 +219,43 @@ LONG_HISTORY = {f"{name}_blocks": VIEWS[name] for name in [
     "user_monthly_penalty", "overall_health_score", "health_score_monthly_enriched",
     "engagement_trend", "at_risk_next_actions"]}
 
-ALL = {**VIEWS, **SERVING, **DASHBOARD, **INGEST, **LONG_HISTORY}
+
+
+def _hot(name: str) -> str:
+    normal = VIEWS[name] if name in VIEWS else SERVING[name]
+    return over_hot_views(normal.removeprefix(over_views("")))
+
+
+HOT = {f"{name}_hot": _hot(name) for name in [
+    "monthly_usage", "user_monthly_penalty", "user_sharp_decline_penalty", "overall_health_score",
+    "health_score_monthly_enriched", "at_risk_next_actions"]} | {
+    "load_monthly_usage_hot": over_hot_views(f"select * from ({_USAGE}) where team_id is not null"),
+    "load_latest_health_summary_hot": _newest(
+        "(select * from scored where team_id is not null) join narrated using (team_id, snapshot_month)",
+        "team_id, snapshot_month, overall_health_score, health_band, health_narrative",
+        over_hot_views),
+}
+
+ONE_ACCOUNT = {
+    "latest_month_of_account": over_views(
+        "select max(snapshot_month) as latest_month from usage where team_id = 1"),
+    "load_monthly_usage_of_account": over_views(f"select * from ({_USAGE}) where team_id = 5"),
+    "load_risk_flag_of_account": over_views(
+        "select team_id, risk_flag, contract_status, days_to_contract_end, "
+        "latest_contract_end_date from watchlist where team_id = 5"),
+    "load_health_scores_of_account": over_views(
+        "select team_id, snapshot_month, health_score from simple_score where team_id = 5"),
+    "load_latest_health_summary_of_account": _newest(
+        "(select * from scored where team_id = 5) join narrated using (team_id, snapshot_month)",
+        "team_id, snapshot_month, overall_health_score, health_band, health_narrative"),
+    "user_trend_monthly_corrected": over_views(
+        "select team_id, snapshot_month, active_users, users_1 as prev_active_users, "
+        "active_users - users_1 as users_delta, "
+        + rounded("(active_users - users_1) / nullif(cast(users_1 as double), 0)", 3)
+        + " as users_pct_change from stepped"),
+    "duplicate_keys": over_views(
+        "select team_id % 7 as team_id, snapshot_month, count(*) as rows from raw "
+        "group by 1, 2 having count(*) > 1"),
+}
+
+ALL = {**VIEWS, **SERVING, **DASHBOARD, **INGEST, **LONG_HISTORY, **HOT, **ONE_ACCOUNT}

@@ -26,11 +26,11 @@ def lenient_day(text: str) -> str:
 
 PANEL = """
   panel_m as (
-    select l_suppkey as team_id, date_trunc('month', l_shipdate) as m, count(*) as n,
-           cast(sum(l_quantity) as bigint) as q,
+    select l_suppkey as team_id, m, count(*) as n, cast(sum(l_quantity) as bigint) as q,
            cast(sum(l_quantity * l_linenumber) as bigint) as ql
-    from lineitem where l_shipdate < timestamp '2001-11-01 00:00:00'
-    group by l_suppkey, date_trunc('month', l_shipdate)),
+    from (select *, case when l_shipdate >= timestamp '2001-11-01' then timestamp '2001-10-01'
+                    else date_trunc('month', l_shipdate) end as m from lineitem)
+    group by l_suppkey, m),
   panel_a as (
     select *, (2001*12+10) - (year(m)*12+month(m)) as age from panel_m),
   panel_k as (
@@ -184,9 +184,9 @@ _NUMBERED = f"""
     select a.*, b.active_users as users_1, b.cpu as cpu_1, c.cpu as cpu_2, d.cpu as cpu_3,
            b.seq is not null as has_1
     from numbered a
-      left join numbered b on b.team_id = a.team_id and b.seq = a.seq - 1
-      left join numbered c on c.team_id = a.team_id and c.seq = a.seq - 2
-      left join numbered d on d.team_id = a.team_id and d.seq = a.seq - 3),
+      left join numbered b on b.team_id is not distinct from a.team_id and b.seq = a.seq - 1
+      left join numbered c on c.team_id is not distinct from a.team_id and c.seq = a.seq - 2
+      left join numbered d on d.team_id is not distinct from a.team_id and d.seq = a.seq - 3),
   user_change as (
     select team_id, company_name, snapshot_month, seq, active_users, users_1,
            (active_users - users_1) * 1.0::double / nullif(users_1, 0) as change
@@ -203,7 +203,7 @@ _NUMBERED = f"""
     select a.team_id, a.snapshot_month, a.seq,
            (a.jobs_posted - b.jobs_posted) * 1.0::double / nullif(b.jobs_posted, 0) as change
     from jobs_numbered a left join jobs_numbered b
-      on b.team_id = a.team_id and b.seq = a.seq - 1)"""
+      on b.team_id is not distinct from a.team_id and b.seq = a.seq - 1)"""
 
 
 def _streaks(signal: str, points: str) -> str:
@@ -236,8 +236,8 @@ _SHARP = """
            -- least skips missing values here
            least(a.change, b.change, c.change) as worst
     from user_change a
-      left join user_change b on b.team_id = a.team_id and b.seq = a.seq - 1
-      left join user_change c on c.team_id = a.team_id and c.seq = a.seq - 2),
+      left join user_change b on b.team_id is not distinct from a.team_id and b.seq = a.seq - 1
+      left join user_change c on c.team_id is not distinct from a.team_id and c.seq = a.seq - 2),
   sharp_points as (
     select *, case when worst <= -0.20::double then 1 else 0 end as is_sharp from sharp)"""
 
@@ -303,7 +303,7 @@ _ENGAGEMENT_TREND = """
   engagement as (
     select a.team_id, a.company_name, a.snapshot_month, a.cpu as clicks_per_user,
            a.average as clicks_per_user_3m_avg, a.average - b.average as engagement_delta
-    from averaged a left join averaged b on b.team_id = a.team_id and b.seq = a.seq - 1)"""
+    from averaged a left join averaged b on b.team_id is not distinct from a.team_id and b.seq = a.seq - 1)"""
 
 _USER_TREND = f"""
   user_trend as (
@@ -385,3 +385,26 @@ CHAIN = ",".join([
 def over_views(select: str) -> str:
     """A statement over the chain above."""
     return f"with {CHAIN}\n{select}"
+
+
+# The panel again as the months of account -1, and a third of its accounts without an id.
+_HOT = """
+  placed as (
+    select panel.*, team_id * 100 + (cast(substr(snapshot_month, 1, 4) as int) - 1995) * 12
+                    + cast(substr(snapshot_month, 6, 2) as int) as place from panel),
+  moved as (
+    select * exclude (place) replace (
+             null as is_test,
+             lpad(cast(1000 + place // 12 as varchar), 4, '0') || '-'
+               || lpad(cast(1 + place % 12 as varchar), 2, '0') || '-01' as snapshot_month)
+    from placed),
+  panel_hot as (
+    select * from panel
+    union all by name select * replace (-1 as team_id) from moved
+    union all by name select * replace (null as team_id) from moved where team_id % 3 = 0)"""
+
+
+def over_hot_views(select: str) -> str:
+    """The same over the panel with one long history and many rows without an id."""
+    chain = CHAIN.replace(_RAW, f"{_HOT},{_RAW.replace('from panel', 'from panel_hot')}")
+    return f"with {chain}\n{select}"

@@ -6,9 +6,10 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators.blocks import blocked_timeline
-from tidemark.operators.checks import choose_layout, duplicate_keys, longest_history
-from tidemark.operators.history import account_timeline
+from tidemark.operators.blocks import blocked_timeline, long_accounts, with_blocks
+from tidemark.operators.checks import duplicate_keys, longest_history
+from tidemark.operators.history import ROW_ORDER, Bounds, account_timeline, tie_break
+from tidemark.plans.catalog import view
 
 COLUMNS = ["team_id", "snapshot_month", "jobs_posted", "user_pct_change", "worst_3m_pct_change",
            "user_breaks", "user_streak", "jobs_streak", "user_streak_so_far",
@@ -89,16 +90,47 @@ def test_layouts_have_the_same_columns(spark, raw):
             == Counter(map(tuple, blocks.select(*shared).collect())))
 
 
-def test_layout_by_longest_history(spark, raw):
+def test_long_accounts(spark, raw):
     table = raw(random_accounts(1))
     longest = longest_history(table).first()["rows"]
-    assert choose_layout(table, limit=longest) == "window"
-    assert choose_layout(table, limit=longest - 1) == "blocks"
-    assert choose_layout(raw([])) == "window"
+    assert long_accounts(table, Bounds(longest)).count() == 0
+    assert long_accounts(table, Bounds(longest - 1)).count() > 0
+    assert long_accounts(table, Bounds(longest - 1, accounts=1)).count() == 0  # a fair share
     with pytest.raises(ValueError):
         account_timeline(table, "other")
 
 
+@pytest.mark.parametrize("bounds", [Bounds(50, 7), Bounds(10, 1), "auto"])
+def test_auto_layout_with_copies_and_rows_without_id(spark, raw, bounds):
+    """Rows of one month keep one order, whichever way an account goes."""
+    rng = random.Random(5)
+    rows = random_accounts(4)
+    rows += [{**r, "total_jobs": rng.randint(0, 9)} for r in rng.sample(rows, 60)] + rows[:20]
+    rows += [{**r, "team_id": None} for r in rows[:150]]
+    table = raw(rows)
+    expected = Counter(map(tuple, account_timeline(table).select(*COLUMNS).collect()))
+    for frame in (account_timeline(table, bounds), blocked_timeline(table, 5)):
+        assert Counter(map(tuple, frame.select(*COLUMNS).collect())) == expected
+
+
+def test_blocks_are_bounded_by_rows(spark, raw):
+    rng = random.Random(6)
+    rows = [{"team_id": rng.choice([None, 1]), "snapshot_month": rng.choice(["2025-01-01"] * 5 + ["2025-02-01", None]),
+             "active_users": i} for i in range(4000)]
+    sizes = [r["count"] for r in with_blocks(raw(rows).withColumn(ROW_ORDER, tie_break()), 100).groupBy("team_id", "block").count().collect()]
+    # a month that begins in a block may fill it once more; parts of a month are even by a hash
+    assert sum(sizes) == 4000 and max(sizes) <= 200
+
+
+def test_building_a_view_runs_no_job(spark, raw):
+    table = raw(random_accounts(1)[:5])
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup(None))
+    for name in ("clients_clean", "overall_health_score", "at_risk_next_actions"):
+        view(name, table)
+    assert len(tracker.getJobIdsForGroup(None)) == before
+
+
 def test_duplicate_keys(spark, raw):
     rows = random_accounts(1)
     assert duplicate_keys(raw(rows)).count() == 0

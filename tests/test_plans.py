@@ -47,10 +47,40 @@ def test_account_filter_reaches_the_scan(clean):
     assert re.search(r"PushedFilters: \[[^\]]*EqualTo\(team_id,5\)", text)
 
 
-def test_unused_columns_are_not_read(clean):
+def test_unused_columns_are_not_read(spark, clean):
     from tidemark.plans.trends import user_trend_monthly
-    read = re.search(r"ReadSchema: struct<([^>]*)>", plan(user_trend_monthly(clean))).group(1)
-    assert {c.split(":")[0] for c in read.split(",")} == {"team_id", "is_test", "active_users"}
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    try:
+        text = plan(user_trend_monthly(clean))
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    read = re.search(r"ReadSchema: struct<([^>]*)>", text).group(1)
+    tie_break = {"source_file", "total_clicks_wo_api", "total_jobs"}
+    assert {c.split(":")[0] for c in read.split(",")} == {
+        "team_id", "is_test", "active_users"} | tie_break
+
+
+@pytest.mark.parametrize("name,windows", [
+    ("onboarding_count", 0), ("fee_per_latest_user", 0), ("days_display", 1), ("size_display", 1),
+    ("fee_display", 1)])
+def test_no_score_for_what_does_not_show_it(spark, name, windows):
+    text = plan(QUERIES[name](spark, "/root/testdata/sf0.001"))
+    # the panel's own running sum is one window
+    assert len(re.findall(r"^.*[ -] Window \[", text, re.M)) <= windows + text.count("sum(n")
+    assert "penalty" not in text
+
+
+def test_ordering_does_not_run_the_windows_twice(clean):
+    text = plan(at_risk_next_actions(clean))
+    between = text[text.index("Exchange rangepartitioning"):text.index("Window")]
+    assert "Exchange hashpartitioning(team_id" in between
+
+
+def test_no_window_over_a_long_history(clean):
+    """In the auto layout a history's window takes only accounts that are not long."""
+    text = plan(health.overall_health_score(clean, layout="auto"))
+    assert "LeftAnti" in text and "LeftSemi" in text
+    assert not re.search("Cartesian|NestedLoop", text)
 
 
 @pytest.mark.parametrize("name", ["overall_health_score_blocks", "at_risk_next_actions",

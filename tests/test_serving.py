@@ -48,3 +48,40 @@ def test_counts_of_nothing(clean):
     nobody = serving.load_companies(clean).where("team_id < 0")
     assert dashboard.growth_opportunity_pct(nobody).first()[0] is None
     assert dashboard.onboarding_count(nobody).first()[0] == 0
+
+
+@pytest.mark.parametrize("above,of,expected", [
+    (43, 2000, 2.1), (3, 2000, 0.1), (7, 80, 8.8), (41, 400, 10.2), (0, 3, 0.0), (3, 3, 100.0)])
+def test_growth_share_rounds_the_stored_value(spark, above, of, expected):
+    assert expected == round(above / of * 100, 1)
+    rows = spark.range(of).selectExpr(f"if(id < {above}, 71, 70) as overall_health_score")
+    assert dashboard.growth_opportunity_pct(rows).first()[0] == expected
+
+
+def in_order(rows, *keys, nulls_first=True):
+    """Values of the keys come in order, with nulls at one end."""
+    found = [tuple(((r[k] is None) != nulls_first, r[k] if r[k] is not None else 0) for k in keys) for r in rows]
+    return len(found) > 1 and found == sorted(found)
+
+
+@pytest.fixture(scope="module")
+def uneven(spark, clean):
+    """The clean rows with ties and names and sizes that are missing."""
+    from pyspark.sql import functions as F
+    name = F.when(F.col("team_id") % 4 > 0, F.concat(F.lit("n"), (F.col("team_id") % 3).cast("string")))
+    return clean.withColumns({"company_name": name, "active_users": F.when(F.col("team_id") % 5 > 0, F.col("active_users"))})
+
+
+def test_orders(uneven):
+    from tidemark.plans.accounts import at_risk_next_actions
+    from tidemark.plans.trends import clicks_per_user_trend
+    actions = at_risk_next_actions(uneven, AS_OF)
+    assert in_order(actions.collect(), "overall_health_score", "company_size")
+    assert in_order(clicks_per_user_trend(uneven).collect(), "company_name", "snapshot_month")
+    assert in_order(serving.load_companies(uneven).collect(), "company_name")
+    review = serving.load_clients_to_review(uneven, AS_OF)
+    assert in_order(review.collect(), "overall_health_score", "company_size")
+    assert in_order(dashboard.review_table(review).collect(), "overall_health_score", nulls_first=False)
+    assert in_order(dashboard.at_risk_sorted(review).collect(), "overall_health_score", "company_size", nulls_first=False)
+    one = dashboard.prepare_time_series(serving.load_monthly_usage(uneven).drop("team_id"))
+    assert in_order(one.collect(), "snapshot_month")

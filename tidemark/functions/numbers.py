@@ -101,3 +101,20 @@ def round_scaled(value: Column, digits: int) -> Column:
     """Rounding as numpy does it: scale up, nearest even integer, scale down."""
     scale = F.lit(float(10 ** digits))
     return F.rint(value * scale) / scale
+
+
+def round_exact(value: Column, digits: int) -> Column:
+    """Rounding of a stored double of 0 to 100, ties to even, decided on its exact binary value.
+
+    A double from 1/32 on is a whole number of 2 to the -57; smaller ones only round to 0 in the
+    one or two digits this is for. Splitting off the integer part keeps each half exact.
+    """
+    unit = F.lit(2**57).cast("decimal(18,0)")
+    units = (F.floor(value).cast("decimal(3,0)") * unit
+             + F.floor((value - F.floor(value)) * float(2**57)).cast("decimal(18,0)"))
+    scaled = units * F.lit(10**digits).cast("decimal(3,0)")
+    place = F.floor(scaled / unit).cast("bigint")
+    place = F.when(place.cast("decimal(5,0)") * unit > scaled, place - 1).otherwise(place)
+    rest = (scaled - place.cast("decimal(5,0)") * unit) * 2
+    up = (rest > unit) | ((rest == unit) & (place % 2 == 1))
+    return (place + F.when(up, 1).otherwise(0)).cast("double") / (10**digits)

@@ -1,8 +1,8 @@
 """The account timeline for histories too long for one task.
 
-The history is cut into blocks (by default one calendar year of one account).  Each
-block also gets the last rows before it, so all look-back measures come out inside the
-block.  What crosses blocks (row positions, the nearest streak break, first and newest
+The history is cut into blocks of about equally many rows: whole months, or parts of a
+month that has too many rows itself.  Each block also gets the last rows before it, so all
+look-back measures come out inside the block.  What crosses blocks (row positions, the nearest streak break, first and newest
 month) is carried through a frame with one row per block.  Every step is a plain join,
 aggregate or window; the largest window group is one block, or one account's blocks.
 """
@@ -14,22 +14,57 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.operators.history import (
-    LOOK_BACK_ROWS, SIGNALS, break_position, by_month, is_break, newest_first, up_to_here,
-    with_signals, with_streaks)
+    LOOK_BACK_ROWS, ROW_ORDER, SIGNALS, Bounds, break_position, by_month, is_break, newest_first,
+    tie_break, up_to_here, with_signals, with_streaks)
 
 BLOCK_KEYS = ["team_id", "block"]
 
+# What look-back measures and the order of rows read.
+_WINDOW_COLUMNS = ["snapshot_month", ROW_ORDER, "total_clicks_wo_api", "active_users",
+                   "total_jobs"]
 
-def year_of_month() -> Column:
-    return F.substring("snapshot_month", 1, 4)
 
+# Parts of one month never reach this many.
+_PARTS = 1 << 20
 
-def blocked_timeline(clean: DataFrame, block: Column | None = None) -> DataFrame:
+
+def long_accounts(rows: DataFrame, bounds: Bounds) -> DataFrame:
+    """Ids of the accounts that the ``auto`` layout cuts, from counts made before the shuffle."""
+    counts = rows.groupBy("team_id").agg(F.count(F.lit(1)).alias("rows"))
+    fair = counts.agg((F.sum("rows") / bounds.accounts).alias("fair")).scalar()
+    return counts.where((F.col("rows") > bounds.history_rows) & (F.col("rows") > fair)).select("team_id")
+
+
+def with_blocks(clean: DataFrame, block_rows: int) -> DataFrame:
+    """Rows (with ``ROW_ORDER``) with their ``block``: it grows with the order of rows within an account.
+
+    A month begins in the block that its first row falls into.  A month of more rows than a
+    block is dealt out over parts of its own by the tie-break, a hash, so parts are even
+    unless rows are copies of each other.
+    """
+    months = clean.groupBy("team_id", "snapshot_month").agg(F.count(F.lit(1)).alias("month_rows"))
+    before = Window.partitionBy("team_id").orderBy("snapshot_month").rowsBetween(
+        Window.unboundedPreceding, -1)
+    started = F.floor(F.coalesce(F.sum("month_rows").over(before), F.lit(0)) / block_rows)
+    months = months.select("team_id", "snapshot_month", (started * _PARTS).alias("started"),
+                           F.ceil(F.col("month_rows") / block_rows).alias("parts"))
+    same = (F.col("rows.team_id").eqNullSafe(F.col("months.team_id"))
+            & F.col("rows.snapshot_month").eqNullSafe(F.col("months.snapshot_month")))
+    # the hash as a number from 0 to 1, growing with it
+    share = (F.col(ROW_ORDER).cast("double") + 2.0**63) / 2.0**64
+    part = F.when(F.col("parts") > 1, F.least(F.floor(share * F.col("parts")), F.col("parts") - 1) + 1)
+    return clean.alias("rows").join(months.alias("months"), same).select(
+        "rows.*", (F.col("started") + F.coalesce(part, F.lit(0))).alias("block"))
+
+
+def blocked_timeline(clean: DataFrame, block_rows: int = Bounds.block_rows,
+                     block: Column | None = None) -> DataFrame:
     """Same rows and columns as the one-window timeline.
 
-    ``block`` must not decrease as ``snapshot_month`` grows.
+    A ``block`` given must not decrease in the order of an account's rows.
     """
-    blocks = clean.withColumn("block", year_of_month() if block is None else block)
+    clean = clean.withColumn(ROW_ORDER, tie_break())
+    blocks = with_blocks(clean, block_rows) if block is None else clean.withColumn("block", block)
     rows = with_signals(_with_lead_in(blocks), BLOCK_KEYS).where(~F.col("is_lead_in"))
     rows = _with_local_positions(rows.drop("is_lead_in"))
     carried = _carried_over(_block_summary(rows))
@@ -38,16 +73,17 @@ def blocked_timeline(clean: DataFrame, block: Column | None = None) -> DataFrame
     joined = rows.alias("rows").join(carried.alias("carried"), same_block).select(
         "rows.*", *[F.col(f"carried.{c}") for c in carried.columns if c not in BLOCK_KEYS])
     return with_streaks(_with_global_positions(joined)).drop(
-        "block", *[c for c in carried.columns if c.startswith("carried_")])
+        "block", ROW_ORDER, *[c for c in carried.columns if c.startswith("carried_")])
 
 
 def _with_lead_in(blocks: DataFrame) -> DataFrame:
     """Every block preceded by the account's last rows before it, marked ``is_lead_in``."""
     tail = (
-        blocks
-        .withColumn("from_end", F.row_number().over(newest_first(BLOCK_KEYS)))
+        blocks.select(*BLOCK_KEYS, *_WINDOW_COLUMNS)
+        .withColumn("from_end", F.row_number().over(
+            Window.partitionBy(*BLOCK_KEYS).orderBy(F.desc("snapshot_month"), F.desc(ROW_ORDER))))
         .where(F.col("from_end") <= LOOK_BACK_ROWS)
-        .withColumn("row", F.struct(*[c for c in blocks.columns if c != "block"]))
+        .withColumn("row", F.struct("team_id", *_WINDOW_COLUMNS))
         .groupBy(*BLOCK_KEYS)
         .agg(F.sort_array(F.collect_list(F.struct(-F.col("from_end"), "row"))).alias("tail"))
     )
@@ -62,7 +98,8 @@ def _with_lead_in(blocks: DataFrame) -> DataFrame:
         .select("item.row.*", "block")
         .withColumn("is_lead_in", F.lit(True))
     )
-    return blocks.withColumn("is_lead_in", F.lit(False)).unionByName(lead_in)
+    return blocks.withColumn("is_lead_in", F.lit(False)).unionByName(
+        lead_in, allowMissingColumns=True)
 
 
 def _last(items: Column) -> Column:

@@ -6,15 +6,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# An account with more rows than this does not go through one window group.
-LONG_HISTORY_ROWS = 100_000
-
-
 def duplicate_keys(rows: DataFrame) -> DataFrame:
     """(team_id, snapshot_month) keys with more than one row, and how many.
 
-    The monthly views need unique keys: the order of an account's rows, and so every
-    month-on-month measure, is undefined between rows of the same month.
+    The monthly views want unique keys: between rows of the same month the order, and so
+    every month-on-month measure, follows from a tie-break only.  The load reports these keys.
     """
     return (rows.groupBy("team_id", "snapshot_month")
             .agg(F.count(F.lit(1)).alias("rows"))
@@ -25,9 +21,3 @@ def longest_history(rows: DataFrame) -> DataFrame:
     """One row: the largest number of rows of any account."""
     return (rows.groupBy("team_id").agg(F.count(F.lit(1)).alias("rows"))
             .agg(F.max("rows").alias("rows")))
-
-
-def choose_layout(rows: DataFrame, limit: int = LONG_HISTORY_ROWS) -> str:
-    """Timeline layout for this table.  Runs one small aggregate query."""
-    longest = longest_history(rows).first()["rows"]
-    return "blocks" if longest is not None and longest > limit else "window"

@@ -5,9 +5,12 @@ them all; the views are projections of this frame and Spark drops the window
 columns a view does not use.
 
 An account has one row per month (``operators.checks`` finds violations), so its
-history is bounded by the number of months and one window group is small.  Where
-that does not hold, ``layout="blocks"`` gives the same rows while no task ever
-holds more than one block of one account's history, see ``operators.blocks``.
+history is bounded by the number of months and one window group is small: that is the
+``window`` layout.  ``auto`` does not rely on it: accounts with more rows than a fair task
+takes, and rows without an account id, go through ``operators.blocks``, where no task holds
+more than some rows of a history.  Which rows those are is part of the plan, so building a
+frame runs no job.  Rows of one account and month are in a fixed order (``tie_break``), the
+same in all layouts.
 
 Columns added
     clicks_per_user, prev_month, prev_active_users, prev_clicks_per_user, jobs_posted,
@@ -19,6 +22,8 @@ Columns added
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
@@ -30,23 +35,57 @@ SIGNALS = ("engagement", "user", "jobs")
 # No measure looks further back than this many rows (rolling average of the row before).
 LOOK_BACK_ROWS = 3
 
+# Column that holds the tie-break while a timeline is built: a column, as windows that order
+# by the same columns share a sort.
+ROW_ORDER = "row_order"
+
+
+@dataclass(frozen=True)
+class Bounds:
+    """The ``auto`` layout's limits: an account with more rows than ``history_rows``, and than
+    one in ``accounts`` of all rows, is cut into blocks of about ``block_rows``.
+
+    At most ``accounts`` accounts can be that long, so their ids may be broadcast.
+    """
 
-def account_timeline(clean: DataFrame, layout: str = "window") -> DataFrame:
-    """Clean rows with the timeline columns; ``layout`` is ``window`` or ``blocks``."""
+    history_rows: int = 100_000
+    block_rows: int = 50_000
+    accounts: int = 10_000
+
+
+def account_timeline(clean: DataFrame, layout: str | Bounds = "window") -> DataFrame:
+    """Clean rows with the timeline columns; ``layout`` is ``window``, ``blocks``, ``auto`` or
+    the ``Bounds`` of an ``auto`` layout."""
+    from tidemark.operators.blocks import blocked_timeline, long_accounts
     if layout == "blocks":
-        from tidemark.operators.blocks import blocked_timeline
         return blocked_timeline(clean)
-    if layout != "window":
+    if layout == "window":
+        ordered = clean.withColumn(ROW_ORDER, tie_break())
+        return with_streaks(with_positions(with_signals(ordered, ["team_id"]))).drop(ROW_ORDER)
+    if layout != "auto" and not isinstance(layout, Bounds):
         raise ValueError(f"unknown layout {layout!r}")
-    return with_streaks(with_positions(with_signals(clean, ["team_id"])))
+    bounds = Bounds() if layout == "auto" else layout
+    known = clean.where(F.col("team_id").isNotNull())
+    long = F.broadcast(long_accounts(known, bounds))
+    rest = known.join(long, "team_id", "left_semi").unionByName(
+        clean.where(F.col("team_id").isNull()))
+    return account_timeline(known.join(long, "team_id", "left_anti")).unionByName(
+        blocked_timeline(rest, bounds.block_rows))
+
+
+def tie_break() -> Column:
+    """Order of rows of one account and month: by a hash of where they come from and of what
+    the measures look at.  Rows that agree in all of it are interchangeable."""
+    return F.xxhash64("region", "source_file", "total_clicks_wo_api", "active_users", "total_jobs")
 
 
 def by_month(keys: list[str]) -> WindowSpec:
-    return Window.partitionBy(*keys).orderBy("snapshot_month")
+    return Window.partitionBy(*keys).orderBy("snapshot_month", ROW_ORDER)
 
 
 def newest_first(keys: list[str]) -> WindowSpec:
-    return Window.partitionBy(*keys).orderBy(F.desc("snapshot_month"))
+    """By ``position``, so that copies of a row stand in the same order both ways."""
+    return Window.partitionBy(*keys).orderBy(F.desc("position"))
 
 
 def up_to_here(order: WindowSpec) -> WindowSpec:

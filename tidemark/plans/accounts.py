@@ -53,7 +53,8 @@ def at_risk_next_actions(clean: DataFrame, as_of: datetime | None = None,
 
     The account's row before the latest one is in the previous snapshot exactly when its
     month is that snapshot's month, so the user trend needs no further join.
-    ``ordered=False`` saves the global sort where the order does not matter.
+    ``ordered=False`` saves the global sort where the order does not matter.  The sort
+    samples its input: the exchange before it lets that read shuffled rows, not rerun windows.
     """
     in_previous = F.col("prev_month") == snapshot_months(clean)["previous"]
     rows = scored_latest(clean, rules, layout).withColumn(
@@ -62,7 +63,9 @@ def at_risk_next_actions(clean: DataFrame, as_of: datetime | None = None,
         F.col("months_since_start") >= rules.risk_onboarding_months)
     rows = (rows.withColumn("recommended_action", recommended_action(rules))
             .select(*VIEW_COLUMNS["at_risk_next_actions"]))
-    return rows.orderBy("overall_health_score", "company_size") if ordered else rows
+    if not ordered:
+        return rows
+    return rows.repartition("team_id").orderBy("overall_health_score", "company_size")
 
 
 def onboarding_clients(clean: DataFrame, rules: Rules = STANDARD) -> DataFrame:

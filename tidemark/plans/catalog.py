@@ -7,7 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.operators.checks import choose_layout
+from tidemark.operators.history import Bounds
 from tidemark.plans import accounts, health, snapshots, trends
 from tidemark.rules import STANDARD, Rules
 
@@ -51,29 +51,25 @@ VIEWS: dict[str, Callable[[DataFrame, datetime | None, Rules, str], DataFrame]]
 
 
 def view(name: str, raw: DataFrame, as_of: datetime | None = None, rules: Rules = STANDARD,
-         layout: str = "auto") -> DataFrame:
+         layout: str | Bounds = "auto") -> DataFrame:
     """One named view over a raw table.  ``as_of`` (default: now) dates the contract rules.
 
-    ``layout="auto"`` measures the longest account history first (one small aggregate) and
-    cuts histories into blocks where one would be too long for a task.  Callers that know
-    their histories to be short pass ``window``.
+    ``layout="auto"`` cuts the histories that are too long for a task into blocks.  Callers
+    that know their histories to be short pass ``window`` and save its count of rows.
     """
-    clean = snapshots.clients_clean(raw)
-    return VIEWS[name](clean, as_of, rules, _resolved(layout, clean))
+    return VIEWS[name](snapshots.clients_clean(raw), as_of, rules, layout)
 
 
 def register_views(raw: DataFrame, as_of: datetime | None = None, rules: Rules = STANDARD,
-                   layout: str = "auto") -> None:
-    """Make the raw table and all views available to SQL text of this session."""
+                   layout: str | Bounds = "auto") -> None:
+    """Make the raw table and all views available to SQL text of this session.
+
+    The views show the files that ``raw`` was made from: register again after a load.
+    """
     raw.createOrReplaceTempView("clients_raw")
     clean = snapshots.clients_clean(raw)
-    resolved = _resolved(layout, clean)
     for name, build in VIEWS.items():
-        build(clean, as_of, rules, resolved).createOrReplaceTempView(name)
-
-
-def _resolved(layout: str, clean: DataFrame) -> str:
-    return choose_layout(clean) if layout == "auto" else layout
+        build(clean, as_of, rules, layout).createOrReplaceTempView(name)
 
 
 def sql_to_frame(spark: SparkSession, query: str, params: Sequence | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark import rules as r
 from tidemark.functions.display import capitalised, days_text, fee_text
-from tidemark.functions.numbers import ratio, round_scaled
+from tidemark.functions.numbers import ratio, round_exact, round_scaled
 from tidemark.rules import STANDARD, Rules
 
 # What each page filters on, and the dimension whose missing values are no option.
@@ -23,6 +23,7 @@ CLIENT_FILTERS = ("company_size", "salesperson", "region")
 REVIEW_FILTERS = ("health_band", "company_size", "salesperson", "region")
 OPTIONAL_DIMENSION = "salesperson"
 
+# The measures of the usage page and the columns of the review page.
 SERIES = ("total_clicks_wo_api", "jobs_posted", "active_users", "active_coddlers",
           "overall_health_score")
 
@@ -43,8 +44,8 @@ def onboarding_count(companies: DataFrame) -> DataFrame:
 def growth_opportunity_pct(companies: DataFrame, rules: Rules = STANDARD) -> DataFrame:
     """Share of all accounts with a score above the growth bound; NULL without accounts."""
     above = F.count_if(F.col("overall_health_score") > rules.growth_above)
-    share = ratio(above, F.count(F.lit(1))) * 100
-    return companies.agg(F.bround(share, 1).alias("growth_opportunity_pct"))
+    share = companies.agg((ratio(above, F.count(F.lit(1))) * 100).alias("share"))
+    return share.select(round_exact(F.col("share"), 1).alias("growth_opportunity_pct"))
 
 
 def latest_month(usage: DataFrame, team_id: int | None = None) -> DataFrame:
@@ -54,7 +55,7 @@ def latest_month(usage: DataFrame, team_id: int | None = None) -> DataFrame:
 
 
 def at_risk_sorted(at_risk: DataFrame) -> DataFrame:
-    return at_risk.orderBy(F.asc_nulls_last("overall_health_score"),
+    return at_risk.repartition("company_name").orderBy(F.asc_nulls_last("overall_health_score"),
                            F.asc_nulls_last("company_size"))
 
 
@@ -120,11 +121,11 @@ def latest_users(usage: DataFrame) -> DataFrame:
         F.max_by("active_users", "snapshot_month").alias("latest_users"))
 
 
-def fee_per_latest_user(companies: DataFrame, usage: DataFrame) -> DataFrame:
-    per_user = round_scaled(ratio(F.col("monthly_fee"), F.col("latest_users")), 2)
-    return (companies.select("team_id", "monthly_fee")
-            .join(latest_users(usage), "team_id")
-            .select("team_id", per_user.alias("fee_per_user")))
+def fee_per_latest_user(latest: DataFrame) -> DataFrame:
+    """``latest``: the latest snapshot.  An account there has its newest users in the same row."""
+    per_user = round_scaled(ratio(F.col("monthly_fee"), F.col("active_users")), 2)
+    return (latest.where(F.col("team_id").isNotNull())
+            .select("team_id", per_user.alias("fee_per_user")).distinct())
 
 
 def display_columns() -> dict[str, Column]:
@@ -140,4 +141,5 @@ def review_display(review: DataFrame) -> DataFrame:
 
 
 def review_table(review: DataFrame) -> DataFrame:
-    return review.select(*REVIEW_TABLE).orderBy(F.asc_nulls_last("overall_health_score"))
+    rows = review.select(*REVIEW_TABLE).repartition("company_name")
+    return rows.orderBy(F.asc_nulls_last("overall_health_score"))

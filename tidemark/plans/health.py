@@ -18,10 +18,8 @@ from tidemark.schema import VIEW_COLUMNS
 
 
 def _timeline(clean: DataFrame, layout: str) -> DataFrame:
-    """The account timeline; with long histories, rows without an account id stay outside
-    it.  They carry no penalty, so nothing of theirs is measured along months."""
-    if layout != "blocks":
-        return account_timeline(clean, layout)
+    """The account timeline; rows without an account id stay outside it.  They carry no
+    penalty, so nothing of theirs is measured along months."""
     known = F.col("team_id").isNotNull()
     return account_timeline(clean.where(known), layout).unionByName(
         clean.where(~known), allowMissingColumns=True)

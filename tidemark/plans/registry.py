@@ -2,7 +2,8 @@
 
 The raw table of every query is the panel derived from the tables in ``sf_dir``.  Its
 grouping leaves one row per account and month, and it holds 82 months whatever the size of
-the tables, so no history is long: the views run in the ``window`` layout.
+the tables, so no history is long: these queries run in the ``window`` layout.  The ``_hot``
+ones take a panel with one very long history and many rows without an account id.
 """
 
 from __future__ import annotations
@@ -16,14 +17,17 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.checks import duplicate_keys
+from tidemark.operators.history import Bounds
 from tidemark.plans import dashboard, serving
 from tidemark.plans.accounts import at_risk_next_actions
 from tidemark.plans.catalog import VIEWS, register_views, sql_to_frame, view
-from tidemark.plans.snapshots import clients_clean
-from tidemark.rules import HEADER_TO_COLUMN
+from tidemark.plans.snapshots import clients_clean, latest_snapshot
+from tidemark.plans.trends import user_trend_monthly
+from tidemark.rules import HEADER_TO_COLUMN, STANDARD
 from tidemark.schema import RAW_SCHEMA
 from tidemark.sources import csv_files
-from tidemark.sources.panel import AS_OF, panel
+from tidemark.sources.panel import AS_OF, hot_panel, panel
 from tidemark.sources.raw_table import append_rows, read_raw_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,29 +50,36 @@ def _on_clean(build: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 def _on_companies(build: Callable[[DataFrame], DataFrame]) -> Query:
-    return _on_clean(lambda clean: build(serving.load_companies(clean)))
+    return _on_clean(lambda clean: build(
+        serving.load_companies(clean, ordered=False, layout="window")))
 
 
 def _on_usage(build: Callable[[DataFrame], DataFrame]) -> Query:
-    return _on_clean(lambda clean: build(serving.load_monthly_usage(clean)))
+    return _on_clean(lambda clean: build(serving.load_monthly_usage(clean, layout="window")))
 
 
 def _on_at_risk(build: Callable[[DataFrame], DataFrame]) -> Query:
-    return _on_clean(lambda clean: build(serving.load_at_risk_clients(clean, AS_OF)))
+    return _on_clean(lambda clean: build(
+        serving.load_at_risk_clients(clean, AS_OF, ordered=False, layout="window")))
 
 
 def _on_review(build: Callable[[DataFrame], DataFrame]) -> Query:
-    return _on_clean(lambda clean: build(serving.load_clients_to_review(clean, AS_OF)))
+    return _on_clean(lambda clean: build(
+        serving.load_clients_to_review(clean, AS_OF, ordered=False, layout="window")))
 
 
 SERVING: dict[str, Query] = {
-    "load_companies": _on_companies(lambda rows: rows),
+    "load_companies": _on_clean(lambda clean: serving.load_companies(clean, layout="window")),
     "load_monthly_usage": _on_usage(lambda rows: rows),
     "load_risk_flag": _on_clean(lambda clean: serving.load_risk_flag(clean, AS_OF)),
-    "load_at_risk_clients": _on_at_risk(lambda rows: rows),
-    "load_clients_to_review": _on_review(lambda rows: rows),
-    "load_health_scores": _on_clean(serving.load_health_scores),
-    "load_latest_health_summary": _on_clean(serving.load_latest_health_summary),
+    "load_at_risk_clients": _on_clean(
+        lambda clean: serving.load_at_risk_clients(clean, AS_OF, layout="window")),
+    "load_clients_to_review": _on_clean(
+        lambda clean: serving.load_clients_to_review(clean, AS_OF, layout="window")),
+    "load_health_scores": _on_clean(
+        lambda clean: serving.load_health_scores(clean, layout="window")),
+    "load_latest_health_summary": _on_clean(
+        lambda clean: serving.load_latest_health_summary(clean, layout="window")),
     "load_onboarding_clients": _on_clean(serving.load_onboarding_clients),
 }
 
@@ -83,14 +94,10 @@ PICKED = {
 }
 
 
-def _fee_per_latest_user(clean: DataFrame) -> DataFrame:
-    return dashboard.fee_per_latest_user(
-        serving.load_companies(clean), serving.load_monthly_usage(clean))
-
-
 DASHBOARD: dict[str, Query] = {
     "critical_count": _on_at_risk(dashboard.critical_count),
-    "onboarding_count": _on_companies(dashboard.onboarding_count),
+    "onboarding_count": _on_clean(
+        lambda clean: dashboard.onboarding_count(serving.companies_without_score(clean))),
     "growth_opportunity_pct": _on_companies(dashboard.growth_opportunity_pct),
     "latest_month": _on_usage(dashboard.latest_month),
     "at_risk_sorted": _on_at_risk(dashboard.at_risk_sorted),
@@ -113,7 +120,8 @@ DASHBOARD: dict[str, Query] = {
     "client_lookup": _on_companies(dashboard.client_lookup),
     "prepare_time_series": _on_usage(dashboard.prepare_time_series),
     "usage_series": _on_usage(dashboard.usage_series),
-    "fee_per_latest_user": _on_clean(_fee_per_latest_user),
+    "fee_per_latest_user": _on_clean(
+        lambda clean: dashboard.fee_per_latest_user(latest_snapshot(clean))),
     "latest_users": _on_usage(dashboard.latest_users),
     "fee_display": _on_review(
         lambda rows: dashboard.review_display(rows).select("team_id", "fee_display")),
@@ -225,5 +233,41 @@ LONG_HISTORY: dict[str, Query] = {
         lambda clean: at_risk_next_actions(clean, AS_OF, layout="blocks")),
 }
 
+# Small limits, so that the tables of any size have accounts beyond them.
+HOT_BOUNDS = Bounds(history_rows=200, block_rows=100)
+
+
+def _on_hot(build: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: build(clients_clean(hot_panel(_panel(spark, sf_dir))))
+
+
+HOT: dict[str, Query] = {
+    f"{name}_hot": _on_hot(lambda clean, name=name: VIEWS[name](clean, AS_OF, STANDARD, HOT_BOUNDS))
+    for name in ("monthly_usage", "user_monthly_penalty", "user_sharp_decline_penalty",
+                 "overall_health_score", "health_score_monthly_enriched", "at_risk_next_actions")
+} | {
+    "load_monthly_usage_hot": _on_hot(
+        lambda clean: serving.load_monthly_usage(clean, layout=HOT_BOUNDS)),
+    "load_latest_health_summary_hot": _on_hot(
+        lambda clean: serving.load_latest_health_summary(clean, layout=HOT_BOUNDS)),
+}
+
+ONE_ACCOUNT: dict[str, Query] = {
+    "latest_month_of_account": _on_usage(lambda rows: dashboard.latest_month(rows, team_id=1)),
+    "load_monthly_usage_of_account": _on_clean(
+        lambda clean: serving.load_monthly_usage(clean, 5, layout="window")),
+    "load_risk_flag_of_account": _on_clean(
+        lambda clean: serving.load_risk_flag(clean, AS_OF, 5)),
+    "load_health_scores_of_account": _on_clean(
+        lambda clean: serving.load_health_scores(clean, 5, layout="window")),
+    "load_latest_health_summary_of_account": _on_clean(
+        lambda clean: serving.load_latest_health_summary(clean, 5, layout="window")),
+    "user_trend_monthly_corrected": _on_clean(
+        lambda clean: user_trend_monthly(clean, corrected=True)),
+    "duplicate_keys": lambda spark, sf_dir: duplicate_keys(
+        _panel(spark, sf_dir).withColumn("team_id", F.col("team_id") % 7)),
+}
+
 QUERIES: dict[str, Query] = {
-    **{name: _view(name) for name in VIEWS}, **SERVING, **DASHBOARD, **INGEST, **LONG_HISTORY}
+    **{name: _view(name) for name in VIEWS}, **SERVING, **DASHBOARD, **INGEST, **LONG_HISTORY,
+    **HOT, **ONE_ACCOUNT}

@@ -7,7 +7,7 @@ missing users, unusable fees and dates.
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +16,8 @@ from pyspark.sql.window import Window
 from tidemark.schema import RAW_SCHEMA
 
 AS_OF = datetime(2001, 10, 15)
-END_MONTH = 2001 * 12 + 10  # months counted from year 0; later lines are a ragged tail
+LAST_MONTH = date(2001, 10, 1)  # later lines are a ragged tail and count for this month
+END_MONTH = LAST_MONTH.year * 12 + LAST_MONTH.month  # months counted from year 0
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,9 +29,8 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _monthly_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    month = F.trunc(F.to_date("l_shipdate"), "MM")
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where(
-        "l_shipdate < timestamp_ntz'2001-11-01 00:00:00'")
+    month = F.least(F.trunc(F.to_date("l_shipdate"), "MM"), F.lit(LAST_MONTH))
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     return (
         lines.groupBy(F.col("l_suppkey").alias("team_id"), month.alias("month"))
         .agg(F.count(F.lit(1)).alias("n"),
@@ -74,6 +74,7 @@ def _with_attributes(monthly: DataFrame, spark: SparkSession, sf_dir: str) -> Da
         .select("team_id", "company_name", "region")
     )
     team, age, n, q = F.col("team_id"), F.col("age"), F.col("n"), F.col("q")
+    # absence is what these cases are about, so their months are left out
     late_start = every(10, 3) & (age > F.floor(team / 10).cast("int") % 9)
     gone = every(19, 18) & (age < 1)
     gap = every(23, 22) & (age == 1)
@@ -102,3 +103,16 @@ def _with_attributes(monthly: DataFrame, spark: SparkSession, sf_dir: str) -> Da
             .when(every(17, 15), "31/12/2001").otherwise(end),
         })
     )
+
+
+def hot_panel(rows: DataFrame) -> DataFrame:
+    """The panel, all its rows once more as the months of one account, and one account in three
+    once more without an id.  Both have months of their own, so no two rows share one."""
+    year, month = F.substring("snapshot_month", 1, 4).cast("int"), F.substring("snapshot_month", 6, 2).cast("int")
+    place = F.col("team_id") * 100 + (year - 1995) * 12 + month
+    shifted = F.concat_ws("-", F.lpad((1000 + F.floor(place / 12)).cast("string"), 4, "0"),
+                          F.lpad((1 + place % 12).cast("string"), 2, "0"), F.lit("01"))
+    one = rows.withColumns({"snapshot_month": shifted, "is_test": F.lit(None).cast("int")})
+    return (rows.unionByName(one.withColumn("team_id", F.lit(-1).cast("bigint")))
+            .unionByName(one.where(F.col("team_id") % 3 == 0)
+                         .withColumn("team_id", F.lit(None).cast("bigint"))))
