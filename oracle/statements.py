@@ -206,6 +206,7 @@ INGEST = {
         f"select * from ({_LOADED}) b where not exists (select 1 from ({_LOADED}) t "
         "where t.region in ('ASIA', 'EUROPE') and t.region = b.region "
         "and t.snapshot_month = b.snapshot_month)"),
+    "ingest_load": over_views(_LOADED),
     "ingest_append": over_views(_LOADED),
     "ingest_report": over_views(
         f"select source_file, count(*) as rows from ({_LOADED}) group by source_file"),

@@ -7,13 +7,14 @@ from tidemark.session import session_builder
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = (
         session_builder("tidemark-tests").master("local[4]")
         .config("spark.sql.shuffle.partitions", "2")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "4g")
+        .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
         # tiny inputs: compiling code costs more than it saves
         .config("spark.sql.codegen.wholeStage", "false")
         # results must not depend on the session's zone

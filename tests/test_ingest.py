@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.rules import HEADER_TO_COLUMN
 from tidemark.schema import RAW_SCHEMA
 from tidemark.sources.csv_files import ingest, list_files, scan_files
-from tidemark.sources.raw_table import read_raw_table
+from tidemark.sources.raw_table import append_rows, read_ledger, read_raw_table
 from tidemark.streaming.ingest_stream import start_ingest
 
 DAY = date(2025, 3, 4)
@@ -71,6 +71,71 @@ def test_names_with_blanks_and_signs(spark, tmp_path):
     assert row["load_date"] is not None
 
 
+def test_a_load_that_breaks_off_repeats_itself(spark, drop, tmp_path, monkeypatch):
+    from tidemark.sources import csv_files
+    table = str(tmp_path / "raw")
+
+    def killed(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(csv_files, "add_to_ledger", killed)
+        with pytest.raises(KeyboardInterrupt):
+            ingest(spark, str(drop), table, DAY)
+    part = next((tmp_path / "raw").glob("snapshot_month=2025-01-01/region=UK/part-*"))
+    part.unlink()  # as if the write itself had been cut short
+    assert ingest(spark, str(drop), table, DAY).count() == 3
+    assert read_raw_table(spark, table).count() == 4
+    assert read_ledger(spark, table).agg(F.sum("rows")).first()[0] == 4
+
+
+def test_a_table_without_a_ledger_is_taken_as_loaded(spark, drop, tmp_path):
+    table = str(tmp_path / "raw")
+    ingest(spark, str(drop), table, DAY)
+    older = str(tmp_path / "older")
+    append_rows(read_raw_table(spark, table).where("region = 'UK'"), older)
+    assert [r["region"] for r in ingest(spark, str(drop), older, DAY).collect()] == ["US"]
+    assert read_raw_table(spark, older).count() == 4
+
+
+def test_hidden_names_are_reported_and_glob_characters_read(spark, tmp_path):
+    root = tmp_path / "in"
+    for name in ("a[b]/2025-01.csv", "c{d}/2025-01.csv", "_x/2025-01.csv", "uk/_2025-01.csv", "deep/.y/uk/2025-02.csv"):
+        write(root, name, [{"company_name": "A", "team_id": 1}])
+    report = ingest(spark, str(root), str(tmp_path / "raw"), DAY).collect()
+    assert sorted((r["region"], r["rows"], r["skipped"]) for r in report) == [
+        ("A[B]", 1, False), ("C{D}", 1, False), ("UK", None, True), ("UK", None, True), ("_X", None, True)]
+
+
+def test_what_is_no_whole_number_is_reported(spark, tmp_path):
+    write(tmp_path / "in", "uk/2025-01.csv", [
+        {"team_id": "1", "total_clicks": "1,234", "active_users": "12.7", "total_jobs": "5.0", "monthly_fee": "x"},
+        {"team_id": "1", "total_clicks": "n/a"}, {"team_id": "2"}])
+    row = ingest(spark, str(tmp_path / "in"), str(tmp_path / "raw"), DAY).first()
+    assert (row["rows"], row["rejected"], row["rejected_columns"], row["duplicate_keys"]) == (
+        3, 2, ["active_users", "total_clicks"], 1)
+    with pytest.raises(Exception, match="no whole number in"):
+        ingest(spark, str(tmp_path / "in"), str(tmp_path / "other"), DAY, strict=True)
+
+
+def test_jobs_do_not_grow_with_files(spark, tmp_path):
+    def jobs(n):
+        root = tmp_path / f"in{n}"
+        for i in range(n):
+            write(root, f"r{i}/2025-01.csv", [{"company_name": "A", "team_id": i}])
+        before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+        ingest(spark, str(root), str(tmp_path / f"raw{n}"), DAY)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - before
+    assert jobs(3) == jobs(20)
+
+
+def test_batches_of_files(spark, drop, tmp_path, monkeypatch):
+    from tidemark.sources import csv_files
+    monkeypatch.setattr(csv_files, "FILES_PER_BATCH", 1)
+    assert ingest(spark, str(drop), str(tmp_path / "raw"), DAY).count() == 3
+    assert read_raw_table(spark, str(tmp_path / "raw")).count() == 4
+
+
 def test_missing_header_fails(spark, tmp_path):
     write(tmp_path, "uk/2025-01.csv", [{"team_id": 1}], headers=["Team ID", "Total Clicks"])
     with pytest.raises(ValueError, match="missing columns"):

@@ -8,13 +8,12 @@ ones take a panel with one very long history and many rows without an account id
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from datetime import date
 from functools import lru_cache
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.checks import duplicate_keys
@@ -25,9 +24,9 @@ from tidemark.plans.catalog import VIEWS, register_views, sql_to_frame, view
 from tidemark.plans.snapshots import clients_clean, latest_snapshot
 from tidemark.plans.trends import user_trend_monthly
 from tidemark.rules import HEADER_TO_COLUMN, STANDARD
-from tidemark.schema import RAW_SCHEMA
+from tidemark.schema import RAW_PARTITIONS, RAW_SCHEMA
 from tidemark.sources import csv_files
-from tidemark.sources.panel import AS_OF, hot_panel, panel
+from tidemark.sources.panel import AS_OF, hot_panel, panel, write_csv_files
 from tidemark.sources.raw_table import append_rows, read_raw_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -133,36 +132,44 @@ DASHBOARD: dict[str, Query] = {
 }
 
 
-# --- ingest: the panel as it would come in files -------------------------------------------
+# --- ingest: the panel as it comes in files -------------------------------------------------
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder where the cluster keeps checkpoints, or a temporary one (local runs)."""
+    """A new folder that the cluster shares: below ``spark.checkpoint.dir``, else the warehouse."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/tidemark-{uuid4().hex}" if base else tempfile.mkdtemp(
-        prefix="tidemark-")
+    base = base or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    return f"{base.rstrip('/')}/tidemark-{uuid4().hex}"
 
 
-def _as_source_texts(rows: DataFrame) -> DataFrame:
-    """Panel rows under the source headers, all text."""
-    return rows.select(*[F.col(c).cast("string").alias(h) for h, c in HEADER_TO_COLUMN.items()])
+@lru_cache(maxsize=8)
+def _dropped(spark: SparkSession, sf_dir: str) -> str:
+    """The whole panel as ``drop/<region>/<YYYY-MM>.csv`` below a shared folder, written once per
+    session; files of odd months have their columns in another order and one more."""
+    folder = f"{shared_folder(spark)}/drop"
+    rows = _panel(spark, sf_dir)
+    headers = [F.col(c).cast("string").alias(h) for h, c in HEADER_TO_COLUMN.items()]
+    odd = F.substring("snapshot_month", 6, 2).cast("int") % 2 == 1
+    write_csv_files(rows.where(~odd), headers, folder)
+    write_csv_files(rows.where(odd), [F.lit("x").alias("Extra"), *reversed(headers)], folder)
+    return folder
+
+
+def _below_drop() -> Column:
+    return F.regexp_extract("path", "/drop/[^/]+/[^/]+$", 0).alias("path")
 
 
 def _as_scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a scan of the panel's files gives: column texts and the path of each row."""
-    rows = _panel(spark, sf_dir)
-    path = F.concat(F.lit("/drop/"), F.lower("region"), F.lit("/"),
-                    F.substring("snapshot_month", 1, 7), F.lit(".csv"))
-    return rows.select(*[F.col(c).cast("string").alias(c) for c in HEADER_TO_COLUMN.values()],
-                       path.alias("path"))
+    """The panel's files found and read: column texts and the path, from ``/drop`` on, of each row."""
+    paths = [row["path"] for row in csv_files.list_files(spark, _dropped(spark, sf_dir)).collect()]
+    return csv_files.scan_files(spark, paths).withColumn("path", _below_drop())
 
 
-def _ingest_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole panel written as CSV part files two folders down, found and read back."""
-    folder = shared_folder(spark)
-    _as_source_texts(_panel(spark, sf_dir)).write.option("header", True).csv(
-        f"{folder}/drop/files")
-    paths = [row["path"] for row in csv_files.list_files(spark, folder).collect()]
-    return csv_files.typed_rows(csv_files.scan_files(spark, paths)).drop("path")
+def _ingest_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All files loaded into a new table, and once more, which adds nothing."""
+    table = f"{shared_folder(spark)}/clients_raw"
+    for _ in range(2):
+        csv_files.ingest(spark, _dropped(spark, sf_dir), table, LOAD_DATE)
+    return read_raw_table(spark, table)
 
 
 def _ingest_append(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,20 +179,23 @@ def _ingest_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = csv_files.raw_rows(_as_scanned(spark, sf_dir), LOAD_DATE)
-    return rows.groupBy("source_file").agg(F.count(F.lit(1)).alias("rows"))
+    report = csv_files.ingest(
+        spark, _dropped(spark, sf_dir), f"{shared_folder(spark)}/clients_raw", LOAD_DATE)
+    return report.select(csv_files.source_file_of(F.col("path")).alias("source_file"), "rows")
 
 
 def _ingest_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole batch against a table that holds the files of two regions already."""
-    batch = csv_files.raw_rows(_as_scanned(spark, sf_dir), LOAD_DATE)
-    loaded = batch.where(F.col("region").isin("ASIA", "EUROPE"))
-    return csv_files.only_new(batch, loaded)
+    """What a load of all files adds where the files of two regions are loaded already."""
+    table = f"{shared_folder(spark)}/clients_raw"
+    files = csv_files.list_files(spark, _dropped(spark, sf_dir))
+    csv_files.ingest_files(spark, files.where(F.col("region").isin("ASIA", "EUROPE")), table, LOAD_DATE)
+    added = csv_files.ingest_files(spark, files, table, LOAD_DATE)
+    return read_raw_table(spark, table).join(added.select(*RAW_PARTITIONS), RAW_PARTITIONS, "left_semi")
 
 
 def _ingest_new_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files to load when each lies in two folders and one region is loaded already."""
-    once = _as_scanned(spark, sf_dir).select("path").distinct()
+    once = csv_files.list_files(spark, _dropped(spark, sf_dir)).select(_below_drop())
     twice = once.select(F.explode(F.array(
         "path", F.replace("path", F.lit("/drop/"), F.lit("/again/")))).alias("path"))
     files = csv_files.with_file_keys(twice)
@@ -209,9 +219,11 @@ def _sql_to_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 INGEST: dict[str, Query] = {
     "fixture_panel": lambda spark, sf_dir: _panel(spark, sf_dir),
-    "ingest_scan": _ingest_scan,
-    "ingest_rename": lambda spark, sf_dir: csv_files.typed_rows(
+    "ingest_scan": lambda spark, sf_dir: csv_files.typed_rows(
         _as_scanned(spark, sf_dir)).drop("path"),
+    "ingest_rename": lambda spark, sf_dir: csv_files.raw_rows(
+        _as_scanned(spark, sf_dir), LOAD_DATE).select(*HEADER_TO_COLUMN.values()),
+    "ingest_load": _ingest_load,
     "ingest_region": _lineage("region"),
     "ingest_month": _lineage("snapshot_month"),
     "ingest_lineage": _lineage("source_file", "load_date", "is_test"),

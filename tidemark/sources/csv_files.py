@@ -1,15 +1,16 @@
 """Ingest of region/month CSV files (``<root>/**/<region>/<YYYY-MM>.csv``).
 
-The driver handles file names and header lines only.  Rows are read in splits by the
-tasks, so one very large file is still read in parallel.
+Files are taken in batches of bounded size; of a batch the driver handles the names and the
+few distinct header lines.  Headers are found by one distributed pass and rows are read in
+splits by the tasks, so neither many files nor one very large file is a job of its own.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import csv
 from collections.abc import Iterable
 from datetime import date
-from multiprocessing.pool import ThreadPool
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,10 +19,14 @@ from pyspark.sql import types as T
 from tidemark.functions.numbers import whole_number
 from tidemark.rules import HEADER_TO_COLUMN, MISSING_TEXTS
 from tidemark.schema import LONG_COLUMNS, RAW_PARTITIONS, RAW_SCHEMA
-from tidemark.sources.raw_table import append_rows, read_raw_table
+from tidemark.sources.raw_table import (
+    add_to_ledger, open_ledger, read_ledger, replace_partitions)
 
 _BROKEN = "broken_line"
-_HEADER_READERS = 16
+# Files that are loaded and entered in the ledger together.
+FILES_PER_BATCH = 10_000
+# Folders below the root in which hidden files are looked for.
+_HIDDEN_DEPTH = 6
 
 
 # --- names: what a file path says about its rows -------------------------------------------
@@ -61,6 +66,22 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     return with_file_keys(found)
 
 
+def hidden_files(spark: SparkSession, root: str) -> list[str]:
+    """CSV files whose name, or the name of a folder below ``root`` on their way, starts with
+    ``_`` or ``.``: Spark's readers pass over them, so a load cannot take them."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    base = hadoop.Path(root)
+    system = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = set()
+    for above in range(_HIDDEN_DEPTH):
+        for below in range(_HIDDEN_DEPTH - above):
+            steps = ["*"] * above + (["[_.]*.csv"] if below == 0 else ["[_.]*"] + ["*"] * (below - 1) + ["*.csv"])
+            for status in system.globStatus(hadoop.Path(base, "/".join(steps))) or []:
+                if status.isFile():
+                    found.add(status.getPath().toString())
+    return sorted(found)
+
+
 def with_file_keys(paths: DataFrame) -> DataFrame:
     path = F.col("path")
     return paths.select("path", month_of(path).alias("snapshot_month"),
@@ -88,31 +109,50 @@ def scan_files(spark: SparkSession, paths: Iterable[str], multi_line: bool = Fal
     each file in one piece; without it such a field is an error too.
     """
     paths = list(paths)
-    with ThreadPool(min(_HEADER_READERS, max(len(paths), 1))) as pool:
-        headers = pool.map(lambda p: _header(spark, p), paths)
-    by_header: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    for path, header in zip(paths, headers):
+    scans = []
+    for line, group in _by_header(spark, paths):
+        header = tuple(next(csv.reader([line.lstrip("\ufeff")]), []))
         missing = [h for h in HEADER_TO_COLUMN if h not in header]
         if missing:
-            raise ValueError(f"{path}: missing columns {missing}")
-        by_header[header].append(path)
-    scans = [_scan(spark, group, header, multi_line) for header, group in by_header.items()]
+            raise ValueError(f"{group[0]}: missing columns {missing}")
+        scans.append(_scan(spark, group, header, multi_line))
     if not scans:
         names = [*HEADER_TO_COLUMN.values(), "path"]
         return spark.createDataFrame([], T.StructType(
             [T.StructField(n, T.StringType()) for n in names]))
-    result = scans[0]
-    for scan in scans[1:]:
-        result = result.unionByName(scan)
-    return result
+    return reduce(DataFrame.unionByName, scans)
 
 
-def _reader(spark: SparkSession):
-    return spark.read.option("header", True).option("quote", '"').option("escape", '"')
+def _by_header(spark: SparkSession, paths: list[str]) -> list[tuple[str, list[str]]]:
+    """Header lines and the files under each, from one pass over the files' first splits.
+
+    Within a split lines come in order, so the first one seen is a file's header.  An empty
+    file has none, which is an error.
+    """
+    if not paths:
+        return []
+    lines = (spark.read.text([literal_path(p) for p in paths])
+             .where(F.col("_metadata.file_block_start") == 0)
+             .select(_file_path().alias("path"), "value"))
+    headers = lines.groupBy("path").agg(F.first("value").alias("header"))
+    groups = headers.groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths")).collect()
+    if sum(len(g["paths"]) for g in groups) < len(set(paths)):
+        raise ValueError(f"a file is empty: missing columns {list(HEADER_TO_COLUMN)}")
+    return sorted((g["header"], g["paths"]) for g in groups)
+
+
+def literal_path(path: str) -> str:
+    """A path whose glob characters stand for themselves."""
+    return "".join(f"\\{c}" if c in "\\*?[]{}" else c for c in path)
 
 
-def _header(spark: SparkSession, path: str) -> tuple[str, ...]:
-    return tuple(name.lstrip("\ufeff") for name in _reader(spark).csv(path).columns)
+def _file_path() -> Column:
+    # URL-encoded except for "+", which decoding would turn into a blank
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
+def _reader(spark: SparkSession):
+    return spark.read.option("header", True).option("quote", '"').option("escape", '"')
 
 
 def _scan(spark: SparkSession, paths: list[str], header: tuple[str, ...],
@@ -120,17 +160,31 @@ def _scan(spark: SparkSession, paths: list[str], header: tuple[str, ...],
     fields = [T.StructField(f"f{i}", T.StringType()) for i in range(len(header))]
     schema = T.StructType([*fields, T.StructField(_BROKEN, T.StringType())])
     rows = (_reader(spark).schema(schema).option("columnNameOfCorruptRecord", _BROKEN)
-            .option("multiLine", multi_line).csv(paths))
+            .option("multiLine", multi_line).csv([literal_path(p) for p in paths]))
     unquoted = F.regexp_replace(_BROKEN, '"[^"]*"', "")
     complete = ~F.contains(unquoted, F.lit('"')) & (F.size(F.split(unquoted, ",")) <= len(header))
     checked = F.assert_true(
         F.coalesce(complete, F.lit(True)),
         "a CSV record has too many fields or a line break inside quotes (see multi_line)")
-    # the path is URL-encoded except for "+", which decoding would turn into a blank
-    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     return rows.where(checked.isNull()).select(
         *[F.col(f"f{header.index(h)}").alias(c) for h, c in HEADER_TO_COLUMN.items()],
-        path.alias("path"))
+        _file_path().alias("path"))
+
+
+def _counts() -> list[str]:
+    return [c for c in HEADER_TO_COLUMN.values() if c == "team_id" or c in LONG_COLUMNS]
+
+
+def rejected_columns(texts: DataFrame) -> Column:
+    """Count columns whose text, in this row, is neither missing nor a whole number: it becomes
+    NULL, or loses its fraction."""
+    names = []
+    for name in _counts():
+        text = F.when(~F.col(name).isin(*MISSING_TEXTS), F.col(name))
+        number = F.trim(text).try_cast("double")
+        bad = text.isNotNull() & ~F.coalesce((number % 1 == 0) & whole_number(text).isNotNull(), F.lit(False))
+        names.append(F.when(bad, F.lit(name)))
+    return F.array_compact(F.array(*names))
 
 
 def typed_rows(texts: DataFrame) -> DataFrame:
@@ -153,24 +207,59 @@ def raw_rows(texts: DataFrame, load_date: date | None = None) -> DataFrame:
 # --- load ----------------------------------------------------------------------------------
 
 def ingest(spark: SparkSession, root: str, table_path: str, load_date: date | None = None,
-           multi_line: bool = False) -> DataFrame:
-    """Append the new files below ``root``; running it again adds nothing.
+           multi_line: bool = False, strict: bool = False) -> DataFrame:
+    """Load the new files below ``root``; running it again adds nothing.
 
-    Returns one row per loaded file: path, snapshot_month, region, rows.
+    Returns one row per file of this run: path, snapshot_month, region, rows and what the ledger
+    says of it, with ``skipped`` true (and no counts) for hidden files, which cannot be read.
+    ``strict`` makes values that are no whole numbers an error; else they are counted.
     """
-    return ingest_files(spark, list_files(spark, root), table_path, load_date, multi_line)
+    skipped = hidden_files(spark, root)
+    report = ingest_files(spark, list_files(spark, root), table_path, load_date, multi_line, strict)
+    names = spark.createDataFrame([(p,) for p in skipped], "path string")
+    return report.unionByName(with_file_keys(names).withColumn("skipped", F.lit(True)),
+                              allowMissingColumns=True)
 
 
 def ingest_files(spark: SparkSession, files: DataFrame, table_path: str,
-                 load_date: date | None = None, multi_line: bool = False) -> DataFrame:
-    """``ingest`` for a frame of files (``with_file_keys``)."""
-    todo = new_files(files, read_raw_table(spark, table_path)).collect()  # names of new files
-    report = spark.createDataFrame(todo, "snapshot_month string, region string, path string")
-    if todo:
+                 load_date: date | None = None, multi_line: bool = False,
+                 strict: bool = False) -> DataFrame:
+    """``ingest`` for a frame of files (``with_file_keys``).
+
+    Of each batch the rows replace what the table holds of their months and regions, then the
+    ledger takes them in.  Only what the ledger holds counts as loaded: a load that breaks off
+    in between is repeated by the next run.
+    """
+    loaded = open_ledger(spark, table_path)
+    done = []
+    while True:
+        todo = new_files(files, loaded).orderBy("path").limit(FILES_PER_BATCH).collect()
+        if not todo:
+            break
         texts = scan_files(spark, [f["path"] for f in todo], multi_line)
-        append_rows(raw_rows(texts, load_date), table_path)
-    counts = (read_raw_table(spark, table_path).join(report, RAW_PARTITIONS, "left_semi")
-              .groupBy(*RAW_PARTITIONS).agg(F.count(F.lit(1)).alias("rows")))
-    return (report.join(counts, RAW_PARTITIONS, "left")
-            .select("path", "snapshot_month", "region",
-                    F.coalesce(F.col("rows"), F.lit(0)).alias("rows")))
+        if strict:
+            bad = rejected_columns(texts)
+            texts = texts.where(F.assert_true(
+                F.size(bad) == 0, F.concat(F.col("path"), F.lit(": no whole number in "), F.array_join(bad, ", "))).isNull())
+        replace_partitions(raw_rows(texts, load_date), table_path)
+        keys = spark.createDataFrame(todo, "snapshot_month string, region string, path string")
+        add_to_ledger(_loads(texts, keys), table_path)
+        loaded = read_ledger(spark, table_path)
+        done += [f["path"] for f in todo]
+    paths = spark.createDataFrame([(p,) for p in done], "path string")
+    return loaded.join(paths, "path", "left_semi").withColumn("skipped", F.lit(False))
+
+
+def _loads(texts: DataFrame, files: DataFrame) -> DataFrame:
+    """Ledger rows of the scanned files; files without rows have zeros."""
+    rows = texts.select("path", whole_number(F.col("team_id")).alias("team_id"), rejected_columns(texts).alias("bad"))
+    keys = rows.groupBy("path", "team_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.size("bad")).alias("rejected"),
+        F.array_distinct(F.flatten(F.collect_set("bad"))).alias("columns"))
+    counts = keys.groupBy("path").agg(
+        F.sum("n").alias("rows"), F.sum("rejected").alias("rejected"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("columns")))).alias("rejected_columns"),
+        F.count_if((F.col("n") > 1) & F.col("team_id").isNotNull()).alias("duplicate_keys"))
+    zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("rows", "rejected", "duplicate_keys")}
+    # a file marks no test accounts, so all its rows count
+    return files.join(counts, "path", "left").withColumns(zero).withColumn("kept_rows", F.col("rows"))

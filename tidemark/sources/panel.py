@@ -8,6 +8,7 @@ missing users, unusable fees and dates.
 from __future__ import annotations
 
 from datetime import date, datetime
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,3 +117,21 @@ def hot_panel(rows: DataFrame) -> DataFrame:
     return (rows.unionByName(one.withColumn("team_id", F.lit(-1).cast("bigint")))
             .unionByName(one.where(F.col("team_id") % 3 == 0)
                          .withColumn("team_id", F.lit(None).cast("bigint"))))
+
+
+def write_csv_files(rows: DataFrame, columns: list, folder: str) -> int:
+    """``columns`` of raw rows as one CSV file per region and month, ``<folder>/<region>/<YYYY-MM>.csv``;
+    returns how many."""
+    spark, staged = rows.sparkSession, f"{folder.rstrip('/')}-staged-{uuid4().hex}"
+    texts = rows.select(*columns, F.lower("region").alias("region"), F.substring("snapshot_month", 1, 7).alias("month"))
+    (texts.repartition("region", "month").write.option("header", True)
+     .partitionBy("region", "month").csv(staged))
+    files = spark._jvm.org.apache.hadoop.fs
+    system = files.Path(staged).getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = [s.getPath() for s in system.globStatus(files.Path(f"{staged}/*/*/part-*.csv"))]
+    for part in parts:
+        month, region = (p.getName().split("=")[1] for p in (part.getParent(), part.getParent().getParent()))
+        system.mkdirs(files.Path(f"{folder}/{region}"))
+        system.rename(part, files.Path(f"{folder}/{region}/{month}.csv"))
+    system.delete(files.Path(staged), True)
+    return len(parts)

@@ -1,9 +1,15 @@
-"""The raw snapshot table: Parquet, one partition per month and region."""
+"""The raw snapshot table: Parquet, one partition per month and region, and its ledger.
+
+The ledger has a row for each (month, region) that was loaded to the end.  It lies in the
+table's folder under a name that readers of the table pass over.
+"""
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.schema import RAW_PARTITIONS, RAW_SCHEMA
 
@@ -22,6 +28,48 @@ def read_raw_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_rows(rows: DataFrame, path: str) -> None:
-    """Append rows.  Each input split holds one file's month and region, so tasks write
-    straight to their partition and nothing is shuffled."""
+    """Append rows; tasks write straight to the partitions of their rows, unshuffled."""
     rows.select(*RAW_SCHEMA.names).write.mode("append").partitionBy(*RAW_PARTITIONS).parquet(path)
+
+
+def replace_partitions(rows: DataFrame, path: str) -> None:
+    """Write rows in place of what the table holds of their months and regions."""
+    (rows.select(*RAW_SCHEMA.names).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(*RAW_PARTITIONS).parquet(path))
+
+
+LEDGER_SCHEMA = T.StructType([
+    T.StructField("path", T.StringType()), T.StructField("snapshot_month", T.StringType()),
+    T.StructField("region", T.StringType()), T.StructField("rows", T.LongType()),
+    T.StructField("kept_rows", T.LongType()), T.StructField("rejected", T.LongType()),
+    T.StructField("rejected_columns", T.ArrayType(T.StringType())),
+    T.StructField("duplicate_keys", T.LongType())])
+
+
+def _ledger_path(path: str) -> str:
+    return f"{path.rstrip('/')}/_loads"
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """Loads that came to their end: file, month, region, rows, rows that count (no test
+    accounts), values that were no whole numbers, their columns, keys with more than one row."""
+    return spark.read.schema(LEDGER_SCHEMA).parquet(_ledger_path(path))
+
+
+def open_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger; a table without one gets one that names all it holds now."""
+    try:
+        return read_ledger(spark, path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    held = read_raw_table(spark, path).groupBy(*RAW_PARTITIONS).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.coalesce(F.col("is_test"), F.lit(0)) == 0).alias("kept_rows"))
+    columns = [F.col(f.name) if f.name in held.columns else F.lit(None).cast(f.dataType).alias(f.name)
+               for f in LEDGER_SCHEMA]
+    add_to_ledger(held.select(*columns), path)
+    return read_ledger(spark, path)
+
+
+def add_to_ledger(loads: DataFrame, path: str) -> None:
+    loads.select(*LEDGER_SCHEMA.names).coalesce(1).write.mode("append").parquet(_ledger_path(path))
