@@ -23,7 +23,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """The rows of ``df`` written to the shared folder and read back: lineage ends there, and lost
-    executors cost no recomputation."""
+    executors cost no recomputation.  Columns of packed bytes need no further ``compression``."""
     spark = df.sparkSession
     path = shared_folder(spark)
     df.write.option("compression", compression).parquet(path)

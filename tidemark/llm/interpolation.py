@@ -268,12 +268,12 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
     """
     role = F.when(~F.coalesce(training, F.lit(False)), 0).when(F.pmod(F.xxhash64("text"), F.lit(DELETED)) == 0, 2).otherwise(1)
     rows = docs.select(F.col("doc_id").cast("long"), "text", role.alias("role"))
-    chunks = written(rows.mapInArrow(_chunks, _CHUNK))
+    chunks = written(rows.mapInArrow(_chunks, _CHUNK), "none")
     names = ("train_tokens", "deleted_tokens", "train_docs", "deleted_docs", "bigrams")
     tokens, out_tokens, texts_, out_texts, grams = (v or 0 for v in chunks.agg(*[F.sum(n) for n in names]).first())
     count = max(1, -(-grams // BUCKET))
     asked = chunks.select("chunk", "body").mapInArrow(_ask({1: max(1, count // 4), 2: count}), _ASK)
-    answers = written(asked.groupBy("level", "bucket").applyInArrow(_answer, _ANSWER))
+    answers = written(asked.groupBy("level", "bucket").applyInArrow(_answer, _ANSWER), "none")
     types, main_types = (v or 0 for v in answers.filter("level = 1").agg(F.sum("types"), F.sum("main_types")).first())
     seen = _met(chunks.filter("deleted"), answers).mapInArrow(
         _left_out_grid(tokens - out_tokens, texts_ - out_texts), "bucket long, two long, one long, n long")

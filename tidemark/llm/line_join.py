@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -23,14 +24,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import Places, chunk_numbers, components, partitions, text_batches, written
+from tidemark.llm.common import chunk_numbers, components, partitions, text_batches, written
 from tidemark.llm.packed import least_type, pack, unpack
 
 SIMILARITY = 0.8
 #: Lines of fewer distinct words neither match nor go: they recur by chance.
 LEAST_WORDS = 5
 #: Words of a chunk, postings of a bucket of the hash range, lines of a family that meet in one task.
-CHUNK, BUCKET, FAMILY = 1_000_000, 2_000_000, 20_000
+CHUNK, BUCKET, FAMILY = 1_000_000, 400_000, 20_000
 #: A word is frequent if it is one in so many at least; there are no more frequent words than that.
 FREQUENT = 1 << 16
 #: Rows of families that a task holds at once.
@@ -48,33 +49,43 @@ def _prefix(size: np.ndarray, t: float) -> np.ndarray:
     return size - np.ceil(t * size - 1e-9).astype(np.int64) + 1
 
 
-def _overlap(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
+def _overlap(a: np.ndarray, b: np.ndarray | int, t: float) -> np.ndarray:
     """The least number of common words of sets of sizes a and b with similarity t."""
     return np.ceil(t / (1 + t) * (a + b) - 1e-9).astype(np.int64)
 
 
+def _hashes(words: pa.StringArray) -> np.ndarray:
+    """XXH64 of each word, read from the array's own bytes."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset:words.offset + len(words) + 1].tolist()
+    data = memoryview(words.buffers()[2])
+    return np.array([xxhash.xxh64_intdigest(data[a:b]) for a, b in zip(ends, ends[1:])], np.uint64)
+
+
 class _Lines:
-    """The distinct words of each line that takes part, as local numbers, and the line's place."""
-
-    def __init__(self, docs: list[str | None], only: np.ndarray | None = None):
-        places, ids, sizes, self.doc, self.line = Places(), [], [], [], []
-        number = 0
-        wanted = None if only is None else set(only.tolist())
-        for i, text in enumerate(docs):
-            for line in [] if text is None else text.encode("utf-8", "surrogatepass").lower().split(b"\n"):
-                if wanted is None or number in wanted:
-                    words = line.split()
-                    if len(words) >= LEAST_WORDS:
-                        ids.append(np.array(list(map(places.__getitem__, words)), np.int64))
-                        sizes.append(len(words))
-                        self.doc.append(i)
-                        self.line.append(number)
-                number += 1
-        self.hashes = np.array([xxhash.xxh64_intdigest(w) for w in places], np.uint64)
-        self.words = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-        self.owner = np.repeat(np.arange(len(sizes)), sizes)
+    """The words of each line that takes part, as local numbers, and the line's place."""
+
+    def __init__(self, column: pa.Array, only: np.ndarray | None = None):
+        """``column``: texts, null without lines. ``only``: places of lines to look at, ascending."""
+        split = pc.split_pattern(pc.ascii_lower(column), "\n")
+        doc = np.repeat(np.arange(len(column)), pc.fill_null(pc.list_value_length(split), 0).to_numpy())
+        lines, number = split.flatten(), np.arange(len(doc))
+        if only is not None:
+            lines, number = lines.take(pa.array(only)), np.asarray(only)
+        words = pc.ascii_split_whitespace(lines)
+        owner = np.repeat(np.arange(len(lines)), pc.list_value_length(words).to_numpy())
+        words = words.flatten()
+        there = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
+        enough = np.bincount(owner[there], minlength=len(lines)) >= LEAST_WORDS
+        there &= enough[owner]
+        taking, self.owner = np.flatnonzero(enough), (np.cumsum(enough) - 1)[owner[there]]
+        coded = words.filter(pa.array(there)).dictionary_encode()
+        self.words = coded.indices.to_numpy().astype(np.int64)
+        self.hashes = _hashes(coded.dictionary)
         self.counts = np.bincount(self.words, minlength=len(self.hashes))
-        self.doc, self.line = np.array(self.doc, np.int64), np.array(self.line, np.int64)
+        self.line = number[taking]
+        self.doc = doc[self.line]
 
     def sets(self, priority: np.ndarray):
         """(word, start, size) of the lines' sets in ascending priority; lines of few words are left out.
@@ -120,13 +131,18 @@ def _pack_batch(batch: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema) as writer:
         writer.write_table(batch)
-    return zstandard.ZstdCompressor(level=1).compress(sink.getvalue().to_pybytes())
+    return zstandard.ZstdCompressor(level=2).compress(sink.getvalue().to_pybytes())
 
 
 def _unpack_batch(body: bytes) -> pa.Table:
     return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(body)).read_all().combine_chunks()
 
 
+def _texts(table: pa.Table) -> pa.Array:
+    column = table.column("text").combine_chunks()
+    return column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+
+
 def _order(table: pa.Table) -> np.ndarray:
     """Sort values of the ids: null first."""
     ids = table.column("doc_id").combine_chunks()
@@ -136,7 +152,7 @@ def _order(table: pa.Table) -> np.ndarray:
 def _chunks(t: float):
     def row(batches: list[pa.RecordBatch], name: int) -> pa.RecordBatch:
         table = pa.Table.from_batches(batches).combine_chunks()
-        lines = _Lines(table.column("text").to_pylist())
+        lines = _Lines(_texts(table))
         word, start, size, kept = lines.sets(lines.hashes)
         # Of equal sets in this chunk the first in order stays; the others are its twins.
         sets = _set_hashes(lines.hashes, word, start)
@@ -196,7 +212,7 @@ def _postings(frequent: np.ndarray, buckets: int, t: float):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, body, twins in zip(*(batch.column(c).to_pylist() for c in ("chunk", "body", "twins"))):
-                lines = _Lines(_unpack_batch(body).column("text").to_pylist())
+                lines = _Lines(_texts(_unpack_batch(body)))
                 word, start, size, kept = lines.sets(_priority(lines.hashes, frequent))
                 if not len(size):
                     continue
@@ -257,23 +273,26 @@ def _candidates(t: float):
         folded = _folded(bitmaps)
         names, node = np.unique(line, return_inverse=True)
         parent = np.arange(len(names))
-        a, step = np.arange(len(line) - 1), 1
-        # Lines of a word stand together from the shortest on: each meets the next, the next but one, and so on.
+        # Lines of a word stand together from the shortest on: each meets the next, the next but one, and
+        # so on, as far as lines of its word are not too long for it.
+        group = np.cumsum(np.r_[False, word[1:] != word[:-1]]) << 32
+        last = np.searchsorted(group + size, group + np.floor(size / t + 1e-9).astype(np.int64), "right")
+        total = np.arange(2 * int(size.max()) + 1)
+        least_of = _overlap(total, 0, t)
+        spare_of = (total - 2 * least_of).astype(np.int32)
+        a, step = np.flatnonzero(last - np.arange(len(line)) > 1), 1
         while len(a):
-            a = a[a + step < len(line)]
             b = a + step
-            near = (word[a] == word[b]) & (size[a] >= np.ceil(t * size[b] - 1e-9))
-            a, b = a[near], b[near]
-            apart = node[a] != node[b]
-            least = _overlap(size[a], size[b], t)
-            most = np.minimum(place[a], place[b]) + np.minimum(size[a] - place[a], size[b] - place[b])
-            spare = size[a] + size[b] - 2 * least
-            passed = np.flatnonzero(apart & (most >= least) & (np.bitwise_count(folded[a] ^ folded[b]) <= spare))
-            wide = np.flatnonzero((size[a[passed]] > WIDE) & (size[b[passed]] > WIDE))
-            far = _differing(bitmaps, a[passed[wide]], b[passed[wide]]) > spare[passed[wide]]
-            passed = np.delete(passed, wide[far])
-            _unite(parent, node[a[passed]], node[b[passed]])
+            near = np.flatnonzero(np.bitwise_count(folded[a] ^ folded[b]) <= spare_of[size[a] + size[b]])
+            x, y = a[near], b[near]
+            both = size[x] + size[y]
+            most = np.minimum(place[x], place[y]) + np.minimum(size[x] - place[x], size[y] - place[y])
+            passed = (node[x] != node[y]) & (most >= least_of[both])
+            wide = np.flatnonzero(passed & (size[x] > WIDE) & (size[y] > WIDE))
+            passed[wide[_differing(bitmaps, x[wide], y[wide]) > spare_of[both[wide]]]] = False
+            _unite(parent, node[x[passed]], node[y[passed]])
             step += 1
+            a = a[a + step < last[a]]
         root = _roots(parent, np.arange(len(names)))
         linked = root != np.arange(len(names))
         return pa.table({"a": names[linked], "b": names[root[linked]]})
@@ -294,7 +313,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _unpack_batch(body)
         order = np.argsort(places)
         places, families = np.array(places)[order], np.array(families)[order]
-        lines = _Lines(table.column("text").to_pylist(), places)
+        lines = _Lines(_texts(table), places)
         word, start, size, kept = lines.sets(lines.hashes)
         at = np.searchsorted(places, lines.line[kept])
         ids = _order(table)[lines.doc[kept]]
@@ -394,20 +413,18 @@ def _rewritten(names: list[str]):
     def settle(body, twins, places):
         table = _unpack_batch(body)
         gone = np.union1d(unpack(twins).astype(np.int64), np.array(places, np.int64))
-        gone = set(gone.tolist())
-        number, kept_texts, counts, removed = 0, [], [], []
-        for text in table.column("text").to_pylist():
-            lines = [] if text is None else text.split("\n")
-            out = [i for i in range(len(lines)) if number + i in gone]
-            if out:
-                drop = set(out)
-                text = "\n".join([x for i, x in enumerate(lines) if i not in drop])
-            kept_texts.append(text)
-            counts.append(len(lines))
-            removed.append(out)
-            number += len(lines)
+        column = _texts(table)
+        counts = pc.fill_null(pc.add(pc.count_substring(column, "\n"), 1), 0).to_numpy().astype(np.int64)
+        start = np.cumsum(counts) - counts
+        doc = np.searchsorted(start, gone, "right") - 1
+        cuts = np.searchsorted(doc, np.arange(len(column) + 1))
+        kept_texts, removed = column.to_pylist(), [[]] * len(column)
+        for i in np.unique(doc).tolist():
+            removed[i] = (gone[cuts[i]:cuts[i + 1]] - start[i]).tolist()
+            lines, drop = kept_texts[i].split("\n"), set(removed[i])
+            kept_texts[i] = "\n".join([line for k, line in enumerate(lines) if k not in drop])
         columns = [pa.array(kept_texts, pa.string()) if n == "text" else table.column(n).combine_chunks() for n in names]
-        columns += [pa.array(counts, pa.int32()), pa.array(removed, pa.list_(pa.int32()))]
+        columns += [pa.array(counts.astype(np.int32)), pa.array(removed, pa.list_(pa.int32()))]
         return pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], [*names, "n_lines", "removed"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -438,7 +455,7 @@ def dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """
     docs = docs.drop("n_lines", "removed").withColumn("doc_id", F.col("doc_id").cast("long"))
     spark, schema = docs.sparkSession, docs.schema
-    chunks = written(docs.mapInArrow(_chunks(similarity), _CHUNK))
+    chunks = written(docs.mapInArrow(_chunks(similarity), _CHUNK), "none")
     frequent = _frequent(chunks)
     buckets = max(1, -(-(chunks.agg(F.sum("postings")).first()[0] or 0) // BUCKET))
     posted = chunks.select("chunk", "body", "twins").mapInArrow(_postings(frequent, buckets, similarity), _POSTINGS)
