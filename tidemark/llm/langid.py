@@ -269,22 +269,26 @@ def fit(samples: list[tuple[str, str]], epochs: int = 6, rate: float = 0.3, seed
 
 
 def sample(docs: DataFrame, label: str = "lang", per_label: int = SAMPLE_TEXTS, words: int = SAMPLE_WORDS) -> list[tuple[str, str]]:
-    """At most ``per_label`` windows of ``words`` words for each label, from the texts of least hash.
+    """At most ``per_label`` windows of ``words`` words for each label, from the rows of least hashed id.
 
-    The window starts at a place that the text's hash picks. Each label's rows are found by a bounded
-    sort, of which every task sends on ``per_label`` rows at most.
+    The window starts at a place that the text's hash picks; blank texts give none. Ids are chosen
+    before texts are read, by a bounded sort to which every task sends ``per_label`` numbers at most. Rows
+    without an id or a label are not learned from; of equal ids as many rows as are chosen take part.
     """
-    docs = docs.select("text", F.col(label).cast("string").alias("lang")).filter("lang is not null and trim(text) <> ''")
-    languages = sorted(r[0] for r in docs.select("lang").distinct().collect())
-    found = []
-    for language in languages:
-        rows = docs.filter(F.col("lang") == language).select("text", F.xxhash64("text").alias("h"))
-        rows = rows.orderBy("h").limit(per_label)
-        split = F.split(F.col("text"), r"\s+")
-        at = F.pmod("h", F.greatest(F.lit(1), F.size(split) - words)).cast("int") + 1
-        rows = rows.select(F.array_join(F.slice(split, at, words), " ").alias("text"))
-        found += [(r[0], language) for r in rows.collect()]
-    return found
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("string").alias("lang"), "text")
+    rows = rows.filter("doc_id is not null and lang is not null")
+    languages = sorted(r[0] for r in rows.select("lang").distinct().collect())
+    if not languages:
+        return []
+    least = [rows.filter(F.col("lang") == x).select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for x in languages]
+    chosen = least[0]
+    for more in least[1:]:
+        chosen = chosen.union(more)
+    split = F.split(F.col("text"), r"\s+")
+    at = F.pmod(F.xxhash64("text"), F.greatest(F.lit(1), F.size(split) - words)).cast("int") + 1
+    found = rows.join(F.broadcast(chosen.distinct()), ["doc_id", "lang"]).filter("trim(text) <> ''")
+    found = found.select(F.array_join(F.slice(split, at, words), " ").alias("text"), "lang", F.xxhash64("text").alias("h"))
+    return [(r[0], r[1]) for r in found.orderBy("h", "lang").limit(per_label * len(languages)).collect()]
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
