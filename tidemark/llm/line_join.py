@@ -17,7 +17,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -55,12 +54,19 @@ def _overlap(a: np.ndarray, b: np.ndarray | int, t: float) -> np.ndarray:
 
 
 def _hashes(words: pa.StringArray) -> np.ndarray:
-    """XXH64 of each word, read from the array's own bytes."""
+    """A 64-bit hash of each word: its bytes as digits in an odd base, mixed, over all words at once."""
     if not len(words):
         return np.zeros(0, np.uint64)
-    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset:words.offset + len(words) + 1].tolist()
-    data = memoryview(words.buffers()[2])
-    return np.array([xxhash.xxh64_intdigest(data[a:b]) for a, b in zip(ends, ends[1:])], np.uint64)
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset:words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2], np.uint8)[ends[0]:ends[-1]].astype(np.uint64) + np.uint64(1)
+    ends -= ends[0]
+    size = np.diff(ends)
+    base = np.full(int(size.max()), 0x9E3779B97F4A7C15, np.uint64)
+    power = np.cumprod(base)
+    mixed = np.add.reduceat(data * power[np.arange(len(data)) - np.repeat(ends[:-1], size)], ends[:-1])
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
+    return mixed ^ (mixed >> np.uint64(31))
 
 
 class _Lines:
