@@ -122,6 +122,18 @@ def test_blocks_are_bounded_by_rows(spark, raw):
     assert sum(sizes) == 4000 and max(sizes) <= 200
 
 
+def test_copies_are_not_multiplied(spark, raw):
+    rows = [{"team_id": t, "company_name": f"c{t}", "snapshot_month": f"2025-0{m}-01", "region": "UK",
+             "active_users": 20 + m, "total_jobs": 5 * m, "total_clicks_wo_api": 100 * m, "monthly_fee": "10"}
+            for t in (1, 2) for m in range(1, 6)]
+    rows += [rows[4]] * 2 + [{**rows[4], "active_users": 3}] + [rows[0]]
+    table = raw(rows)
+    latest = sum(r["snapshot_month"] == "2025-05-01" for r in rows)
+    for name, count in (("company_overview", latest), ("at_risk_next_actions", latest),
+                        ("onboarding_clients", len(rows)), ("overall_health_score", len(rows))):
+        assert view(name, table).count() == count, name
+
+
 def test_building_a_view_runs_no_job(spark, raw):
     table = raw(random_accounts(1)[:5])
     tracker = spark.sparkContext.statusTracker()

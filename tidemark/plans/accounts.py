@@ -77,9 +77,11 @@ def onboarding_clients(clean: DataFrame, rules: Rules = STANDARD) -> DataFrame:
     limit = rules.overview_onboarding_months
     latest = snapshot_months(clean)["latest"]
     tenure = months_between_texts(F.col("first_seen_month"), F.col("snapshot_month"), rules)
+    # one row per account, of copies that differ the least: none of its months is multiplied
+    newest = latest_snapshot(clean).groupBy("team_id", "snapshot_month").agg(
+        F.min("salesperson").alias("salesperson"))
     accounts = (
-        latest_snapshot(clean).select("team_id", "snapshot_month", "salesperson")
-        .join(start_date(clean), "team_id")
+        newest.join(start_date(clean), "team_id")
         .withColumn("months_since_start", tenure)
         .where(F.col("months_since_start") < limit)
         .select("team_id", "salesperson", "months_since_start",

@@ -51,11 +51,13 @@ def latest_with_signals(clean: DataFrame, layout: str = "window") -> DataFrame:
     """The latest snapshot, each account with its signals of that month.
 
     Only the few numbers behind the signals go through the shuffle of the full history;
-    names, fees and dates come from a scan of the one month and join on the account.
+    names, fees and dates come from a scan of the one month and join on the account.  Copies
+    of an account's latest row all get the signals of the last of them, so none is multiplied.
     """
     history = account_timeline(clean.where(F.col("team_id").isNotNull()), layout)
     signals = (history.where(F.col("snapshot_month") == snapshot_months(clean)["latest"])
-               .select("team_id", *_LATEST_SIGNALS))
+               .groupBy("team_id").agg(
+                   *[F.max_by(c, "position").alias(c) for c in _LATEST_SIGNALS]))
     return latest_snapshot(clean).join(signals, "team_id", "left")
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import csv
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date
 from functools import reduce
 
@@ -20,7 +21,7 @@ from tidemark.functions.numbers import whole_number
 from tidemark.rules import HEADER_TO_COLUMN, MISSING_TEXTS
 from tidemark.schema import LONG_COLUMNS, RAW_PARTITIONS, RAW_SCHEMA
 from tidemark.sources.raw_table import (
-    add_to_ledger, open_ledger, read_ledger, replace_partitions)
+    LEDGER_SCHEMA, add_to_ledger, open_ledger, read_ledger, replace_partitions)
 
 _BROKEN = "broken_line"
 # Files that are loaded and entered in the ledger together.
@@ -241,9 +242,11 @@ def ingest_files(spark: SparkSession, files: DataFrame, table_path: str,
             bad = rejected_columns(texts)
             texts = texts.where(F.assert_true(
                 F.size(bad) == 0, F.concat(F.col("path"), F.lit(": no whole number in "), F.array_join(bad, ", "))).isNull())
-        replace_partitions(raw_rows(texts, load_date), table_path)
         keys = spark.createDataFrame(todo, "snapshot_month string, region string, path string")
-        add_to_ledger(_loads(texts, keys), table_path)
+        with ThreadPoolExecutor(1) as beside:  # the write waits for files, the count for tasks
+            counted = beside.submit(_loads(texts, keys).collect)
+            replace_partitions(raw_rows(texts, load_date), table_path)
+        add_to_ledger(spark.createDataFrame(counted.result(), LEDGER_SCHEMA), table_path)
         loaded = read_ledger(spark, table_path)
         done += [f["path"] for f in todo]
     paths = spark.createDataFrame([(p,) for p in done], "path string")
@@ -262,4 +265,5 @@ def _loads(texts: DataFrame, files: DataFrame) -> DataFrame:
         F.count_if((F.col("n") > 1) & F.col("team_id").isNotNull()).alias("duplicate_keys"))
     zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("rows", "rejected", "duplicate_keys")}
     # a file marks no test accounts, so all its rows count
-    return files.join(counts, "path", "left").withColumns(zero).withColumn("kept_rows", F.col("rows"))
+    return (files.join(counts, "path", "left").withColumns(zero)
+            .withColumn("kept_rows", F.col("rows")).select(*LEDGER_SCHEMA.names))
