@@ -105,6 +105,10 @@ def test_keep_first_keeps_one_of_each_group(spark):
     rows = [(5, "a b c d e f", 1), (2, "a b c d e f", 1), (9, "other words here now", 1), (None, "a b c d e f", 1)]
     kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string, x int"))
     assert sorted(r.doc_id for r in kept.collect()) == [2, 9] and kept.columns == ["doc_id", "text", "x"]
+    repeated = simhash.keep_first(spark.createDataFrame([*rows, *rows, (9, "not the same at all then", 1)], "doc_id long, text string, x int"))
+    assert sorted(r.doc_id for r in repeated.collect()) == [2, 9, 9]
+    without = simhash.keep_first(spark.createDataFrame([(None, "a b c", 1), (None, "a b c", 1)], "doc_id long, text string, x int"))
+    assert without.count() == 1
 
 
 def test_components_of_a_long_chain(spark):

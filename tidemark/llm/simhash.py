@@ -195,8 +195,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
 
 
 def keep_first(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is their component's smallest; of repeats of that doc_id all
-    stay. Rows whose component has no id stay too."""
-    found = near_duplicates(docs, shingle, radius)
+    """The rows of ``docs`` whose doc_id is their component's smallest, of equal rows one.
+
+    Rows without an id stay only where no linked row has one. Rows that share an id and a fingerprint
+    are looked for first; only where there are some are the kept texts shuffled to find equal ones.
+    """
+    found = written(near_duplicates(docs, shingle, radius))
     gone = found.filter("doc_id is null and component_id is not null or doc_id > component_id").select("doc_id").distinct()
-    return docs.join(gone, docs.doc_id.eqNullSafe(gone.doc_id), "left_anti")
+    kept = docs.join(gone, docs.doc_id.eqNullSafe(gone.doc_id), "left_anti")
+    repeats = found.groupBy("doc_id", "simhash").count().filter("count > 1")
+    return kept if repeats.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
