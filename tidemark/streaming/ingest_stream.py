@@ -17,8 +17,8 @@ def start_ingest(spark: SparkSession, root: str, table_path: str, checkpoint: st
                  files_per_batch: int = 1000) -> StreamingQuery:
     """Load all files present, in batches, then stop.
 
-    The stream carries paths only.  A batch repeated after a failure adds nothing twice,
-    since the load skips every (month, region) that the table already holds.
+    The stream carries paths only.  A batch repeated after a failure adds nothing twice: the
+    load skips every (month, region) in the table's ledger and replaces all others.
     """
     paths = (spark.readStream.format("binaryFile").schema(_FILE_SCHEMA)
              .option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
