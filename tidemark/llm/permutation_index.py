@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import written
 
-#: Pivots are a sample of the vectors, those of least hash; the index itself holds every vector.
+#: Pivots come from a sample of the vectors, ``POOL`` times as many as pivots, those of least hash; the
+#: index itself holds every vector. A pivot closer to an earlier one than this cosine is taken last.
 PIVOTS, NEAREST = 512, 128
+POOL, APART = 4, 0.8
 #: Part of a block that is reranked, and the least number of its vectors.
 RERANK, RERANK_LEAST = 0.1, 512
 BLOCK, QUERY_BLOCK = 8192, 1 << 16
@@ -70,6 +72,19 @@ def nearest(likeness: np.ndarray) -> np.ndarray:
     return np.argsort(-likeness, axis=1, kind="stable")[:, :min(NEAREST, likeness.shape[1])]
 
 
+def spread(pool: np.ndarray, count: int) -> np.ndarray:
+    """``count`` vectors of the pool, those first that are no close neighbours of one taken before:
+    many pivots of one crowded place would move together in every permutation and drown the others."""
+    unit = pool / np.linalg.norm(pool, axis=1, keepdims=True)
+    taken, left = [], []
+    for i in range(len(pool)):
+        near = bool(taken) and (unit[taken] @ unit[i]).max() > APART
+        (left if near else taken).append(i)
+        if len(taken) == count:
+            break
+    return pool[(taken + left)[:count]]
+
+
 def _vectors(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1)
@@ -125,9 +140,10 @@ def search(vectors: DataFrame, is_query: Column, count: int = 20, vector: str =
     rows = written(rows.filter(F.size("vector") == size[0][0]))
     norm, total, asked = rows.agg(
         F.sqrt(F.max(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))), F.count("*"), F.count_if("is_query")).first()
-    hashes = rows.groupBy(F.xxhash64("vector").alias("h")).agg(F.min("vec_id").alias("vec_id")).orderBy("h").limit(pivots)
+    hashes = rows.groupBy(F.xxhash64("vector").alias("h")).agg(F.min("vec_id").alias("vec_id")).orderBy("h").limit(POOL * pivots)
     chosen = rows.join(F.broadcast(hashes), (rows.vec_id == hashes.vec_id) & (F.xxhash64(rows.vector) == hashes.h), "left_semi")
-    chosen = np.unique(np.array([r[0] for r in chosen.select("vector").limit(2 * pivots).collect()], float), axis=0)
+    chosen = chosen.select(F.xxhash64("vector"), "vector").distinct().limit(2 * POOL * pivots).collect()
+    chosen = spread(np.array([r[1] for r in sorted(chosen)], float), pivots)
 
     blocks, query_blocks = -(-total // BLOCK), max(1, -(-asked // QUERY_BLOCK))
     home = F.pmod(F.xxhash64("vec_id", "vector"), F.lit(blocks)).cast("int")
