@@ -202,6 +202,7 @@ def keep_first(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     """
     found = written(near_duplicates(docs, shingle, radius))
     gone = found.filter("doc_id is null and component_id is not null or doc_id > component_id").select("doc_id").distinct()
-    kept = docs.join(gone, docs.doc_id.eqNullSafe(gone.doc_id), "left_anti")
+    # merged at every size: the ids that go have no bound for a broadcast
+    kept = docs.join(gone.hint("merge"), docs.doc_id.eqNullSafe(gone.doc_id), "left_anti")
     repeats = found.groupBy("doc_id", "simhash").count().filter("count > 1")
     return kept if repeats.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
