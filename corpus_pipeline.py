@@ -32,7 +32,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes lines that match an earlier line, and texts of which nothing but them was left."""
-    found = line_join.dedup(docs)
+    found = line_join.dedup(docs, least_words=1)
     emptied = (F.size("removed") > 0) & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")
     changed = F.when(F.size("removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return found.filter(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", changed).select(docs.columns)

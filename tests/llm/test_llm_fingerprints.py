@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import line_join, piecewise, simhash
+from tidemark.llm import line_join, piecewise, queries, simhash
 from tidemark.llm.common import components
 
 
@@ -208,3 +208,21 @@ def test_lines_in_many_chunks_and_blocks(spark, monkeypatch):
     found = line_join.dedup(spark.createDataFrame(ids, "doc_id long, text string, body string").repartition(4))
     got = sorted(((r.doc_id, r.text, r.body, r.n_lines, r.removed) for r in found.collect()), key=str)
     assert got == brute_lines(ids)
+
+
+SHORT = [(1, "one two three four\nyes\n\nno no", "a"), (2, "Yes\nno\none two three four five\na b c", "b"), (3, "c b a\na b\nb a\na b c d\n \t", "c"),
+         (None, "yes\nz z z z z z", "d"), (5, "one two\nz", "e"), (6, None, "f"), (7, "three four two one", "g")]
+
+
+@pytest.mark.parametrize("rows", [SHORT, LINES, corpus(100, 7)], ids=["short", "edges", "corpus"])
+def test_short_lines_take_part(spark, rows, monkeypatch):
+    monkeypatch.setattr(line_join, "CHUNK", 5)
+    found = line_join.dedup(spark.createDataFrame(rows, "doc_id long, text string, body string").coalesce(1), least_words=1)
+    got = sorted(((r.doc_id, r.text, r.body, r.n_lines, r.removed) for r in found.collect()), key=str)
+    assert got == brute_lines(rows, least=1)
+
+
+def test_line_query_takes_short_lines(spark, tmp_path):
+    spark.createDataFrame(SHORT, "doc_id long, text string, body string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    found = queries.op5_line_join(spark, str(tmp_path))
+    assert {r.doc_id: r.removed for r in found.collect()} == {r[0]: r[4] for r in brute_lines(SHORT, least=1)}

@@ -27,7 +27,7 @@ from tidemark.llm.common import chunk_numbers, components, partitions, text_batc
 from tidemark.llm.packed import least_type, pack, unpack
 
 SIMILARITY = 0.8
-#: Lines of fewer distinct words neither match nor go: they recur by chance.
+#: Least distinct words of the lines that take part, unless ``dedup`` is told otherwise.
 LEAST_WORDS = 5
 #: Words of a chunk, postings of a bucket of the hash range, lines of a family that meet in one task.
 CHUNK, BUCKET, FAMILY = 1_000_000, 400_000, 20_000
@@ -72,8 +72,9 @@ def _hashes(words: pa.StringArray) -> np.ndarray:
 class _Lines:
     """The words of each line that takes part, as local numbers, and the line's place."""
 
-    def __init__(self, column: pa.Array, only: np.ndarray | None = None):
+    def __init__(self, column: pa.Array, least: int, only: np.ndarray | None = None):
         """``column``: texts, null without lines. ``only``: places of lines to look at, ascending."""
+        self.least = least
         split = pc.split_pattern(pc.ascii_lower(column), "\n")
         doc = np.repeat(np.arange(len(column)), pc.fill_null(pc.list_value_length(split), 0).to_numpy())
         lines, number = split.flatten(), np.arange(len(doc))
@@ -83,7 +84,7 @@ class _Lines:
         owner = np.repeat(np.arange(len(lines)), pc.list_value_length(words).to_numpy())
         words = words.flatten()
         there = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
-        enough = np.bincount(owner[there], minlength=len(lines)) >= LEAST_WORDS
+        enough = np.bincount(owner[there], minlength=len(lines)) >= least
         there &= enough[owner]
         taking, self.owner = np.flatnonzero(enough), (np.cumsum(enough) - 1)[owner[there]]
         coded = words.filter(pa.array(there)).dictionary_encode()
@@ -105,7 +106,7 @@ class _Lines:
         keys = keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
         owner, word = keys >> 32, order[keys & 0xFFFFFFFF]
         size = np.bincount(owner, minlength=len(self.line))
-        enough = size >= LEAST_WORDS
+        enough = size >= self.least
         word, kept = word[enough[owner]], np.flatnonzero(enough)
         size = size[kept]
         return word, np.cumsum(size) - size, size, kept
@@ -155,10 +156,10 @@ def _order(table: pa.Table) -> np.ndarray:
     return np.where(ids.is_null().to_numpy(zero_copy_only=False), np.iinfo(np.int64).min, ids.fill_null(0).to_numpy(zero_copy_only=False))
 
 
-def _chunks(t: float):
+def _chunks(t: float, least: int):
     def row(batches: list[pa.RecordBatch], name: int) -> pa.RecordBatch:
         table = pa.Table.from_batches(batches).combine_chunks()
-        lines = _Lines(_texts(table))
+        lines = _Lines(_texts(table), least)
         word, start, size, kept = lines.sets(lines.hashes)
         # Of equal sets in this chunk the first in order stays; the others are its twins.
         sets = _set_hashes(lines.hashes, word, start)
@@ -212,13 +213,13 @@ def _priority(hashes: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.where(hit, np.uint64(1 << 63) + order[at].astype(np.uint64), hashes >> np.uint64(1))
 
 
-def _postings(frequent: np.ndarray, buckets: int, t: float):
+def _postings(frequent: np.ndarray, buckets: int, t: float, least: int):
     edges = np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, body, twins in zip(*(batch.column(c).to_pylist() for c in ("chunk", "body", "twins"))):
-                lines = _Lines(_texts(_unpack_batch(body)))
+                lines = _Lines(_texts(_unpack_batch(body)), least)
                 word, start, size, kept = lines.sets(_priority(lines.hashes, frequent))
                 if not len(size):
                     continue
@@ -274,9 +275,9 @@ def _candidates(t: float):
         bitmaps = np.zeros((len(line), 4), np.uint64)
         bitmaps[:, 0] = np.concatenate(parts["bitmap"])
         bitmaps[size > WIDE, 1:] = np.concatenate(parts["wide"]).reshape(-1, 3)
-        order = np.lexsort((size, word))
-        line, word, size, place, bitmaps = line[order], word[order], size[order], place[order], bitmaps[order]
         folded = _folded(bitmaps)
+        order = np.lexsort((folded, size, word))
+        line, word, size, place, bitmaps, folded = line[order], word[order], size[order], place[order], bitmaps[order], folded[order]
         names, node = np.unique(line, return_inverse=True)
         parent = np.arange(len(names))
         # Lines of a word stand together from the shortest on: each meets the next, the next but one, and
@@ -286,6 +287,10 @@ def _candidates(t: float):
         total = np.arange(2 * int(size.max()) + 1)
         least_of = _overlap(total, 0, t)
         spare_of = (total - 2 * least_of).astype(np.int32)
+        # Sets that only an equal one can match meet those of equal bitmaps, which stand together.
+        same = np.flatnonzero(np.r_[(word[1:] != word[:-1]) | (size[1:] != size[:-1]) | (folded[1:] != folded[:-1]), True]) + 1
+        alone = (np.floor(size / t + 1e-9) == size) & (spare_of[2 * size] == 0)
+        last[alone] = same[np.searchsorted(same, np.flatnonzero(alone), "right")]
         a, step = np.flatnonzero(last - np.arange(len(line)) > 1), 1
         while len(a):
             b = a + step
@@ -299,6 +304,11 @@ def _candidates(t: float):
             _unite(parent, node[x[passed]], node[y[passed]])
             step += 1
             a = a[a + step < last[a]]
+            if step & (step - 1) == 0:
+                # Of lines whose whole range is linked to them already, nothing is left to find.
+                root = _roots(parent, node)
+                runs = np.flatnonzero(np.r_[(root[1:] != root[:-1]), True]) + 1
+                a = a[runs[np.searchsorted(runs, a, "right")] < last[a]]
         root = _roots(parent, np.arange(len(names)))
         linked = root != np.arange(len(names))
         return pa.table({"a": names[linked], "b": names[root[linked]]})
@@ -313,13 +323,13 @@ def _met(chunks: DataFrame, parts: DataFrame) -> DataFrame:
     return body.union(rows).repartition(partitions(chunks.sparkSession), "chunk").sortWithinPartitions("chunk", "turn")
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(least: int):
     """The words of the lines asked for, with the line's order."""
     def settle(chunk, body, places, families):
         table = _unpack_batch(body)
         order = np.argsort(places)
         places, families = np.array(places)[order], np.array(families)[order]
-        lines = _Lines(_texts(table), places)
+        lines = _Lines(_texts(table), least, places)
         word, start, size, kept = lines.sets(lines.hashes)
         at = np.searchsorted(places, lines.line[kept])
         ids = _order(table)[lines.doc[kept]]
@@ -328,19 +338,21 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array(families[at]), pa.array(ids), pa.array(lines.line[kept] + (chunk << PLACES)), pa.array(words, pa.binary())],
             ["family", "id", "line", "words"])
 
-    chunk = body = None
-    places, families = [], []
-    for batch in batches:
-        for number, turn, own, place, family in zip(*(batch.column(c).to_pylist() for c in ("chunk", "turn", "body", "place", "family"))):
-            if turn == 0:
-                if places:
-                    yield settle(chunk, body, places, families)
-                chunk, body, places, families = number, own, [], []
-            else:
-                places += place
-                families += family
-    if places:
-        yield settle(chunk, body, places, families)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = body = None
+        places, families = [], []
+        for batch in batches:
+            for number, turn, own, place, family in zip(*(batch.column(c).to_pylist() for c in ("chunk", "turn", "body", "place", "family"))):
+                if turn == 0:
+                    if places:
+                        yield settle(chunk, body, places, families)
+                    chunk, body, places, families = number, own, [], []
+                else:
+                    places += place
+                    families += family
+        if places:
+            yield settle(chunk, body, places, families)
+    return work
 
 
 def _jaccard(a: np.ndarray, b: np.ndarray, words: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -448,12 +460,12 @@ def _rewritten(names: list[str]):
     return work
 
 
-def dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def dedup(docs: DataFrame, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with the lines removed that match an earlier one, and with n_lines and removed.
 
     ``docs``: (doc_id, text) and any other columns, which are kept; columns named n_lines or removed are
-    replaced. Lines are what stands between line feeds. A line with at least ``LEAST_WORDS`` distinct words
-    goes if an earlier one, of this or another row, whether it stays or not, has a Jaccard similarity of
+    replaced. Lines are what stands between line feeds. A line with at least ``least_words`` distinct words
+    (1: every line that is not blank) goes if an earlier one, of this or another row, whether it stays or not, has a Jaccard similarity of
     ``similarity`` or more to its set of words (A-Z lower-cased, between ASCII white space). Earlier: a
     smaller doc_id, null first; of rows with equal ids the one that comes first in the written table.
     n_lines counts the lines that were there, removed lists the places of those removed, from 0. A null
@@ -461,16 +473,16 @@ def dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """
     docs = docs.drop("n_lines", "removed").withColumn("doc_id", F.col("doc_id").cast("long"))
     spark, schema = docs.sparkSession, docs.schema
-    chunks = written(docs.mapInArrow(_chunks(similarity), _CHUNK), "none")
+    chunks = written(docs.mapInArrow(_chunks(similarity, least_words), _CHUNK), "none")
     frequent = _frequent(chunks)
     buckets = max(1, -(-(chunks.agg(F.sum("postings")).first()[0] or 0) // BUCKET))
-    posted = chunks.select("chunk", "body", "twins").mapInArrow(_postings(frequent, buckets, similarity), _POSTINGS)
+    posted = chunks.select("chunk", "body", "twins").mapInArrow(_postings(frequent, buckets, similarity, least_words), _POSTINGS)
     links = posted.groupBy("bucket").applyInArrow(_candidates(similarity), "a long, b long")
     families = components(links)
 
     asked = families.groupBy(F.shiftrightunsigned("node", PLACES).alias("chunk")).agg(
         F.collect_list(F.col("node").bitwiseAND(F.lit((1 << PLACES) - 1))).alias("place"), F.collect_list("component").alias("family"))
-    sets = _met(chunks, asked).mapInArrow(_sets, "family long, id long, line long, words binary")
+    sets = _met(chunks, asked).mapInArrow(_sets(least_words), "family long, id long, line long, words binary")
     # A family of more lines than one task should hold is compared block by block.
     in_order = W.partitionBy("family").orderBy("id", "line")
     sets = sets.withColumn("block", F.floor((F.row_number().over(in_order) - 1) / FAMILY))

@@ -41,7 +41,7 @@ def op4_piecewise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_join.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = line_join.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), least_words=1)
     return found.select("doc_id", "n_lines", "removed", F.sha2("text", 256).alias("text_sha256"))
 
 
