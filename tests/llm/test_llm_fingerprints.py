@@ -226,3 +226,27 @@ def test_line_query_takes_short_lines(spark, tmp_path):
     spark.createDataFrame(SHORT, "doc_id long, text string, body string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     found = queries.op5_line_join(spark, str(tmp_path))
     assert {r.doc_id: r.removed for r in found.collect()} == {r[0]: r[4] for r in brute_lines(SHORT, least=1)}
+
+
+def near_text(text, tries=200_000):
+    """A text of another fingerprint at most two bits away."""
+    pick = random.Random(8)
+    base = brute_simhash(text)
+    words = text.split(" ")
+    for _ in range(tries):
+        changed = list(words)
+        changed[pick.randrange(len(words))] = f"n{pick.randrange(1 << 30)}"
+        if 0 < (simhash.fingerprint(" ".join(changed)) ^ base).bit_count() <= 2:
+            return " ".join(changed)
+    raise AssertionError("no near text")
+
+
+LONG = " ".join(f"word{i}" for i in range(400))
+
+
+def test_rows_without_an_id_link(spark):
+    near = near_text(LONG)
+    rows = [(5, LONG, ""), (None, near, ""), (9, "other words", "")]
+    found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, x string")).collect()
+    assert sorted(((r.doc_id, r.simhash % 2**64, r.component_id) for r in found), key=str) == brute_components(rows)
+    assert {r.doc_id: r.component_id for r in found} == {5: 5, None: 5, 9: 9}

@@ -187,11 +187,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     aggregation before anything is compared, so copies cost one row per task.
     """
     marked = written(fingerprints(docs, shingle))
-    least = marked.groupBy("simhash").agg(F.min("doc_id").alias("node"))
-    nodes = written(least.filter("node is not null"))
-    groups = components(near_links(nodes, radius))
-    named = nodes.join(groups, "node", "left").select("simhash", F.coalesce("component", "node").alias("component_id"))
-    return marked.join(named, "simhash", "left").select("doc_id", "simhash", "component_id")
+    return marked.join(_least(marked, "doc_id", radius), "simhash", "left").select("doc_id", "simhash", F.col("least").alias("component_id"))
+
+
+def _least(marked: DataFrame, value: str, radius: int) -> DataFrame:
+    """(simhash, least): the least ``value`` in the component of each fingerprint. Fingerprints are the nodes,
+    so that rows without an id link like any other."""
+    nodes = written(marked.groupBy("simhash").agg(F.min(value).alias("own")))
+    groups = components(near_links(nodes.select("simhash", F.col("simhash").alias("node")), radius))
+    linked = nodes.join(groups.withColumnRenamed("node", "simhash"), "simhash")
+    least = linked.groupBy("component").agg(F.min("own").alias("least"))
+    named = linked.select("simhash", "component").join(least, "component").select("simhash", "least")
+    return nodes.join(named, "simhash", "left").select("simhash", F.coalesce("least", "own").alias("least"))
 
 
 def keep_first(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
