@@ -244,6 +244,16 @@ def near_text(text, tries=200_000):
 LONG = " ".join(f"word{i}" for i in range(400))
 
 
+def test_keep_first_judges_rows_not_ids(spark):
+    near = near_text(LONG)
+    rows = [(1, "a b c d e f"), (None, "a b c d e f"), (None, "clean and alone here"), (None, "another clean one"),
+            (7, "a b c d e f"), (7, "not like any other text"), (8, LONG), (8, near), (None, None), (None, "")]
+    kept = {(r.doc_id, r.text or "") for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept - {(8, LONG), (8, near)} == {(1, "a b c d e f"), (None, "clean and alone here"), (None, "another clean one"),
+                                            (7, "not like any other text"), (None, "")}
+    assert len(kept) == 6
+
+
 def test_rows_without_an_id_link(spark):
     near = near_text(LONG)
     rows = [(5, LONG, ""), (None, near, ""), (9, "other words", "")]

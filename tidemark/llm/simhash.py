@@ -47,14 +47,17 @@ def fingerprint(text: str, shingle: int = 3) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, simhash): the fingerprint of each row's whole text as a signed 64-bit number."""
+def fingerprints(docs: DataFrame, shingle: int = 3, carried: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``carried`` columns, all long, and simhash: each row's whole text's fingerprint as a signed number."""
+    names = list(carried)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
             values = np.array([fingerprint(t, shingle) for t in texts(batch)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values)], ["doc_id", "simhash"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(values)], [*names, "simhash"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, simhash long")
+    rows = docs.select(*[F.col(n).cast("long") for n in names], "text")
+    return rows.mapInArrow(work, ", ".join(f"`{n}` long" for n in [*names, "simhash"]))
 
 
 class BKForest:
@@ -202,14 +205,20 @@ def _least(marked: DataFrame, value: str, radius: int) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is their component's smallest, of equal rows one.
+    """One row of each component of ``docs``: that of the smallest doc_id, of those the least text hash.
 
-    Rows without an id stay only where no linked row has one. Rows that share an id and a fingerprint
-    are looked for first; only where there are some are the kept texts shuffled to find equal ones.
+    Rows are judged by id and text, so rows that share an id, or have none, stay or go each for itself.
+    A row without an id stays only where no linked row has one. Copies of one id and text are looked
+    for first; only where there are some are the kept texts shuffled to find equal ones.
     """
-    found = written(near_duplicates(docs, shingle, radius))
-    gone = found.filter("doc_id is null and component_id is not null or doc_id > component_id").select("doc_id").distinct()
-    # merged at every size: the ids that go have no bound for a broadcast
-    kept = docs.join(gone.hint("merge"), docs.doc_id.eqNullSafe(gone.doc_id), "left_anti")
-    repeats = found.groupBy("doc_id", "simhash").count().filter("count > 1")
+    names = ["id", "hash", "check"]
+    id_, hash_, check = docs.doc_id.cast("long"), F.xxhash64(docs.text), F.coalesce(F.crc32(docs.text.cast("binary")), F.lit(-1))
+    marked = written(fingerprints(docs.select(docs.text, id_.alias("id"), hash_.alias("hash"), check.alias("check")), shingle, names))
+    ranked = marked.withColumn("rank", F.struct(F.col("id").isNull().alias("none"), *names))
+    found = marked.join(_least(ranked, "rank", radius), "simhash")
+    first = F.col("id").eqNullSafe(F.col("least.id")) & (F.col("hash") == F.col("least.hash")) & (F.col("check") == F.col("least.check"))
+    gone = found.filter(~first).select(*names).distinct()
+    # merged at every size: the rows that go have no bound for a broadcast
+    kept = docs.join(gone.hint("merge"), id_.eqNullSafe(gone.id) & (hash_ == gone.hash) & (check == gone.check), "left_anti")
+    repeats = marked.groupBy(*names).count().filter("count > 1")
     return kept if repeats.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
