@@ -260,3 +260,20 @@ def test_rows_without_an_id_link(spark):
     found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, x string")).collect()
     assert sorted(((r.doc_id, r.simhash % 2**64, r.component_id) for r in found), key=str) == brute_components(rows)
     assert {r.doc_id: r.component_id for r in found} == {5: 5, None: 5, 9: 9}
+
+
+def test_hot_words_meet_in_blocks(spark, monkeypatch):
+    """Lines of one template with one or two own words: no task gets all postings of its rarest word."""
+    pick, template = random.Random(9), "the quick brown fox jumps over lazy dogs today"
+    rows = [(i, f"{template.rsplit(' ', own - 1)[0]} " + " ".join(f"own{i if pick.random() < 0.9 else i // 2}x{k}" for k in range(own)), "x")
+            for i in range(240) for own in (1 + (i % 3 > 0),)] + [(500, " ".join(template.split()[:8]), "x"), (600, template, "x")]
+    for name, value in (("CHUNK", 50), ("BUCKET", 40), ("NAMED", 1), ("FREQUENT", 64)):
+        monkeypatch.setattr(line_join, name, value)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, body string").coalesce(1)
+    got = sorted(((r.doc_id, r.text, r.body, r.n_lines, r.removed) for r in line_join.dedup(docs, least_words=1).collect()), key=str)
+    assert got == brute_lines(rows, least=1)
+    chunks = line_join.written(docs.mapInArrow(line_join._chunks(0.8, 1), line_join._CHUNK))
+    met = {}
+    for r in line_join._posted(chunks, 0.8, 1).collect():
+        met[r.bucket] = met.get(r.bucket, 0) + len(line_join.unpack(bytes(r.line)))
+    assert max(met.values()) <= 3 * line_join.BUCKET

@@ -2,7 +2,7 @@
 
 A line is the set of its lower-cased words. Words are ordered by rarity; two sets of Jaccard
 similarity t must share a word among the first of each (prefix filter), be of similar length (length
-filter), and have enough words left after the shared one (positional filter). A parity bitmap of each
+filter), and have enough words left from the first shared one on (positional filter). A parity bitmap of each
 set bounds the difference of two sets once more. Lines that pass form families; within a family,
 Jaccard is computed and every line that has an earlier match goes.
 
@@ -31,6 +31,9 @@ SIMILARITY = 0.8
 LEAST_WORDS = 5
 #: Words of a chunk, postings of a bucket of the hash range, lines of a family that meet in one task.
 CHUNK, BUCKET, FAMILY = 1_000_000, 400_000, 20_000
+#: Postings of a word in one chunk from which on the chunk names it; words that then have more than a bucket
+#: are hot, and their postings meet in pairs of blocks of half a bucket.
+NAMED = 8
 #: A word is frequent if it is one in so many at least; there are no more frequent words than that.
 FREQUENT = 1 << 16
 #: Rows of families that a task holds at once.
@@ -41,7 +44,7 @@ PLACES = 24
 WIDE = 80
 
 _CHUNK = "chunk long, body binary, twins binary, words binary, counts binary, tokens long, postings long"
-_POSTINGS = "bucket int, chunk long, word binary, line binary, size binary, place binary, bitmap binary, wide binary"
+_POSTINGS = "bucket long, side int, chunk long, word binary, line binary, size binary, place binary, bitmap binary, wide binary"
 
 
 def _prefix(size: np.ndarray, t: float) -> np.ndarray:
@@ -53,6 +56,12 @@ def _overlap(a: np.ndarray, b: np.ndarray | int, t: float) -> np.ndarray:
     return np.ceil(t / (1 + t) * (a + b) - 1e-9).astype(np.int64)
 
 
+def _core(size: np.ndarray, place: np.ndarray, t: float) -> np.ndarray:
+    """Whether a set whose first shared word stands at ``place`` can match one of its own size. Two sets of
+    which neither can never match, whatever their sizes."""
+    return size - place >= _overlap(size, size, t)
+
+
 def _hashes(words: pa.StringArray) -> np.ndarray:
     """A 64-bit hash of each word: its bytes as digits in an odd base, mixed, over all words at once."""
     if not len(words):
@@ -203,6 +212,47 @@ def _frequent(chunks: DataFrame) -> np.ndarray:
     return np.array([r[0] for r in words.select("word").collect()][::-1], np.int64).view(np.uint64)
 
 
+def _hot(chunks: DataFrame, frequent: np.ndarray, buckets: int, t: float, least: int) -> tuple[np.ndarray, ...]:
+    """(word, blocks of cores, blocks of tails, first bucket) of the words with more postings than a bucket.
+
+    Counts decide how postings are dealt, not which meet.
+    """
+    if buckets == 1:  # no word has more than all have
+        return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for body, twins in zip(*(batch.column(c).to_pylist() for c in ("body", "twins"))):
+                lines = _Lines(_texts(_unpack_batch(body)), least)
+                word, start, size, kept = lines.sets(_priority(lines.hashes, frequent))
+                count = np.where(np.isin(lines.line[kept], unpack(twins)), 0, _prefix(size, t))
+                owner = np.repeat(np.arange(len(size)), count)
+                place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+                first, core = word[start[owner] + place], _core(size[owner], place, t)
+                cores, tails = (np.bincount(first[c], minlength=len(lines.hashes)) for c in (core, ~core))
+                named = np.flatnonzero(cores + tails >= NAMED)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(lines.hashes[named].view(np.int64)), pa.array(cores[named]), pa.array(tails[named])], ["word", "cores", "tails"])
+
+    words = chunks.select("body", "twins").mapInArrow(work, "word long, cores long, tails long")
+    words = words.groupBy("word").agg(F.sum("cores").alias("cores"), F.sum("tails").alias("tails")).filter(F.col("cores") + F.col("tails") > BUCKET)
+    found = np.array([tuple(r) for r in words.collect()], np.int64).reshape(-1, 3)
+    word = found[:, 0].copy().view(np.uint64)
+    order = np.argsort(word)
+    half = max(1, BUCKET // 2)
+    cores, tails = (np.maximum(1, -(-found[order, i] // half)) for i in (1, 2))
+    n = cores * (cores + 1) // 2 + cores * tails
+    return word[order], cores, tails, buckets + np.cumsum(n) - n
+
+
+def _dealt(core: bool, blocks: int, others: int, block: int) -> list[tuple[int, int]]:
+    """(task, side) of a hot word's block: cores meet cores and tails; side 0 compares with itself, 1 with 2."""
+    if not core:
+        return [(others * (others + 1) // 2 + i * blocks + block, 2) for i in range(others)]
+    met = [(max(block, j) * (max(block, j) + 1) // 2 + min(block, j), 0 if j == block else 1 if j > block else 2) for j in range(blocks)]
+    return met + [(blocks * (blocks + 1) // 2 + block * others + j, 1) for j in range(others)]
+
+
 def _priority(hashes: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """Words that are not frequent come first, by hash; then the frequent ones, rarest first."""
     if not len(frequent):
@@ -213,7 +263,8 @@ def _priority(hashes: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.where(hit, np.uint64(1 << 63) + order[at].astype(np.uint64), hashes >> np.uint64(1))
 
 
-def _postings(frequent: np.ndarray, buckets: int, t: float, least: int):
+def _postings(frequent: np.ndarray, buckets: int, hot: tuple[np.ndarray, ...], t: float, least: int):
+    hot_words, hot_cores, hot_tails, hot_buckets = hot
     edges = np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,17 +284,43 @@ def _postings(frequent: np.ndarray, buckets: int, t: float, least: int):
                 key = lines.hashes[word[start[owner] + place]]
                 order = np.argsort(key, kind="stable")
                 key, owner, place = key[order], owner[order], place[order]
-                cuts = np.r_[0, np.searchsorted(key, edges), len(key)]
-                rows = []
+                names, rows = lines.line[kept], []
+
+                def row(bucket, side, at):
+                    who = owner[at]
+                    return (bucket, side, chunk, pack(key[at], True), pack(names[who].astype(np.uint32)), pack(least_type(size[who])),
+                            pack(least_type(place[at])), pack(bitmaps[who, 0]), pack(bitmaps[who[~short[who]], 1:].ravel()))
+
+                heated = np.isin(key, hot_words)
+                rest = np.flatnonzero(~heated)
+                cuts = np.r_[0, np.searchsorted(key[rest], edges), len(rest)]
                 for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])):
                     if hi > lo:
-                        who = owner[lo:hi]
-                        rows.append((b, chunk, pack(key[lo:hi], True), pack(lines.line[kept][who].astype(np.uint32)), pack(least_type(size[who])),
-                                     pack(least_type(place[lo:hi])), pack(bitmaps[who, 0]), pack(bitmaps[who[~short[who]], 1:].ravel())))
+                        rows.append(row(b, 0, rest[lo:hi]))
                 if rows:
-                    kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 6)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["bucket", "chunk", "word", "line", "size", "place", "bitmap", "wide"])
+                    yield batch_of(rows)
+                # A chunk's lines go to four blocks at most, so that rows stay long.
+                at = np.flatnonzero(heated)
+                which = np.searchsorted(hot_words, key[at])
+                core = _core(size[owner[at]], place[at], t)
+                blocks = np.where(core, hot_cores[which], hot_tails[which])
+                spread = (names[owner[at]] * 0x9E3779B1 >> 7) % np.minimum(blocks, 4)
+                block = (chunk * 0x9E3779B1 % 0x7FFFFFFF + spread) % blocks
+                order = np.lexsort((block, core, which))
+                at, which, core, block = at[order], which[order], core[order], block[order]
+                ends = np.flatnonzero(np.r_[(which[1:] != which[:-1]) | (core[1:] != core[:-1]) | (block[1:] != block[:-1]), np.ones(min(1, len(at)), bool)]) + 1
+                for lo, hi in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist()):
+                    w = which[lo]
+                    own, others = (hot_cores[w], hot_tails[w])[::1 if core[lo] else -1]
+                    made = row(0, 0, at[lo:hi])
+                    tasks = _dealt(bool(core[lo]), int(own), int(others), int(block[lo]))
+                    for i in range(0, len(tasks), 256):
+                        yield batch_of([(int(hot_buckets[w]) + task, side, *made[2:]) for task, side in tasks[i:i + 256]])
+
+    def batch_of(rows):
+        kinds = (pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 6)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["bucket", "side", "chunk", "word", "line", "size", "place", "bitmap", "wide"])
     return work
 
 
@@ -270,6 +347,7 @@ def _candidates(t: float):
     def work(key: tuple, asked: pa.Table) -> pa.Table:
         parts = {c: [unpack(v) for v in asked.column(c).to_pylist()] for c in ("word", "line", "size", "place", "bitmap", "wide")}
         line = np.concatenate([l.astype(np.int64) + (c << PLACES) for l, c in zip(parts["line"], asked.column("chunk").to_pylist())])
+        side = np.repeat(asked.column("side").to_numpy(), [len(l) for l in parts["line"]])
         word, size, place = (np.concatenate([v.astype(k) for v in parts[c]]) for c, k in (
             ("word", np.uint64), ("size", np.int64), ("place", np.int64)))
         bitmaps = np.zeros((len(line), 4), np.uint64)
@@ -277,7 +355,7 @@ def _candidates(t: float):
         bitmaps[size > WIDE, 1:] = np.concatenate(parts["wide"]).reshape(-1, 3)
         folded = _folded(bitmaps)
         order = np.lexsort((folded, size, word))
-        line, word, size, place, bitmaps, folded = line[order], word[order], size[order], place[order], bitmaps[order], folded[order]
+        line, side, word, size, place, bitmaps, folded = line[order], side[order], word[order], size[order], place[order], bitmaps[order], folded[order]
         names, node = np.unique(line, return_inverse=True)
         parent = np.arange(len(names))
         # Lines of a word stand together from the shortest on: each meets the next, the next but one, and
@@ -297,8 +375,9 @@ def _candidates(t: float):
             near = np.flatnonzero(np.bitwise_count(folded[a] ^ folded[b]) <= spare_of[size[a] + size[b]])
             x, y = a[near], b[near]
             both = size[x] + size[y]
-            most = np.minimum(place[x], place[y]) + np.minimum(size[x] - place[x], size[y] - place[y])
-            passed = (node[x] != node[y]) & (most >= least_of[both])
+            # A pair is found at its first shared word, before which nothing is shared.
+            most = np.minimum(size[x] - place[x], size[y] - place[y])
+            passed = (node[x] != node[y]) & (most >= least_of[both]) & ((side[x] != side[y]) | (side[x] == 0))
             wide = np.flatnonzero(passed & (size[x] > WIDE) & (size[y] > WIDE))
             passed[wide[_differing(bitmaps, x[wide], y[wide]) > spare_of[both[wide]]]] = False
             _unite(parent, node[x[passed]], node[y[passed]])
@@ -460,6 +539,14 @@ def _rewritten(names: list[str]):
     return work
 
 
+def _posted(chunks: DataFrame, t: float, least: int) -> DataFrame:
+    """The prefix words of all lines, by the bucket in which they meet."""
+    buckets = max(1, -(-(chunks.agg(F.sum("postings")).first()[0] or 0) // BUCKET))
+    frequent = _frequent(chunks)
+    work = _postings(frequent, buckets, _hot(chunks, frequent, buckets, t, least), t, least)
+    return chunks.select("chunk", "body", "twins").mapInArrow(work, _POSTINGS)
+
+
 def dedup(docs: DataFrame, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with the lines removed that match an earlier one, and with n_lines and removed.
 
@@ -474,10 +561,7 @@ def dedup(docs: DataFrame, similarity: float = SIMILARITY, least_words: int = LE
     docs = docs.drop("n_lines", "removed").withColumn("doc_id", F.col("doc_id").cast("long"))
     spark, schema = docs.sparkSession, docs.schema
     chunks = written(docs.mapInArrow(_chunks(similarity, least_words), _CHUNK), "none")
-    frequent = _frequent(chunks)
-    buckets = max(1, -(-(chunks.agg(F.sum("postings")).first()[0] or 0) // BUCKET))
-    posted = chunks.select("chunk", "body", "twins").mapInArrow(_postings(frequent, buckets, similarity, least_words), _POSTINGS)
-    links = posted.groupBy("bucket").applyInArrow(_candidates(similarity), "a long, b long")
+    links = _posted(chunks, similarity, least_words).groupBy("bucket").applyInArrow(_candidates(similarity), "a long, b long")
     families = components(links)
 
     asked = families.groupBy(F.shiftrightunsigned("node", PLACES).alias("chunk")).agg(
