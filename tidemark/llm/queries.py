@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, interpolation, langid, line_join, packing, permutation_index, piecewise, quality, simhash, url_rules
+from tidemark.llm import (
+    byte_bpe, interpolation, langid, lanczos_whitening, line_join, metric_tree, packing, permutation_index, piecewise, quality, simhash,
+    subvector_clusters, url_rules)
 from tidemark.llm.common import fold
 
 URL_RULES = [
@@ -72,8 +74,57 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary)
 
 
+def op11_subvector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = subvector_clusters.cluster(table(spark, sf_dir, "embeddings"))
+    digest = F.sha2(F.concat_ws(",", F.col("centroid").cast("array<string>")), 256)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
+def op12_metric_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_tree.top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op13_lanczos_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lanczos_whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_language, op2_quality, op3_packing, op4_piecewise, op5_line_join, op6_simhash, op7_url_rules, op8_nearest, op9_interpolation, op10_byte_bpe)}
+    op1_language, op2_quality, op3_packing, op4_piecewise, op5_line_join, op6_simhash, op7_url_rules, op8_nearest, op9_interpolation, op10_byte_bpe,
+    op11_subvector_clusters, op12_metric_tree, op13_lanczos_whitening)}
+
+_FINITE = "embedding is not null and len([1 for x in embedding if x is null or not isfinite(x)]) = 0"
+
+
+def _clusters_sql(k: int = 8, rounds: int = 10) -> str:
+    """K-means with each round as two common tables: nearest centroids, then floors of their means."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""
+near{i} as materialized (
+  select r, n as cluster, d, row_number() over (partition by r order by d, n) as place
+  from (select v.r, c.n, sum((v.x - c.x) * (v.x - c.x))::bigint as d from v join c{i} c using (dim) group by v.r, c.n)
+  qualify place = 1)""")
+        if i < rounds:
+            steps.append(f"""
+c{i + 1} as materialized (
+  select c.n, c.dim, coalesce(((s - ((s % m) + m) % m) // m)::bigint, c.x) as x
+  from c{i} c left join (
+    select near{i}.cluster as n, v.dim, sum(v.x) as s, count(*) as m from near{i} join v using (r) group by near{i}.cluster, v.dim) moved
+  using (n, dim))""")
+    return f"""
+with kept as materialized (
+  select row_number() over () as r, vec_id, embedding from embeddings where len(embedding) = 64 and {_FINITE}),
+v as materialized (
+  select r, unnest(range(64)) as dim, unnest([floor(1024 * x::double)::bigint for x in embedding]) as x from kept),
+first as (
+  select r, row_number() over (order by sha256('3:' || vec_id::varchar), embedding) - 1 as n from kept where vec_id is not null),
+c0 as materialized (select first.n, v.dim, v.x from first join v using (r) where first.n < {k}),{",".join(steps)}
+select kept.vec_id, f.cluster::int as cluster, f.d as distance, (sum(f.d) over (partition by f.cluster))::bigint as cluster_inertia,
+  (sum(f.d) over ())::bigint as inertia, h.centroid_sha256
+from near{rounds} f join kept using (r)
+join (select n as cluster, sha256(string_agg(x::varchar, ',' order by dim)) as centroid_sha256 from c{rounds} group by n) h using (cluster)"""
+
 
 SQL = {
     "op7_url_rules": """
@@ -92,4 +143,14 @@ fitting as (
   group by j.page_id)
 select j.page_id, j.host, j.path, f.rule, coalesce(f.verdict, 'allow') as verdict
 from judged j left join fitting f using (page_id)""",
+    "op11_subvector_clusters": _clusters_sql(),
+    "op12_metric_tree": f"""
+with v as (
+  select vec_id, unnest(range(len(embedding))) as dim, unnest([floor(256 * x::double)::bigint for x in embedding]) as x
+  from embeddings where {_FINITE}),
+scored as (
+  select q.vec_id as query_id, v.vec_id, sum(q.x * v.x)::bigint as score
+  from v q join v on q.dim = v.dim and q.vec_id <> v.vec_id where q.vec_id % 50 = 0 group by q.vec_id, v.vec_id)
+select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score
+from scored qualify rank <= 5""",
 }
