@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from tidemark.functions.numbers import change_ratio, ratio, round_half_away
+from tidemark.operators.facts import facts_of
 
 SIGNALS = ("engagement", "user", "jobs")
 
@@ -45,18 +46,29 @@ class Bounds:
     """The ``auto`` layout's limits: an account with more rows than ``history_rows``, and than
     one in ``accounts`` of all rows, is cut into blocks of about ``block_rows``.
 
-    At most ``accounts`` accounts can be that long, so their ids may be broadcast.
+    At most ``accounts`` accounts can be that long, so their ids, 8 MB of them, may be broadcast.
+    Of 10**12 rows a history of a million is cut, so a window group stays within some 100 MB.
     """
 
     history_rows: int = 100_000
     block_rows: int = 50_000
-    accounts: int = 10_000
+    accounts: int = 1_000_000
+
+
+def settled_layout(clean: DataFrame, layout: str | Bounds) -> str | Bounds:
+    """``window`` in place of ``auto`` where the ledger of ``clean`` tells that no history is long."""
+    facts = facts_of(clean)
+    if facts is None or layout in ("window", "blocks") or (isinstance(layout, str) and layout != "auto"):
+        return layout
+    bounds = Bounds() if layout == "auto" else layout
+    return "window" if facts.longest <= bounds.history_rows else layout
 
 
 def account_timeline(clean: DataFrame, layout: str | Bounds = "window") -> DataFrame:
     """Clean rows with the timeline columns; ``layout`` is ``window``, ``blocks``, ``auto`` or
     the ``Bounds`` of an ``auto`` layout."""
     from tidemark.operators.blocks import blocked_timeline, long_accounts
+    layout = settled_layout(clean, layout)
     if layout == "blocks":
         return blocked_timeline(clean)
     if layout == "window":

@@ -9,7 +9,7 @@ from tidemark import rules as r
 from tidemark.functions.numbers import (
     at_least_band, at_most_band, points_by_length, round_half_away, strict_greatest,
     strict_least)
-from tidemark.operators.history import account_timeline
+from tidemark.operators.history import account_timeline, settled_layout
 from tidemark.plans.snapshots import latest_snapshot, snapshot_months
 from tidemark.plans.trends import (
     has_pricing, is_sharp_decline, price_per_user, user_trend_columns)
@@ -21,7 +21,7 @@ def _timeline(clean: DataFrame, layout: str) -> DataFrame:
     """The account timeline; rows without an account id stay outside it.  They carry no
     penalty, so nothing of theirs is measured along months."""
     known = F.col("team_id").isNotNull()
-    return account_timeline(clean.where(known), layout).unionByName(
+    return account_timeline(clean.where(known), settled_layout(clean, layout)).unionByName(
         clean.where(~known), allowMissingColumns=True)
 
 
@@ -54,7 +54,7 @@ def latest_with_signals(clean: DataFrame, layout: str = "window") -> DataFrame:
     names, fees and dates come from a scan of the one month and join on the account.  Copies
     of an account's latest row all get the signals of the last of them, so none is multiplied.
     """
-    history = account_timeline(clean.where(F.col("team_id").isNotNull()), layout)
+    history = account_timeline(clean.where(F.col("team_id").isNotNull()), settled_layout(clean, layout))
     signals = (history.where(F.col("snapshot_month") == snapshot_months(clean)["latest"])
                .groupBy("team_id").agg(
                    *[F.max_by(c, "position").alias(c) for c in _LATEST_SIGNALS]))

@@ -11,6 +11,7 @@ from tidemark import rules as r
 from tidemark.functions.dates import (
     MICROS_PER_DAY, iso_from_parts, lenient_day, micros_until, whole_days)
 from tidemark.functions.numbers import leading_number, ratio, round_half_away
+from tidemark.operators.facts import facts_of, with_facts
 from tidemark.rules import STANDARD, Rules
 from tidemark.schema import CLEAN_COLUMNS, VIEW_COLUMNS
 
@@ -23,20 +24,24 @@ def clients_clean(raw: DataFrame, month_first: bool = True) -> DataFrame:
     month_at, day_at = (1, 4) if month_first else (4, 1)
     without_commas = F.replace(F.col("monthly_fee").cast("string"), F.lit(","), F.lit(""))
     end = iso_from_parts(F.col("latest_contract_end_date"), month_at, day_at, year_at=7)
-    return (
+    rows = (
         raw.where(F.coalesce(F.col("is_test"), F.lit(0)) == 0)
         .withColumns({"monthly_fee": without_commas, "latest_contract_end_date": end})
         .withColumn("monthly_fee", leading_number(F.col("monthly_fee")))
         .select(*CLEAN_COLUMNS)
     )
+    return with_facts(rows, facts_of(raw))
 
 
 def snapshot_months(clean: DataFrame) -> Column:
-    """The two newest months of the table, as a scalar subquery with fields
-    ``latest`` and ``previous`` (NULL when there is only one month).
+    """The two newest months of the table, a struct with fields ``latest`` and ``previous`` (NULL
+    when there is only one month): from the table's ledger, or else a scalar subquery.
 
     On a table partitioned by month, a filter on one of them prunes partitions.
     """
+    facts = facts_of(clean)
+    if facts is not None:
+        return F.struct(F.lit(facts.latest).cast("string").alias("latest"), F.lit(facts.previous).cast("string").alias("previous"))
     newest_two = (clean.select("snapshot_month").where(F.col("snapshot_month").isNotNull())
                   .distinct().orderBy(F.desc("snapshot_month")).limit(2))
     ends = newest_two.agg(

@@ -8,6 +8,7 @@ splits by the tasks, so neither many files nor one very large file is a job of i
 from __future__ import annotations
 
 import csv
+import io
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 from datetime import date
@@ -20,14 +21,12 @@ from pyspark.sql import types as T
 from tidemark.functions.numbers import whole_number
 from tidemark.rules import HEADER_TO_COLUMN, MISSING_TEXTS
 from tidemark.schema import LONG_COLUMNS, RAW_PARTITIONS, RAW_SCHEMA
-from tidemark.sources.raw_table import (
-    LEDGER_SCHEMA, add_to_ledger, open_ledger, read_ledger, replace_partitions)
+from tidemark.sources import records
+from tidemark.sources.raw_table import enter, open_ledger, read_ledger, table_buckets, write_rows
 
 _BROKEN = "broken_line"
 # Files that are loaded and entered in the ledger together.
 FILES_PER_BATCH = 10_000
-# Folders below the root in which hidden files are looked for.
-_HIDDEN_DEPTH = 6
 
 
 # --- names: what a file path says about its rows -------------------------------------------
@@ -60,27 +59,38 @@ def with_lineage(rows: DataFrame, path: Column, load_date: date | None = None) -
 # --- files: discovery, and which of them are new -------------------------------------------
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """Paths of all CSV files below ``root`` with their region and month."""
+    """Paths of all CSV files below ``root`` with their region and month, hidden folders included."""
     found = (spark.read.format("binaryFile")  # only the path is selected: no content is read
              .option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
              .load(root).select("path"))
+    within, _ = hidden_files(spark, root)
+    if within:
+        found = found.union(spark.createDataFrame([(p,) for p in within], "path string"))
     return with_file_keys(found)
 
 
-def hidden_files(spark: SparkSession, root: str) -> list[str]:
-    """CSV files whose name, or the name of a folder below ``root`` on their way, starts with
-    ``_`` or ``.``: Spark's readers pass over them, so a load cannot take them."""
+def hidden_files(spark: SparkSession, root: str) -> tuple[list[str], list[str]]:
+    """CSV files that a listing by Spark passes over: those below folders whose name starts with ``_`` or
+    ``.``, and those with such a name themselves.  The former can be read by their path, the latter not.
+
+    Each level below ``root`` is looked through by its hidden names only, down to the last level.
+    """
     hadoop = spark._jvm.org.apache.hadoop.fs
     base = hadoop.Path(root)
     system = base.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = set()
-    for above in range(_HIDDEN_DEPTH):
-        for below in range(_HIDDEN_DEPTH - above):
-            steps = ["*"] * above + (["[_.]*.csv"] if below == 0 else ["[_.]*"] + ["*"] * (below - 1) + ["*.csv"])
-            for status in system.globStatus(hadoop.Path(base, "/".join(steps))) or []:
-                if status.isFile():
-                    found.add(status.getPath().toString())
-    return sorted(found)
+    found, above = set(), ""
+    while len(system.globStatus(hadoop.Path(base, f"{above}*")) or []):
+        for status in system.globStatus(hadoop.Path(base, f"{above}[_.]*")) or []:
+            if status.isFile():
+                found.add(status.getPath().toString())
+                continue
+            files = system.listFiles(status.getPath(), True)
+            while files.hasNext():
+                found.add(files.next().getPath().toString())
+        above += "*/"
+    found = sorted(p for p in found if p.endswith(".csv"))
+    named = [p for p in found if p.rsplit("/", 1)[1][0] in "_."]
+    return [p for p in found if p not in set(named)], named
 
 
 def with_file_keys(paths: DataFrame) -> DataFrame:
@@ -105,18 +115,18 @@ def only_new(batch: DataFrame, loaded: DataFrame) -> DataFrame:
 def scan_files(spark: SparkSession, paths: Iterable[str], multi_line: bool = False) -> DataFrame:
     """All fields of the mapped headers as text, with the ``path`` each row came from.
 
-    Columns go by header name, so files may differ in column order; a file without one of
-    the headers is an error.  Fields with line breaks need ``multi_line=True``, which reads
-    each file in one piece; without it such a field is an error too.
+    Columns go by header name, so files may differ in column order; a file without one of the headers is
+    an error. Files are read in splits, also those with line breaks in quotes (``sources.records``);
+    ``multi_line=True`` reads each file in one piece instead, which gives the same rows.
     """
-    paths = list(paths)
+    plain, broken = _by_header(spark, list(paths))
     scans = []
-    for line, group in _by_header(spark, paths):
-        header = tuple(next(csv.reader([line.lstrip("\ufeff")]), []))
-        missing = [h for h in HEADER_TO_COLUMN if h not in header]
-        if missing:
-            raise ValueError(f"{group[0]}: missing columns {missing}")
-        scans.append(_scan(spark, group, header, multi_line))
+    for line, group in plain:
+        scans.append(_scan(spark, group, _header(line, group[0]), multi_line))
+    if broken and multi_line:
+        scans += [_scan(spark, group, _header(line, group[0]), True) for line, group in _grouped(_whole_headers(spark, broken))]
+    elif broken:
+        scans += _scan_broken(spark, broken)
     if not scans:
         names = [*HEADER_TO_COLUMN.values(), "path"]
         return spark.createDataFrame([], T.StructType(
@@ -124,22 +134,78 @@ def scan_files(spark: SparkSession, paths: Iterable[str], multi_line: bool = Fal
     return reduce(DataFrame.unionByName, scans)
 
 
-def _by_header(spark: SparkSession, paths: list[str]) -> list[tuple[str, list[str]]]:
-    """Header lines and the files under each, from one pass over the files' first splits.
+def _header(line: str, path: str) -> tuple[str, ...]:
+    header = tuple(next(csv.reader(io.StringIO(line.lstrip("\ufeff"), newline="")), []))
+    missing = [h for h in HEADER_TO_COLUMN if h not in header]
+    if missing:
+        raise ValueError(f"{path}: missing columns {missing}")
+    return header
+
 
-    Within a split lines come in order, so the first one seen is a file's header.  An empty
-    file has none, which is an error.
+def _by_header(spark: SparkSession, paths: list[str]) -> tuple[list[tuple[str, list[str]]], list[str]]:
+    """Header lines and the files under each, and the files that have line breaks in quotes, from one pass.
+
+    Within a split lines come in order, so the first one seen in a file's first split is its header. A file
+    has breaks in quotes if any line of it would end inside quotes when begun outside them: the first
+    such line does begin outside. An empty file has no header, which is an error.
     """
     if not paths:
-        return []
-    lines = (spark.read.text([literal_path(p) for p in paths])
-             .where(F.col("_metadata.file_block_start") == 0)
-             .select(_file_path().alias("path"), "value"))
-    headers = lines.groupBy("path").agg(F.first("value").alias("header"))
-    groups = headers.groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths")).collect()
+        return [], []
+    line = records.without_mark(F.col("value"))
+    header = F.when(F.col("_metadata.file_block_start") == 0, F.col("value"))
+    files = (spark.read.text([literal_path(p) for p in paths])
+             .select(_file_path().alias("path"), header.alias("header"), records.ends_quoted(line, False).alias("broken"))
+             .groupBy("path").agg(F.first("header", ignorenulls=True).alias("header"), F.max("broken").alias("broken")))
+    groups = files.groupBy("broken", F.when(~F.col("broken"), F.col("header")).alias("header")).agg(
+        F.sort_array(F.collect_list("path")).alias("paths")).collect()
     if sum(len(g["paths"]) for g in groups) < len(set(paths)):
         raise ValueError(f"a file is empty: missing columns {list(HEADER_TO_COLUMN)}")
-    return sorted((g["header"], g["paths"]) for g in groups)
+    return (sorted((g["header"], g["paths"]) for g in groups if not g["broken"]),
+            [p for g in groups if g["broken"] for p in g["paths"]])
+
+
+def _grouped(headers: dict[str, str]) -> list[tuple[str, list[str]]]:
+    groups = {}
+    for path, header in sorted(headers.items()):
+        groups.setdefault(header, []).append(path)
+    return sorted(groups.items())
+
+
+def _whole_headers(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """First records of files with line breaks in quotes."""
+    lines = records.lines_of(spark, [literal_path(p) for p in paths], _file_path())
+    return {r["path"]: r["header"] for r in records.headers(lines).collect()}
+
+
+def _scan_broken(spark: SparkSession, paths: list[str]) -> list[DataFrame]:
+    """Files with line breaks in quotes: their records are cut from the lines of all splits, then parsed.
+
+    The few files whose lines end in a carriage return alone cannot be split at line feeds: they are read
+    in one piece each, with line feeds for their breaks in quotes.
+    """
+    headers = _whole_headers(spark, paths)
+    for path in paths:
+        if path not in headers:
+            raise ValueError(f"{path}: missing columns {list(HEADER_TO_COLUMN)}: its first quote is not closed in its first split")
+    returns = {p: h for p, h in headers.items() if "\r" in h.removesuffix("\r")}
+    scans = [_scan(spark, group, _header(line.split("\r")[0], group[0]), True) for line, group in _grouped(returns)]
+    split = sorted(set(paths) - set(returns))
+    if not split:
+        return scans
+    parsed = {p: _header(headers[p].removesuffix("\r"), p) for p in split}
+    places = spark.createDataFrame(
+        [(p, len(h), [h.index(c) + 1 for c in HEADER_TO_COLUMN]) for p, h in parsed.items()], "path string, width int, places array<int>")
+    width = max(map(len, parsed.values()))
+    fields = [f"f{i}" for i in range(width)]
+    schema = ", ".join(f"{f} string" for f in [*fields, _BROKEN])
+    options = {"quote": '"', "escape": '"', "multiLine": "true", "columnNameOfCorruptRecord": _BROKEN}
+    lines = records.lines_of(spark, [literal_path(p) for p in split], _file_path())
+    rows = records.records_of(lines).join(F.broadcast(places), "path").withColumn("row", F.from_csv("record", schema, options))
+    unquoted = F.regexp_replace("record", '"[^"]*"', "")
+    checked = F.assert_true(F.size(F.split(unquoted, ",")) <= F.col("width"), F.concat(F.col("path"), F.lit(": a CSV record has too many fields")))
+    texts = F.array(*[F.col(f"row.{f}") for f in fields])
+    return [*scans, rows.where(checked.isNull()).select(
+        *[F.element_at(texts, F.col("places")[i]).alias(c) for i, c in enumerate(HEADER_TO_COLUMN.values())], "path")]
 
 
 def literal_path(path: str) -> str:
@@ -166,7 +232,7 @@ def _scan(spark: SparkSession, paths: list[str], header: tuple[str, ...],
     complete = ~F.contains(unquoted, F.lit('"')) & (F.size(F.split(unquoted, ",")) <= len(header))
     checked = F.assert_true(
         F.coalesce(complete, F.lit(True)),
-        "a CSV record has too many fields or a line break inside quotes (see multi_line)")
+        "a CSV record has too many fields")
     return rows.where(checked.isNull()).select(
         *[F.col(f"f{header.index(h)}").alias(c) for h, c in HEADER_TO_COLUMN.items()],
         _file_path().alias("path"))
@@ -208,32 +274,37 @@ def raw_rows(texts: DataFrame, load_date: date | None = None) -> DataFrame:
 # --- load ----------------------------------------------------------------------------------
 
 def ingest(spark: SparkSession, root: str, table_path: str, load_date: date | None = None,
-           multi_line: bool = False, strict: bool = False) -> DataFrame:
+           multi_line: bool = False, strict: bool = False, buckets: int = 0, replace: bool = False) -> DataFrame:
     """Load the new files below ``root``; running it again adds nothing.
 
-    Returns one row per file of this run: path, snapshot_month, region, rows and what the ledger
-    says of it, with ``skipped`` true (and no counts) for hidden files, which cannot be read.
+    Returns one row per file of this run: path, snapshot_month, region, rows and what the ledger says of
+    it, with ``skipped`` true (and no counts) for files with hidden names, which cannot be read.
     ``strict`` makes values that are no whole numbers an error; else they are counted.
+    ``buckets`` lays the rows out by account (``raw_table.write_rows``), like the table's last load if
+    not given.  ``replace`` loads all files, and switches the months and regions that are there already.
     """
-    skipped = hidden_files(spark, root)
-    report = ingest_files(spark, list_files(spark, root), table_path, load_date, multi_line, strict)
-    names = spark.createDataFrame([(p,) for p in skipped], "path string")
+    _, unread = hidden_files(spark, root)
+    report = ingest_files(spark, list_files(spark, root), table_path, load_date, multi_line, strict, buckets, replace)
+    names = spark.createDataFrame([(p,) for p in unread], "path string")
     return report.unionByName(with_file_keys(names).withColumn("skipped", F.lit(True)),
                               allowMissingColumns=True)
 
 
 def ingest_files(spark: SparkSession, files: DataFrame, table_path: str,
                  load_date: date | None = None, multi_line: bool = False,
-                 strict: bool = False) -> DataFrame:
+                 strict: bool = False, buckets: int = 0, replace: bool = False) -> DataFrame:
     """``ingest`` for a frame of files (``with_file_keys``).
 
-    Of each batch the rows replace what the table holds of their months and regions, then the
-    ledger takes them in.  Only what the ledger holds counts as loaded: a load that breaks off
-    in between is repeated by the next run.
+    Each batch writes its rows beside those of the table, then the ledger takes in its months and
+    regions: readers see all of a batch or nothing.  A load that breaks off in between is repeated
+    by the next run, and of loads that run at once the first to enter a month and region has it.
     """
-    loaded = open_ledger(spark, table_path)
+    ledger = open_ledger(spark, table_path)
+    buckets = buckets or table_buckets(ledger)
+    tried = spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in RAW_PARTITIONS]))
     done = []
     while True:
+        loaded = tried if replace else ledger.select(*RAW_PARTITIONS).union(tried)
         todo = new_files(files, loaded).orderBy("path").limit(FILES_PER_BATCH).collect()
         if not todo:
             break
@@ -245,12 +316,14 @@ def ingest_files(spark: SparkSession, files: DataFrame, table_path: str,
         keys = spark.createDataFrame(todo, "snapshot_month string, region string, path string")
         with ThreadPoolExecutor(1) as beside:  # the write waits for files, the count for tasks
             counted = beside.submit(_loads(texts, keys).collect)
-            replace_partitions(raw_rows(texts, load_date), table_path)
-        add_to_ledger(spark.createDataFrame(counted.result(), LEDGER_SCHEMA), table_path)
-        loaded = read_ledger(spark, table_path)
-        done += [f["path"] for f in todo]
+            folder = write_rows(raw_rows(texts, load_date), table_path, buckets)
+        paths = {(f["snapshot_month"], f["region"]): f["path"] for f in todo}
+        entries = [e.asDict() | {"folder": folder, "buckets": buckets} for e in counted.result()]
+        done += [paths[key] for key in enter(spark, table_path, entries, replace)]
+        tried = tried.union(keys.select(*RAW_PARTITIONS))
     paths = spark.createDataFrame([(p,) for p in done], "path string")
-    return loaded.join(paths, "path", "left_semi").withColumn("skipped", F.lit(False))
+    return (read_ledger(spark, table_path).drop("folder", "buckets", "number")
+            .join(paths, "path", "left_semi").withColumn("skipped", F.lit(False)))
 
 
 def _loads(texts: DataFrame, files: DataFrame) -> DataFrame:
@@ -262,8 +335,9 @@ def _loads(texts: DataFrame, files: DataFrame) -> DataFrame:
     counts = keys.groupBy("path").agg(
         F.sum("n").alias("rows"), F.sum("rejected").alias("rejected"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("columns")))).alias("rejected_columns"),
+        F.max("n").alias("most_rows"),
         F.count_if((F.col("n") > 1) & F.col("team_id").isNotNull()).alias("duplicate_keys"))
-    zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("rows", "rejected", "duplicate_keys")}
+    zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("rows", "rejected", "duplicate_keys", "most_rows")}
     # a file marks no test accounts, so all its rows count
     return (files.join(counts, "path", "left").withColumns(zero)
-            .withColumn("kept_rows", F.col("rows")).select(*LEDGER_SCHEMA.names))
+            .withColumn("kept_rows", F.col("rows")))

@@ -1,59 +1,175 @@
-"""The raw snapshot table: Parquet, one partition per month and region, and its ledger.
+"""The raw snapshot table: Parquet by month and region, one folder per load, and a ledger.
 
-The ledger has a row for each (month, region) that was loaded to the end.  It lies in the
-table's folder under a name that readers of the table pass over.
+A load writes its rows beside all others, to ``_data/<load>/snapshot_month=.../region=...``, and then
+enters its months and regions in the ledger. Only the ledger says which rows count: for each month
+and region those of its newest entry. A load that breaks off before its entry changes nothing, and one
+that replaces a month switches to the new rows by that one entry.
+
+The ledger is a folder of numbered files. A file is created only if no other load has taken its
+number, and ends with a line that says it is complete, so loads that run at once come one after the
+other, and half a file counts as none. This needs a store that creates a file at most once.
+
+A frame of the table is read through the session's catalog: its partitions are exactly the entries
+of the ledger at that time. So the plan needs no list of files, a table written in buckets is read
+in buckets, and frames read before a load keep to their rows.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections.abc import Iterable
+from uuid import uuid4
+
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators.facts import Facts, with_facts
 from tidemark.schema import RAW_PARTITIONS, RAW_SCHEMA
 
+LEDGER_SCHEMA = T.StructType([
+    T.StructField("path", T.StringType()), T.StructField("snapshot_month", T.StringType()),
+    T.StructField("region", T.StringType()), T.StructField("rows", T.LongType()),
+    T.StructField("kept_rows", T.LongType()), T.StructField("rejected", T.LongType()),
+    T.StructField("rejected_columns", T.ArrayType(T.StringType())),
+    T.StructField("duplicate_keys", T.LongType()), T.StructField("most_rows", T.LongType()),
+    T.StructField("folder", T.StringType()), T.StructField("buckets", T.IntegerType())])
+
+_COMPLETE = "complete"
+
 
 def read_raw_table(spark: SparkSession, path: str) -> DataFrame:
-    """The table, or an empty frame of the same schema where nothing was written yet.
+    """The rows that count, or an empty frame of the same schema where nothing was written yet.
 
-    The schema is given, so months stay text and no file is opened to infer types.
+    A table without a ledger counts whole. The schema is given, so months stay text and no file is
+    opened to infer types.
     """
+    try:
+        entries = read_ledger(spark, path).select(
+            *RAW_PARTITIONS, "rows", "kept_rows", "most_rows", "folder", "buckets").collect()
+    except AnalysisException as error:
+        _only_not_found(error)
+        return _plain(spark, path)
+    held = [e for e in entries if e["rows"]]
+    if not held:
+        return spark.createDataFrame([], RAW_SCHEMA)
+    rows = spark.table(_registered(spark, path, held)).select(*RAW_SCHEMA.names)
+    months = sorted({e["snapshot_month"] for e in held if e["kept_rows"] and e["snapshot_month"]}, reverse=True)
+    latest, previous = (*months, None, None)[:2]
+    return with_facts(rows, Facts(latest, previous, sum(e["most_rows"] for e in held)))
+
+
+def _plain(spark: SparkSession, path: str) -> DataFrame:
     try:
         return spark.read.schema(RAW_SCHEMA).parquet(path).select(*RAW_SCHEMA.names)
     except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
+        _only_not_found(error)
         return spark.createDataFrame([], RAW_SCHEMA)
 
 
-def append_rows(rows: DataFrame, path: str) -> None:
-    """Append rows; tasks write straight to the partitions of their rows, unshuffled."""
-    rows.select(*RAW_SCHEMA.names).write.mode("append").partitionBy(*RAW_PARTITIONS).parquet(path)
+def _only_not_found(error: AnalysisException) -> None:
+    if error.getCondition() != "PATH_NOT_FOUND":
+        raise error
 
 
-def replace_partitions(rows: DataFrame, path: str) -> None:
-    """Write rows in place of what the table holds of their months and regions."""
-    (rows.select(*RAW_SCHEMA.names).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy(*RAW_PARTITIONS).parquet(path))
+def _registered(spark: SparkSession, path: str, entries: list[Row]) -> str:
+    """Name of the catalog table whose partitions are ``entries``; made on first use."""
+    base, buckets = path.rstrip("/"), {e["buckets"] for e in entries}
+    key = json.dumps([base, sorted([e["folder"], str(e["snapshot_month"]), str(e["region"])] for e in entries)])
+    name = f"tidemark_{hashlib.sha256(key.encode()).hexdigest()[:32]}"
+    if spark.catalog.tableExists(name):
+        return name
+    parts = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in RAW_SCHEMA)
+    # rows written in different numbers of buckets, or in none, are read without them
+    number = buckets.pop() if len(buckets) == 1 else 0
+    in_buckets = f"clustered by (team_id) sorted by (team_id) into {number} buckets" if number else ""
+    spark.sql(f"create table {name} ({columns}) using parquet partitioned by ({', '.join(RAW_PARTITIONS)}) "
+              f"{in_buckets} location {_literal(f'{base}/_data')}")
+    clauses = []
+    for e in entries:
+        spec = ", ".join(f"{c} = {_literal(e[c])}" for c in RAW_PARTITIONS)
+        folder = "/".join([base, *filter(None, [e["folder"]]), *(parts.getPartitionPathString(c, e[c]) for c in RAW_PARTITIONS)])
+        clauses.append(f"partition ({spec}) location {_literal(folder)}")
+    for at in range(0, len(clauses), 1000):
+        spark.sql(f"alter table {name} add {' '.join(clauses[at:at + 1000])}")
+    return name
 
 
-LEDGER_SCHEMA = T.StructType([
-    T.StructField("path", T.StringType()), T.StructField("snapshot_month", T.StringType()),
-    T.StructField("region", T.StringType()), T.StructField("rows", T.LongType()),
-    T.StructField("kept_rows", T.LongType()), T.StructField("rejected", T.LongType()),
-    T.StructField("rejected_columns", T.ArrayType(T.StringType())),
-    T.StructField("duplicate_keys", T.LongType())])
+def _literal(text: str | None) -> str:
+    if text is None:
+        return "null"
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+# --- writing -------------------------------------------------------------------------------
+
+def append_rows(rows: DataFrame, path: str) -> None:
+    """Append rows to a table without a ledger; tasks write straight to the partitions of their
+    rows, unshuffled.  Where there is a ledger, rows come in by ``load_rows``."""
+    rows.select(*RAW_SCHEMA.names).write.mode("append").partitionBy(*RAW_PARTITIONS).parquet(path)
+
+
+def write_rows(rows: DataFrame, path: str, buckets: int = 0) -> str:
+    """Write rows to a folder of their own, which is returned; they count once the ledger names it.
+
+    With ``buckets``, rows are shuffled to as many tasks by account, and each writes one file per month
+    and region.  Reading the table, Spark knows that, and needs no shuffle by account.
+    """
+    folder = f"_data/{uuid4().hex}"
+    target = f"{path.rstrip('/')}/{folder}"
+    rows = rows.select(*RAW_SCHEMA.names)
+    if not buckets:
+        rows.write.partitionBy(*RAW_PARTITIONS).parquet(target)
+        return folder
+    name = f"tidemark_load_{uuid4().hex}"  # only tables of a catalog are written in buckets
+    (rows.repartition(buckets, "team_id").write.partitionBy(*RAW_PARTITIONS)
+     .bucketBy(buckets, "team_id").sortBy("team_id").option("path", target).saveAsTable(name))
+    rows.sparkSession.sql(f"drop table {name}")
+    return folder
+
+
+def load_rows(rows: DataFrame, path: str, buckets: int = 0, replace: bool = False) -> list[tuple[str, str]]:
+    """Write rows and enter their months and regions; returns those that were entered: all that are
+    not there yet, or with ``replace`` all."""
+    spark = rows.sparkSession
+    known = open_ledger(spark, path)
+    buckets = buckets or table_buckets(known)
+    folder = write_rows(rows, path, buckets)
+    written = spark.read.schema(RAW_SCHEMA).parquet(f"{path.rstrip('/')}/{folder}")
+    entries = [e.asDict() for e in _counts(written).collect()]
+    return enter(spark, path, [e | {"folder": folder, "buckets": buckets} for e in entries], replace)
+
+
+def _counts(rows: DataFrame) -> DataFrame:
+    """Ledger columns, as far as rows tell them, of each month and region."""
+    keys = rows.groupBy(*RAW_PARTITIONS, "team_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(F.col("is_test"), F.lit(0)) == 0).alias("kept"))
+    return keys.groupBy(*RAW_PARTITIONS).agg(
+        F.sum("n").alias("rows"), F.sum("kept").alias("kept_rows"), F.max("n").alias("most_rows"),
+        F.count_if((F.col("n") > 1) & F.col("team_id").isNotNull()).alias("duplicate_keys"))
+
+
+# --- the ledger ----------------------------------------------------------------------------
+
 def _ledger_path(path: str) -> str:
-    return f"{path.rstrip('/')}/_loads"
+    return f"{path.rstrip('/')}/_ledger"
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """Loads that came to their end: file, month, region, rows, rows that count (no test
-    accounts), values that were no whole numbers, their columns, keys with more than one row."""
-    return spark.read.schema(LEDGER_SCHEMA).parquet(_ledger_path(path))
+    """For each month and region its newest entry: file, rows, rows that count (no test accounts), values
+    that were no whole numbers, their columns, keys with more than one row, the most rows of one
+    account, the folder of its rows and the buckets they are written in, and the ``number`` of the load."""
+    schema = T.StructType([*LEDGER_SCHEMA, T.StructField(_COMPLETE, T.BooleanType())])
+    number = F.regexp_extract(F.col("_metadata.file_name"), r"^(\d+)", 1).cast("long")
+    lines = spark.read.schema(schema).json(_ledger_path(path)).select("*", number.alias("number"))
+    complete = lines.where(_COMPLETE).select("number")
+    entries = lines.where(F.col(_COMPLETE).isNull()).drop(_COMPLETE).join(complete, "number", "left_semi")
+    newest = entries.groupBy(*RAW_PARTITIONS).agg(F.max_by(F.struct(*entries.columns), "number").alias("entry"))
+    return newest.select("entry.*").select(*LEDGER_SCHEMA.names, "number")
 
 
 def open_ledger(spark: SparkSession, path: str) -> DataFrame:
@@ -61,15 +177,47 @@ def open_ledger(spark: SparkSession, path: str) -> DataFrame:
     try:
         return read_ledger(spark, path)
     except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-    held = read_raw_table(spark, path).groupBy(*RAW_PARTITIONS).agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if(F.coalesce(F.col("is_test"), F.lit(0)) == 0).alias("kept_rows"))
-    columns = [F.col(f.name) if f.name in held.columns else F.lit(None).cast(f.dataType).alias(f.name)
-               for f in LEDGER_SCHEMA]
-    add_to_ledger(held.select(*columns), path)
+        _only_not_found(error)
+    held = [e.asDict() | {"folder": "", "buckets": 0} for e in _counts(_plain(spark, path)).collect()]
+    enter(spark, path, held)
     return read_ledger(spark, path)
 
 
-def add_to_ledger(loads: DataFrame, path: str) -> None:
-    loads.select(*LEDGER_SCHEMA.names).coalesce(1).write.mode("append").parquet(_ledger_path(path))
+def table_buckets(ledger: DataFrame) -> int:
+    """The buckets that the table's newest load wrote."""
+    newest = ledger.agg(F.max_by("buckets", "number")).first()[0]
+    return newest or 0
+
+
+def enter(spark: SparkSession, path: str, entries: Iterable[dict], replace: bool = False) -> list[tuple[str, str]]:
+    """Add ``entries`` to the ledger as one load; returns the months and regions that it now holds by it.
+
+    Unless ``replace``, what another load has entered meanwhile stays and is left out here.  Of loads
+    that take the same number all but one try again with the next.
+    """
+    entries = [{name: e.get(name) for name in LEDGER_SCHEMA.names} for e in entries]
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(_ledger_path(path))
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    while True:
+        taken = set()
+        number = 0
+        if system.exists(folder):
+            numbers = [int(n.split(".")[0]) for n in (s.getPath().getName() for s in system.listStatus(folder)) if n[0].isdigit()]
+            number = max(numbers, default=-1) + 1
+            taken = {(r[0], r[1]) for r in read_ledger(spark, path).select(*RAW_PARTITIONS).collect()}
+        ours = entries if replace else [e for e in entries if (e["snapshot_month"], e["region"]) not in taken]
+        if not ours and number:
+            return []
+        lines = [*map(json.dumps, ours), json.dumps({_COMPLETE: True})]
+        try:
+            out = system.create(hadoop.Path(folder, f"{number:012d}.json"), False)
+        except Py4JJavaError as error:
+            if "AlreadyExists" not in error.java_exception.getClass().getName():
+                raise
+            continue
+        try:
+            out.write(bytearray("".join(line + "\n" for line in lines).encode()))
+        finally:
+            out.close()
+        return [(e["snapshot_month"], e["region"]) for e in ours]
