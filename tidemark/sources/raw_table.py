@@ -220,4 +220,4 @@ def enter(spark: SparkSession, path: str, entries: Iterable[dict], replace: bool
             out.write(bytearray("".join(line + "\n" for line in lines).encode()))
         finally:
             out.close()
-        return [(e["snapshot_month"], e["region"]) for e in ours]
+        return sorted(((e["snapshot_month"], e["region"]) for e in ours), key=str)
