@@ -142,9 +142,38 @@ def test_search_recall_and_blocks(spark, monkeypatch):
     pick = np.random.default_rng(2)
     x = pick.normal(size=(3000, 24)).astype(np.float32)
     frame = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], SCHEMA)
-    found = permutation_index.search(frame, F.col("vec_id") % 50 == 0, count=10, least=10, pivots=128).collect()
+    found = permutation_index.search(frame, F.col("vec_id") % 50 == 0, count=10, pivots=128).collect()
     exact, hits = x.astype(float) @ x.astype(float).T, 0
     for q in range(0, 3000, 50):
         exact[q, q] = -np.inf
         hits += len(set(np.argsort(-exact[q])[:10]) & {r.vec_id for r in found if r.query_id == q})
     assert len(found) == 600 and hits / 600 >= 0.9
+
+
+def test_search_recall_with_production_settings(spark):
+    """One block full and one in part, of vectors spread evenly and with a crowded place of copies."""
+    pick = np.random.default_rng(4)
+    x = pick.normal(size=(permutation_index.BLOCK + 4000, 64)).astype(np.float32)
+    x[::3] = x[0] + pick.normal(size=x[::3].shape).astype(np.float32) * 0.05
+    x[::9] = x[1]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    frame = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], SCHEMA)
+    found = permutation_index.search(frame, F.col("vec_id") % 100 == 0).collect()
+    queries = range(0, len(x), 100)
+    mine = {q: {} for q in queries}
+    for r in found:
+        mine[r.query_id][r.vec_id] = r.score
+    hits = 0
+    for q in queries:
+        scores = (x.astype(float) * x[q].astype(float)).sum(1)
+        scores[q] = -np.inf
+        hits += len(set(np.lexsort((np.arange(len(x)), -scores))[:20].tolist()) & set(mine[q]))
+        assert all(scores[i] == s for i, s in mine[q].items())
+    assert len(found) == 20 * len(queries) and hits / len(found) >= 0.9
+
+
+def test_nearest_pivots_in_order():
+    pick = np.random.default_rng(6)
+    for likeness in (pick.normal(size=(50, 200)), pick.integers(0, 5, (50, 200)).astype(float), pick.normal(size=(3, 10))):
+        width = min(permutation_index.NEAREST, likeness.shape[1])
+        assert (permutation_index.nearest(likeness) == np.argsort(-likeness, axis=1, kind="stable")[:, :width]).all()
