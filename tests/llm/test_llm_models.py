@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -129,6 +130,42 @@ def test_bpe_equals_the_library(spark, vocabulary, library):
     assert byte_bpe.round_trip(frame.limit(0), vocabulary).collect() == []
 
 
+@pytest.mark.parametrize("name", ["random", "random 60k", "runs", "words", "marks"])
+def test_long_words_equal_the_library(spark, vocabulary, library, name):
+    """A word of tens of thousands of bytes takes seconds, whatever it is made of."""
+    pick = random.Random(name)
+    word = {
+        "random": lambda: "".join(pick.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20_000)),
+        "random 60k": lambda: "".join(pick.choice("abcdefghijklmnopqrstuvwxyzäöüß") for _ in range(50_000)),
+        "runs": lambda: "".join(pick.choice("ab") * pick.randint(1, 300) for _ in range(150)),
+        "words": lambda: "".join(pick.choice(["the", "and", "tion", "er", "ing", "quality", "zz"]) for _ in range(6_000)),
+        "marks": lambda: "".join(pick.choice(["=", "-", "=-", "--", "*"]) * pick.randint(1, 200) for _ in range(120)),
+    }[name]()
+    coder, began = byte_bpe.Coder(vocabulary), time.monotonic()
+    ids, counts = coder.encode([b"short", word.encode(), b" words"])
+    want = [library.encode_single_token("short"), *library.encode_ordinary(word), library.encode_single_token(" words")]
+    assert ids.tolist() == want and counts.tolist() == [1, len(want) - 2, 1]
+    assert coder.decode_words(ids, counts) == [b"short", word.encode(), b" words"]
+    assert time.monotonic() - began < 60
+
+
+def test_words_are_kept_from_task_to_task(vocabulary, library):
+    """Within a process; after a task that broke off they are met anew."""
+    import pyarrow as pa
+    byte_bpe._kept().pop((vocabulary.digest, True), None)
+    batch = pa.RecordBatch.from_pydict({"text": ["unusualword and unusualword", None, "x" * 700]})
+    sizes = []
+    for _ in range(2):
+        for _, docs, words in byte_bpe._encoded(vocabulary, iter([batch, batch]), decoded=True):
+            assert [words.ids_of(d).tolist() for d in docs] == [library.encode_ordinary(t or "") for t in batch.column("text").to_pylist()]
+        sizes.append(len(words.counts))
+    assert sizes[0] == sizes[1] == len(words.data)
+    broken = byte_bpe._encoded(vocabulary, iter([batch]), decoded=True)
+    next(broken)
+    broken.close()
+    assert (vocabulary.digest, True) not in byte_bpe._kept()
+
+
 def test_bpe_forgets_and_goes_on(spark, vocabulary, library, monkeypatch):
     monkeypatch.setattr(byte_bpe, "KEPT_WORDS", 3)
     monkeypatch.setattr(byte_bpe, "SLICE", 20)
@@ -159,7 +196,7 @@ def test_pipeline_stage_by_stage(spark):
     assert {r.doc_id for r in second.collect()} == kept and second.columns == docs.columns
     third = corpus_pipeline.line_dedup(spark, second, SF_DIR).cache()
     from test_llm_fingerprints import brute_components, brute_lines, brute_simhash  # noqa: F401
-    want = {r[0]: r[1] for r in brute_lines([(r.doc_id, r.text, 0) for r in second.orderBy("doc_id").collect()]) if not (r[4] and not r[1].strip())}
+    want = {r[0]: r[1] for r in brute_lines([(r.doc_id, r.text, 0) for r in second.orderBy("doc_id").collect()], least=1) if not (r[4] and not r[1].strip())}
     assert {r.doc_id: r.text for r in third.collect()} == want and third.columns == docs.columns
     assert all(r.n_chars == len(r.text) for r in third.collect())
     fourth = corpus_pipeline.near_dedup(spark, third, SF_DIR).cache()
