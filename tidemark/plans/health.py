@@ -32,8 +32,12 @@ def scored_history(clean: DataFrame, rules: Rules = STANDARD,
     A streak counts whole: a month's score can still change while its streak goes on.
     Price per user is today's: that of the account's row in the latest snapshot.
     """
-    timeline = _timeline(clean, layout).withColumn(
-        "in_latest", F.col("last_month") == snapshot_months(clean)["latest"])
+    return scored_timeline(_timeline(clean, layout), snapshot_months(clean)["latest"], rules)
+
+
+def scored_timeline(timeline: DataFrame, latest: Column, rules: Rules = STANDARD) -> DataFrame:
+    """``scored_history`` of an account timeline, as the one that ``sources.timeline_table`` keeps."""
+    timeline = timeline.withColumn("in_latest", F.col("last_month") == latest)
     return _scored(
         timeline, "streak",
         fee=F.when(F.col("in_latest"), F.col("last_monthly_fee")),

@@ -21,7 +21,6 @@ import json
 from collections.abc import Iterable
 from uuid import uuid4
 
-from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +28,7 @@ from pyspark.sql import types as T
 
 from tidemark.operators.facts import Facts, with_facts
 from tidemark.schema import RAW_PARTITIONS, RAW_SCHEMA
+from tidemark.sources import numbered
 
 LEDGER_SCHEMA = T.StructType([
     T.StructField("path", T.StringType()), T.StructField("snapshot_month", T.StringType()),
@@ -196,28 +196,14 @@ def enter(spark: SparkSession, path: str, entries: Iterable[dict], replace: bool
     that take the same number all but one try again with the next.
     """
     entries = [{name: e.get(name) for name in LEDGER_SCHEMA.names} for e in entries]
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    folder = hadoop.Path(_ledger_path(path))
-    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     while True:
-        taken = set()
-        number = 0
-        if system.exists(folder):
-            numbers = [int(n.split(".")[0]) for n in (s.getPath().getName() for s in system.listStatus(folder)) if n[0].isdigit()]
-            number = max(numbers, default=-1) + 1
-            taken = {(r[0], r[1]) for r in read_ledger(spark, path).select(*RAW_PARTITIONS).collect()}
-        ours = entries if replace else [e for e in entries if (e["snapshot_month"], e["region"]) not in taken]
-        if not ours and number:
+        # in this order: what comes in between has the number that is tried below
+        found = numbered.numbers(spark, _ledger_path(path))
+        held = read_ledger(spark, path).select(*RAW_PARTITIONS).collect() if found else []
+        taken = set() if replace else {(r[0], r[1]) for r in held}
+        ours = [e for e in entries if (e["snapshot_month"], e["region"]) not in taken]
+        if not ours and found:
             return []
         lines = [*map(json.dumps, ours), json.dumps({_COMPLETE: True})]
-        try:
-            out = system.create(hadoop.Path(folder, f"{number:012d}.json"), False)
-        except Py4JJavaError as error:
-            if "AlreadyExists" not in error.java_exception.getClass().getName():
-                raise
-            continue
-        try:
-            out.write(bytearray("".join(line + "\n" for line in lines).encode()))
-        finally:
-            out.close()
-        return sorted(((e["snapshot_month"], e["region"]) for e in ours), key=str)
+        if numbered.create(spark, _ledger_path(path), max(found, default=-1) + 1, lines):
+            return sorted(((e["snapshot_month"], e["region"]) for e in ours), key=str)
