@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -277,3 +278,31 @@ def test_hot_words_meet_in_blocks(spark, monkeypatch):
     for r in line_join._posted(chunks, 0.8, 1).collect():
         met[r.bucket] = met.get(r.bucket, 0) + len(line_join.unpack(bytes(r.line)))
     assert max(met.values()) <= 3 * line_join.BUCKET
+
+
+def test_rows_without_an_id_are_dealt_over_ranges(spark, monkeypatch):
+    """A third of all rows has no id, a third one id: no range has far more than its part."""
+    monkeypatch.setattr(piecewise, "partitions", lambda _: 8)
+    pick = random.Random(4)
+    texts = ["".join(pick.choice("abcdef ") for _ in range(pick.randint(0, 40))) for _ in range(3000)]
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, t) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes = []
+    real = piecewise._pairs
+
+    def counted(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": [batch.num_rows], "n_chars": [sum(batch.column("guest").to_pylist())], **{c: [""] for c in (
+                    "edited_sha256", "fingerprint", "edited_fingerprint", "next_fingerprint")}})
+
+    monkeypatch.setattr(piecewise, "_pairs", counted)
+    sizes = [(r.doc_id, r.n_chars) for r in piecewise.edited_fingerprints(frame).select("doc_id", "n_chars").collect()]
+    assert sum(n - g for n, g in sizes) == 3000 and max(n for n, _ in sizes) < 900 and sum(g for _, g in sizes) < 30
+    monkeypatch.setattr(piecewise, "_pairs", real)
+    order = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "n long, text string").withColumn("mark", F.xxhash64("text"))
+    marks = {r.n: r.mark for r in order.collect()}
+    places = sorted(range(3000), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0, marks[i]))
+    follower = {i: texts[places[(k + 1) % 3000]] for k, i in enumerate(places)}
+    want = sorted((str(rows[i][0]), hashlib.sha256((t[:len(t) - len(t) // 4] + follower[i][:len(t) // 4]).encode()).hexdigest()) for i, t in enumerate(texts))
+    assert sorted((str(r.doc_id), r.edited_sha256) for r in piecewise.edited_fingerprints(frame).select("doc_id", "edited_sha256").collect()) == want

@@ -38,7 +38,7 @@ def test_tightest_compatible_bin(seed):
 
 def test_packing_keeps_every_piece_and_conflict(spark):
     pick = random.Random(9)
-    rows = [(i if i % 11 else None, "w" * pick.randint(0, 300) if i % 13 else None, pick.choice(["hot", "a", "b", None]), f"{i}") for i in range(400)] + [(1, "abc", "a", "1")] * 3 + [(2, "é" * 5000, "b", "2")]
+    rows = [(i if i % 11 else None, "w" * pick.randint(0, 300) if i % 13 else None, pick.choice(["hot", "a", "b", None]), f"{i}") for i in range(400)] + [(1001, "abc", "a", "1")] * 3 + [(1002, "é" * 5000, "b", "2")]
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string, bin string")
     found = packing.best_fit(frame, capacity=400, pieces=100).collect()
     sizes = [len(r[1] or "") for r in rows]
@@ -177,3 +177,25 @@ def test_nearest_pivots_in_order():
     for likeness in (pick.normal(size=(50, 200)), pick.integers(0, 5, (50, 200)).astype(float), pick.normal(size=(3, 10))):
         width = min(permutation_index.NEAREST, likeness.shape[1])
         assert (permutation_index.nearest(likeness) == np.argsort(-likeness, axis=1, kind="stable")[:, :width]).all()
+
+
+def test_urls_of_one_key_are_dealt_over_ranges(spark, monkeypatch):
+    """All hosts below one suffix have one probe there for each path."""
+    taken = []
+    real = url_rules.written
+    monkeypatch.setattr(url_rules, "written", lambda df: taken.append(real(df)) or taken[-1])
+    pages = spark.createDataFrame([(i, f"http://h{i}.com/") for i in range(3000)] + [(i, f"http://h{i}.org/x{i}") for i in range(3000, 4000)], "page_id long, url string")
+    rules = spark.createDataFrame([("com", "/", "block"), ("h7.com", "/", "allow"), ("org", "/x", "block")], "host string, path string, verdict string")
+    found = url_rules.judge(pages, rules, tasks=8).collect()
+    assert sum(r.verdict == "block" for r in found) == 3999 and {r.rule for r in found if r.page_id == 7} == {"h7.com/"}
+    sizes = [r["count"] for r in taken[0].groupBy("range").count().collect()]
+    assert len(sizes) >= 6 and max(sizes) < 2.5 * sum(sizes) / 8
+
+
+def test_repeated_rows_are_dealt_over_shards(spark):
+    frame = spark.createDataFrame([(None, None, None)] * 800 + [(5, "same words", "a")] * 400, "doc_id long, text string, source string")
+    found = packing.best_fit(frame, pieces=100).collect()
+    sizes = {}
+    for r in found:
+        sizes[r.bin >> 32] = sizes.get(r.bin >> 32, 0) + 1
+    assert len(found) == 1200 and len(sizes) == 12 and max(sizes.values()) < 180

@@ -128,8 +128,9 @@ def best_fit(docs: DataFrame, capacity: int = CAPACITY, size: Column | None = No
     ``capacity`` is cut into pieces that fill a bin each, and a rest. No bin holds two rows of a source, nor
     two of a cluster; a null source or a null text conflicts with nothing. Rows of size 0 are placed too.
 
-    Shards get about ``pieces`` rows each by a hash of the row, so a hot source or group spreads evenly over
-    all. Within one, rows are taken longest first, then by doc_id, null first.
+    Shards get about ``pieces`` rows each by a hash of the row and its place in the input, so a hot source or
+    group spreads evenly over all, and so do repeated rows and rows without id and text. Within one, rows
+    are taken longest first, then by doc_id, null first.
     """
     size = F.length("text") if size is None else size
     cluster = copy_group(F.col("text")) if cluster is None else cluster
@@ -138,6 +139,6 @@ def best_fit(docs: DataFrame, capacity: int = CAPACITY, size: Column | None = No
         F.col("source").cast("string").alias("source"), F.when(F.col("text").isNotNull(), cluster.cast("long")).alias("cluster"))
     count = docs.count()
     shards = max(1, -(-count // pieces))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(shards)).cast("int"))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
     rows = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.desc("size"), "doc_id", "source", "cluster")
     return rows.mapInArrow(_packed(capacity), _OUT)

@@ -105,25 +105,30 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, fingerprint string")
 
 
-def _with_heads(heads: list[int]):
+#: Order of the rows: null ids first, then by id, rows of one id by a hash of their texts.
+_ORDER = [("known", np.int8), ("id", np.int64), ("mark", np.int64)]
+
+
+def _with_heads(heads: list[tuple[int, int, int]]):
     """Rows with their range; the first rows of a range go to the range before too, as ``guest``."""
-    starts = np.array(heads, np.int64)
+    starts = np.array(heads, _ORDER)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id")
-            null = ids.is_null().to_numpy(zero_copy_only=False)
-            value = ids.fill_null(0).to_numpy()
-            own = np.where(null, 0, np.maximum(np.searchsorted(starts, value, "right") - 1, 0))
-            # Null ids come first of all, so they are guests of the last range, and so is the least id.
-            head = null | np.isin(value, starts)
-            guests = np.flatnonzero(head)
+            order = np.empty(batch.num_rows, _ORDER)
+            order["known"] = ids.is_valid().to_numpy(zero_copy_only=False)
+            order["id"], order["mark"] = ids.fill_null(0).to_numpy(), batch.column("mark").to_numpy()
+            place = np.searchsorted(starts, order, "right") - 1
+            own = np.maximum(place, 0)
+            # the first rows of all are guests of the last range
+            guests = np.flatnonzero((place >= 0) & (starts[own] == order))
             rows = np.r_[np.arange(len(own)), guests]
             where = np.r_[own, (own[guests] - 1) % len(starts)]
             guest = np.r_[np.zeros(len(own), bool), np.ones(len(guests), bool)]
             taken = batch.take(pa.array(rows))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(where.astype(np.int32)), pa.array(guest), *taken.columns], ["range", "guest", "doc_id", "text"])
+                [pa.array(where.astype(np.int32)), pa.array(guest), *taken.columns], ["range", "guest", "doc_id", "text", "mark"])
     return work
 
 
@@ -155,18 +160,21 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 
     The edited text has its last floor(n/4) of n code points replaced by the first as many (or all) of
     the successor's text; the last row's successor is the first. Null ids come first, equal ids are
-    ordered by text. A null text is empty. One row results per input row.
+    ordered by a hash of their texts. A null text is empty. One row results per input row.
 
-    The texts are shuffled once. Ranges of ids come from a shuffle of the ids alone, whose smallest
-    ids (one per task) are all that the driver sees; each range also receives the first row of the next.
+    The texts are shuffled once. Ranges of (id, hash) come from a shuffle of these alone, whose smallest
+    ones (one per task) are all that the driver sees; each range also receives the first row of the next.
+    So many rows without an id, or of one id, are dealt over ranges; only equal rows stay together.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    ids = docs.select("doc_id").repartitionByRange(partitions(docs.sparkSession), "doc_id")
-    least = ids.groupBy(F.spark_partition_id()).agg(F.min("doc_id").alias("head")).filter("head is not null")
-    heads = sorted(r.head for r in least.collect()) or [0]
-    dealt = docs.mapInArrow(_with_heads(heads), "range int, guest boolean, doc_id long, text string")
-    dealt = dealt.repartitionById(len(heads), F.col("range")).sortWithinPartitions("range", "guest", F.asc_nulls_first("doc_id"), "text")
-    found = dealt.mapInArrow(_pairs, OUT)
+    known, id_ = F.col("doc_id").isNotNull().cast("byte"), F.coalesce("doc_id", F.lit(0).cast("long"))
+    docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("mark"))
+    order = docs.select(known.alias("known"), id_.alias("id"), "mark")
+    order = order.repartitionByRange(partitions(docs.sparkSession), "known", "id", "mark")
+    least = order.groupBy(F.spark_partition_id()).agg(F.min(F.struct("known", "id", "mark")).alias("head"))
+    heads = sorted(tuple(r["head"]) for r in least.collect()) or [(0, 0, 0)]
+    dealt = docs.mapInArrow(_with_heads(heads), "range int, guest boolean, doc_id long, text string, mark long")
+    dealt = dealt.repartitionById(len(heads), F.col("range")).sortWithinPartitions("range", "guest", F.asc_nulls_first("doc_id"), "mark")
+    found = dealt.drop("mark").mapInArrow(_pairs, OUT)
     return found.withColumns({
         "near_edited": likeness(F.col("fingerprint"), F.col("edited_fingerprint")),
         "near_next": likeness(F.col("fingerprint"), F.col("next_fingerprint")),

@@ -45,7 +45,8 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
 
     Equal urls are judged once and joined back, so a common url costs one probe; the join has one
     row per (host, path) on one side. The sweep runs in ranges of the key, each in its own task;
-    heights and stack tops at the start of each range come from one row per range and height.
+    heights and stack tops at the start of each range come from one row per range and height. Urls whose
+    probes have one key, as all of one path below a common suffix, are dealt out over ranges by a hash.
     The events are written once with their range, as bounds sampled anew would differ.
     """
     tasks = tasks or partitions(pages.sparkSession)
@@ -78,7 +79,9 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
         F.lit(0).alias("step"), F.lit(1).alias("turn"), "host", "path")
 
     events = opens.unionByName(closes).unionByName(probes)
-    events = events.repartitionByRange(tasks, "key", "turn").withColumn("range", F.spark_partition_id())
+    # many urls may share a key: a third column lets the bounds lie between them
+    events = events.withColumn("spread", F.xxhash64("host", "path"))
+    events = events.repartitionByRange(tasks, "key", "turn", "spread").withColumn("range", F.spark_partition_id()).drop("spread")
     events = written(events)
     swept = W.partitionBy("range").orderBy("key", "turn")
     events = events.withColumn("height", F.sum("step").over(swept))
