@@ -1,6 +1,7 @@
 """One-account forms, selections and edge cases of the serving and dashboard frames."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.plans import dashboard, serving
 from tidemark.plans.snapshots import clients_clean
@@ -85,3 +86,21 @@ def test_orders(uneven):
     assert in_order(dashboard.at_risk_sorted(review).collect(), "overall_health_score", "company_size", nulls_first=False)
     one = dashboard.prepare_time_series(serving.load_monthly_usage(uneven).drop("team_id"))
     assert in_order(one.collect(), "snapshot_month")
+
+
+def test_sorts_split_equal_scores(spark):
+    """A million accounts of score 100 have distinct last keys, so no range of a sort takes them all."""
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(20_000).selectExpr(
+            "concat('company ', id % 9000) as company_name", "if(id % 50 = 0, 40, 100) as overall_health_score", "'medium' as company_size",
+            "cast(null as string) as salesperson", "cast(id as double) as monthly_fee")
+        for frame in (dashboard.at_risk_sorted(rows), dashboard._in_order(rows, "overall_health_score")):
+            sizes = [r["count"] for r in frame.groupBy(F.spark_partition_id()).count().collect()]
+            assert len(sizes) == 8 and max(sizes) < 2 * sum(sizes) / 8
+            scores = [r["overall_health_score"] for r in frame.collect()]
+            assert scores == sorted(scores)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

@@ -65,7 +65,8 @@ def at_risk_next_actions(clean: DataFrame, as_of: datetime | None = None,
             .select(*VIEW_COLUMNS["at_risk_next_actions"]))
     if not ordered:
         return rows
-    return rows.repartition("team_id").orderBy("overall_health_score", "company_size")
+    # most accounts share a score: the last keys let the sort's ranges split them
+    return rows.repartition("team_id").orderBy("overall_health_score", "company_size", "team_id", "company_name")
 
 
 def onboarding_clients(clean: DataFrame, rules: Rules = STANDARD) -> DataFrame:

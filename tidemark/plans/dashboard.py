@@ -54,9 +54,15 @@ def latest_month(usage: DataFrame, team_id: int | None = None) -> DataFrame:
     return rows.agg(F.max("snapshot_month").alias("latest_month"))
 
 
+def _in_order(rows: DataFrame, *keys: str) -> DataFrame:
+    """Sorted by ``keys``, missing values last, and by all else, so that the ranges of the sort split rows
+    with equal keys; the exchange before it, by whole rows too, lets its sample read shuffled rows."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.repartition(*rows.columns).orderBy(*[F.asc_nulls_last(k) for k in keys], *rest)
+
+
 def at_risk_sorted(at_risk: DataFrame) -> DataFrame:
-    return at_risk.repartition("company_name").orderBy(F.asc_nulls_last("overall_health_score"),
-                           F.asc_nulls_last("company_size"))
+    return _in_order(at_risk, "overall_health_score", "company_size")
 
 
 def keep_selected(rows: DataFrame, selected: dict[str, Iterable[str]]) -> DataFrame:
@@ -141,5 +147,4 @@ def review_display(review: DataFrame) -> DataFrame:
 
 
 def review_table(review: DataFrame) -> DataFrame:
-    rows = review.select(*REVIEW_TABLE).repartition("company_name")
-    return rows.orderBy(F.asc_nulls_last("overall_health_score"))
+    return _in_order(review.select(*REVIEW_TABLE), "overall_health_score")

@@ -31,7 +31,7 @@ _COMPANY = ["team_id", "company_name", "company_size", "region", "monthly_fee",
 def load_companies(clean: DataFrame, rules: Rules = STANDARD, ordered: bool = True,
                    layout: str | Bounds = "auto") -> DataFrame:
     rows = company_overview(clean, rules, layout).select(*_COMPANY).distinct()
-    return rows.orderBy("company_name") if ordered else rows
+    return rows.orderBy("company_name", "team_id") if ordered else rows
 
 
 def companies_without_score(clean: DataFrame, rules: Rules = STANDARD) -> DataFrame:

@@ -115,4 +115,7 @@ def clicks_per_user_trend(clean: DataFrame, ordered: bool = True,
         (F.col("clicks_per_user") - F.col("prev_clicks_per_user"))
         .alias("clicks_per_user_delta"),
         round_half_away(F.col("clicks_per_user_change") * 100, 2).alias("clicks_per_user_pct_change"))
-    return rows.orderBy("company_name", "snapshot_month") if ordered else rows
+    if not ordered:
+        return rows
+    # the exchange lets the sort sample shuffled rows, not rerun the windows; names may repeat
+    return rows.repartition("team_id", "snapshot_month").orderBy("company_name", "snapshot_month", "team_id")
