@@ -168,7 +168,7 @@ def test_fingerprint_bounds():
         assert all(len(s) <= 65 for s in mark.split(":")[1:])
 
 
-def brute_lines(rows, t=0.8, least=5):
+def brute_lines(rows, t=0.8, least=1):
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0, i))
     seen, out = [], {}
     for i in order:

@@ -138,3 +138,70 @@ def test_pairs_explain_what_single_features_cannot():
     y = ((x[:, 0] > 0.5) != (x[:, 1] > 0.5)).astype(float)
     model = quality.fit(x, y, rounds=20, pair_rounds=60)
     assert ((model.scores(x) >= 0.5) == y).mean() > 0.85
+
+
+def plain_tree(cells, depth):
+    """Value by cell of a tree over ``cells`` {place tuple: (slope, weight)}: the best cut of all, by trying each."""
+    def total(part):
+        return sum(g for g, _ in part.values()), sum(h for _, h in part.values())
+
+    g, h = total(cells)
+    best = (1e-9, None)
+    if depth:
+        for axis in range(len(next(iter(cells)))):
+            for cut in sorted({place[axis] for place in cells})[1:]:
+                left = {p: c for p, c in cells.items() if p[axis] < cut}
+                (gl, hl), gain = total(left), 0
+                gain = gl**2 / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g**2 / (h + 1)
+                if gain > best[0] + 1e-12:
+                    best = (gain, axis, cut)
+    if best[1] is None:
+        return {p: g / (h + 1) for p in cells}
+    _, axis, cut = best
+    return {k: v for side in (0, 1) for k, v in plain_tree({p: c for p, c in cells.items() if (p[axis] >= cut) == side}, depth - 1).items()}
+
+
+def plain_scores(x, y, rounds, pair_rounds, rate=0.1):
+    """The same model one row and one bin at a time: scores of the rows it is fitted on."""
+    rows, width = range(len(x)), len(x[0])
+    share = (sum(y) + 0.5) / (len(y) + 1)
+    edges = [sorted(set(np.quantile([r[j] for r in x], np.arange(1, quality.BINS) / quality.BINS).tolist())) for j in range(width)]
+    at = [[sum(e <= r[j] for e in edges[j]) for j in range(width)] for r in x]
+    total = [float(np.log(share / (1 - share)))] * len(x)
+
+    def fitted(place, shape, depth):
+        p = [1 / (1 + np.exp(-t)) for t in total]
+        cells = {c: [0.0, 0.0] for c in itertools.product(*map(range, shape))}
+        for i in rows:
+            cells[place(i)][0] += y[i] - p[i]
+            cells[place(i)][1] += p[i] * (1 - p[i])
+        return cells, lambda: plain_tree({k: tuple(v) for k, v in cells.items()}, depth)
+
+    def step(place, shape, depth):
+        values = fitted(place, shape, depth)[1]()
+        for i in rows:
+            total[i] += rate * values[place(i)]
+
+    for _ in range(rounds):
+        for j in range(width):
+            step(lambda i: (at[i][j],), (len(edges[j]) + 1,), 2)
+    bins = [min(quality.PAIR_BINS, len(e) + 1) for e in edges]
+    rough = [[at[i][j] * bins[j] // (len(edges[j]) + 1) for j in range(width)] for i in rows]
+    gains = []
+    for j, k in itertools.combinations(range(width), 2):
+        cells, _ = fitted(lambda i: (rough[i][j], rough[i][k]), (bins[j], bins[k]), 0)
+        gains.append((sum(g * g / (h + 1) for g, h in cells.values()), j, k))
+    for _ in range(pair_rounds):
+        for _, j, k in sorted(gains, reverse=True)[:quality.PAIRS]:
+            step(lambda i: (rough[i][j], rough[i][k]), (bins[j], bins[k]), 3)
+    return [1 / (1 + np.exp(-t)) for t in total]
+
+
+def test_boosting_against_a_plain_version():
+    pick = np.random.default_rng(11)
+    x = np.zeros((70, len(quality.FEATURES)))
+    x[:, :4] = pick.normal(size=(70, 4)).round(1)
+    y = ((x[:, 0] * x[:, 1] + x[:, 2] + pick.normal(size=70) * 0.2) > 0).astype(float)
+    model = quality.fit(x, y, rounds=2, pair_rounds=2)
+    assert np.allclose(model.scores(x), plain_scores(x.tolist(), y.tolist(), 2, 2), atol=1e-9)
+    assert len(set(np.round(model.scores(x), 9))) > 20

@@ -54,9 +54,11 @@ def text_batches(batches: Iterator[pa.RecordBatch], size: int = 2 << 20) -> Iter
 
 
 def chunk_numbers() -> Iterator[int]:
-    """Numbers for the chunks that this task makes, unique over all tasks of its stage."""
+    """Numbers for the chunks that this task makes, unique over all tasks of its stage. A task that makes
+    more than there are numbers for fails, and its input has to be read in smaller splits."""
     partition = TaskContext.get().partitionId()
-    return iter(range(partition << 12, (partition + 1) << 12))
+    yield from range(partition << 12, (partition + 1) << 12)
+    raise ValueError("a task makes over 4,096 chunks: read the input in smaller splits")
 
 
 class Places(dict):

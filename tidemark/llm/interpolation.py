@@ -280,6 +280,6 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
     grid = seen.groupBy("bucket", "two", "one").agg(F.sum("n").alias("n"))
     # At most CONTEXTS x the steps of two probabilities, however many words were left out.
     cells = np.array([tuple(r) for r in grid.collect()], np.int64).reshape(-1, 4)
-    mix = weights(cells, main_types)
+    mix = weights(cells, main_types) if tokens else np.tile([0.0, 0.0, 1.0], (CONTEXTS, 1))
     found = _met(chunks, answers).mapInArrow(_score(tokens, types, texts_, mix), _SCORE)
     return found.withColumn("train_tokens", F.lit(tokens).cast("long"))

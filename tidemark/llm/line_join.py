@@ -28,7 +28,7 @@ from tidemark.llm.packed import least_type, pack, unpack
 
 SIMILARITY = 0.8
 #: Least distinct words of the lines that take part, unless ``dedup`` is told otherwise.
-LEAST_WORDS = 5
+LEAST_WORDS = 1
 #: Words of a chunk, postings of a bucket of the hash range, lines of a family that meet in one task.
 CHUNK, BUCKET, FAMILY = 1_000_000, 400_000, 20_000
 #: Postings of a word in one chunk from which on the chunk names it; words that then have more than a bucket
@@ -178,6 +178,8 @@ def _chunks(t: float, least: int):
         postings = int(_prefix(size[order[~twin]], t).sum())
         often = np.flatnonzero(lines.counts * 2 * FREQUENT >= lines.counts.sum())
         often = often[np.argsort(lines.hashes[often])]
+        if len(lines.line) and int(lines.line.max()) >> PLACES:
+            raise ValueError(f"a chunk has {int(lines.line.max()) + 1} lines; {1 << PLACES} have numbers")
         return pa.RecordBatch.from_arrays(
             [pa.array([name], pa.int64()), *(pa.array([b], pa.binary()) for b in (
                 _pack_batch(table), pack(twins.astype(np.uint32), True), pack(lines.hashes[often], True), pack(least_type(lines.counts[often])))),
