@@ -207,6 +207,12 @@ INGEST = {
         "where t.region in ('ASIA', 'EUROPE') and t.region = b.region "
         "and t.snapshot_month = b.snapshot_month)"),
     "ingest_load": over_views(_LOADED),
+    "ingest_line_breaks": over_views(
+        "select * replace (company_name || chr(10) || '\"new\", line' || chr(10) "
+        f"|| cast(total_clicks as varchar) as company_name) from ({_LOADED})"),
+    "ingest_replace": over_views(
+        "select * replace (case when region in ('ASIA', 'EUROPE') then load_date "
+        f"else '2001-01-01' end as load_date) from ({_LOADED})"),
     "ingest_append": over_views(_LOADED),
     "ingest_report": over_views(
         f"select source_file, count(*) as rows from ({_LOADED}) group by source_file"),
@@ -259,4 +265,15 @@ ONE_ACCOUNT = {
         "group by 1, 2 having count(*) > 1"),
 }
 
-ALL = {**VIEWS, **SERVING, **DASHBOARD, **INGEST, **LONG_HISTORY, **HOT, **ONE_ACCOUNT}
+STORED = {f"{name}_stored": VIEWS[name] for name in [
+    "latest_snapshot", "growth_summary", "monthly_usage", "overall_health_score",
+    "at_risk_next_actions", "onboarding_clients"]} | {
+    "load_monthly_usage_of_account_stored": ONE_ACCOUNT["load_monthly_usage_of_account"],
+    "health_score_monthly_enriched_kept": over_views(
+        "select s.team_id, s.company_name, s.snapshot_month, s.overall_health_score, "
+        "s.health_band, n.health_narrative from scored s "
+        "left join narrated n using (team_id, snapshot_month) where s.team_id is not null"),
+    "sql_to_frame_followed": INGEST["sql_to_frame"],
+}
+
+ALL = {**VIEWS, **SERVING, **DASHBOARD, **INGEST, **LONG_HISTORY, **HOT, **STORED, **ONE_ACCOUNT}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.operators.history import Bounds
 from tidemark.plans import accounts, health, snapshots, trends
 from tidemark.rules import STANDARD, Rules
+from tidemark.sources.raw_table import AFTER_LOAD, ledger_number, read_raw_table
 
 
 # name: (clean rows, as_of, rules, layout) -> frame.  Each view names its own inputs, so
@@ -64,14 +66,61 @@ def register_views(raw: DataFrame, as_of: datetime | None = None, rules: Rules =
                    layout: str | Bounds = "auto") -> None:
     """Make the raw table and all views available to SQL text of this session.
 
-    The views show the files that ``raw`` was made from: register again after a load.
+    The views show the rows that ``raw`` was made from; those of ``follow_table`` go with its loads.
     """
+    _FOLLOWED.pop(_session(raw.sparkSession), None)
+    _register(raw, as_of, rules, layout)
+
+
+def _register(raw: DataFrame, as_of: datetime | None, rules: Rules, layout: str | Bounds) -> None:
     raw.createOrReplaceTempView("clients_raw")
     clean = snapshots.clients_clean(raw)
     for name, build in VIEWS.items():
         build(clean, as_of, rules, layout).createOrReplaceTempView(name)
 
 
+@dataclass
+class _Followed:
+    path: str
+    number: int
+    as_of: datetime | None
+    rules: Rules
+    layout: str | Bounds
+
+
+# By session: the table that its views follow.
+_FOLLOWED: dict[str, _Followed] = {}
+
+
+def _session(spark: SparkSession) -> str:
+    return spark._jsparkSession.sessionUUID()
+
+
+def follow_table(spark: SparkSession, path: str, as_of: datetime | None = None,
+                 rules: Rules = STANDARD, layout: str | Bounds = "auto") -> None:
+    """Register the views over the raw table at ``path``, and again after each load of it.
+
+    Loads of this session are followed at once, those of others by the next ``sql_to_frame`` (or
+    ``refresh_views``). All views change together, so that a query never mixes two states of the table.
+    """
+    _FOLLOWED[_session(spark)] = _Followed(path, -2, as_of, rules, layout)
+    if refresh_views not in AFTER_LOAD:
+        AFTER_LOAD.append(refresh_views)
+    refresh_views(spark)
+
+
+def refresh_views(spark: SparkSession) -> None:
+    """Bring views that follow a table up to its newest load; without one this does nothing."""
+    followed = _FOLLOWED.get(_session(spark))
+    if followed is None:
+        return
+    number = ledger_number(spark, followed.path)
+    if number != followed.number:
+        _register(read_raw_table(spark, followed.path), followed.as_of, followed.rules, followed.layout)
+        followed.number = number
+
+
 def sql_to_frame(spark: SparkSession, query: str, params: Sequence | None = None) -> DataFrame:
     """Frame of a SQL text with ``?`` markers bound to ``params`` in order."""
+    refresh_views(spark)
     return spark.sql(query, args=list(params)) if params else spark.sql(query)

@@ -20,14 +20,16 @@ from tidemark.operators.checks import duplicate_keys
 from tidemark.operators.history import Bounds
 from tidemark.plans import dashboard, serving
 from tidemark.plans.accounts import at_risk_next_actions
-from tidemark.plans.catalog import VIEWS, register_views, sql_to_frame, view
-from tidemark.plans.snapshots import clients_clean, latest_snapshot
+from tidemark.plans.catalog import VIEWS, follow_table, register_views, sql_to_frame, view
+from tidemark.plans.health import scored_timeline
+from tidemark.plans.snapshots import clients_clean, latest_snapshot, snapshot_months
 from tidemark.plans.trends import user_trend_monthly
 from tidemark.rules import HEADER_TO_COLUMN, STANDARD
-from tidemark.schema import RAW_PARTITIONS, RAW_SCHEMA
+from tidemark.schema import RAW_PARTITIONS, RAW_SCHEMA, VIEW_COLUMNS
 from tidemark.sources import csv_files
 from tidemark.sources.panel import AS_OF, hot_panel, panel, write_csv_files
-from tidemark.sources.raw_table import append_rows, read_raw_table
+from tidemark.sources.raw_table import append_rows, load_rows, read_raw_table
+from tidemark.sources.timeline_table import read_timeline, update_timeline
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -202,6 +204,27 @@ def _ingest_new_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return csv_files.new_files(files, files.where(F.col("region") == "AFRICA"))
 
 
+def _ingest_line_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose company names hold line breaks, quotes and commas, some of them below a hidden folder."""
+    folder = f"{shared_folder(spark)}/drop"
+    name = F.concat("company_name", F.lit('\n"new", line\n'), F.col("total_clicks").cast("string"))
+    headers = [(name if c == "company_name" else F.col(c).cast("string")).alias(h) for h, c in HEADER_TO_COLUMN.items()]
+    rows, hidden = _panel(spark, sf_dir), F.col("region").isin("ASIA", "EUROPE")
+    write_csv_files(rows.where(~hidden), headers, f"{folder}/seen")
+    write_csv_files(rows.where(hidden), headers, f"{folder}/deep/_hidden")
+    table = f"{shared_folder(spark)}/clients_raw"
+    csv_files.ingest(spark, folder, table, LOAD_DATE)
+    return read_raw_table(spark, table)
+
+
+def _ingest_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All files loaded, and those of two regions once more in place of their rows, on another day."""
+    table, files = f"{shared_folder(spark)}/clients_raw", csv_files.list_files(spark, _dropped(spark, sf_dir))
+    csv_files.ingest_files(spark, files, table, date(2001, 1, 1))
+    csv_files.ingest_files(spark, files.where(F.col("region").isin("ASIA", "EUROPE")), table, LOAD_DATE, replace=True)
+    return read_raw_table(spark, table)
+
+
 def _lineage(*columns: str) -> Query:
     def build(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = csv_files.with_lineage(_as_scanned(spark, sf_dir), F.col("path"), LOAD_DATE)
@@ -224,6 +247,8 @@ INGEST: dict[str, Query] = {
     "ingest_rename": lambda spark, sf_dir: csv_files.raw_rows(
         _as_scanned(spark, sf_dir), LOAD_DATE).select(*HEADER_TO_COLUMN.values()),
     "ingest_load": _ingest_load,
+    "ingest_line_breaks": _ingest_line_breaks,
+    "ingest_replace": _ingest_replace,
     "ingest_region": _lineage("region"),
     "ingest_month": _lineage("snapshot_month"),
     "ingest_lineage": _lineage("source_file", "load_date", "is_test"),
@@ -264,6 +289,58 @@ HOT: dict[str, Query] = {
         lambda clean: serving.load_latest_health_summary(clean, layout=HOT_BOUNDS)),
 }
 
+# --- the panel as a table of the library, loaded in parts ------------------------------------
+
+def _parts(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    month, rows = F.col("snapshot_month"), _panel(spark, sf_dir)
+    return [rows.where(month < "1999-01-01"), rows.where((month >= "1999-01-01") & (month < "2001-10-01")), rows.where(month >= "2001-10-01")]
+
+
+@lru_cache(maxsize=8)
+def _stored(spark: SparkSession, sf_dir: str) -> str:
+    """A raw table in buckets by account and the timeline that followed its loads, written once per session."""
+    folder = shared_folder(spark)
+    for part in _parts(spark, sf_dir):
+        load_rows(part, f"{folder}/clients_raw", buckets=4)
+        update_timeline(spark, f"{folder}/clients_raw", f"{folder}/timeline")
+    return folder
+
+
+def _on_stored(build: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: build(clients_clean(read_raw_table(spark, f"{_stored(spark, sf_dir)}/clients_raw")))
+
+
+def _kept_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of accounts with an id, from the timeline kept load by load."""
+    folder = _stored(spark, sf_dir)
+    clean = clients_clean(read_raw_table(spark, f"{folder}/clients_raw"))
+    scored = scored_timeline(read_timeline(spark, f"{folder}/timeline"), snapshot_months(clean)["latest"])
+    return scored.select(*VIEW_COLUMNS["health_score_monthly_enriched"])
+
+
+def _sql_of_followed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views registered before the table's last load, which they follow."""
+    table = f"{shared_folder(spark)}/clients_raw"
+    first, *later = _parts(spark, sf_dir)
+    load_rows(first, table)
+    follow_table(spark, table, AS_OF)
+    for part in later:
+        load_rows(part, table)
+    return sql_to_frame(
+        spark, "select company_name, overall_health_score, health_band, recommended_action "
+        "from at_risk_next_actions where overall_health_score <= ? and region <> ?",
+        [60, "ASIA"])
+
+
+STORED: dict[str, Query] = {
+    **{f"{name}_stored": _on_stored(lambda clean, name=name: VIEWS[name](clean, AS_OF, STANDARD, "auto"))
+       for name in ("latest_snapshot", "growth_summary", "monthly_usage", "overall_health_score",
+                    "at_risk_next_actions", "onboarding_clients")},
+    "load_monthly_usage_of_account_stored": _on_stored(lambda clean: serving.load_monthly_usage(clean, 5)),
+    "health_score_monthly_enriched_kept": _kept_score,
+    "sql_to_frame_followed": _sql_of_followed,
+}
+
 ONE_ACCOUNT: dict[str, Query] = {
     "latest_month_of_account": _on_usage(lambda rows: dashboard.latest_month(rows, team_id=1)),
     "load_monthly_usage_of_account": _on_clean(
@@ -282,4 +359,4 @@ ONE_ACCOUNT: dict[str, Query] = {
 
 QUERIES: dict[str, Query] = {
     **{name: _view(name) for name in VIEWS}, **SERVING, **DASHBOARD, **INGEST, **LONG_HISTORY,
-    **HOT, **ONE_ACCOUNT}
+    **HOT, **STORED, **ONE_ACCOUNT}

@@ -124,7 +124,7 @@ def write_csv_files(rows: DataFrame, columns: list, folder: str) -> int:
     returns how many."""
     spark, staged = rows.sparkSession, f"{folder.rstrip('/')}-staged-{uuid4().hex}"
     texts = rows.select(*columns, F.lower("region").alias("region"), F.substring("snapshot_month", 1, 7).alias("month"))
-    (texts.repartition("region", "month").write.option("header", True)
+    (texts.repartition("region", "month").write.option("header", True).option("escape", '"')
      .partitionBy("region", "month").csv(staged))
     files = spark._jvm.org.apache.hadoop.fs
     system = files.Path(staged).getFileSystem(spark._jsc.hadoopConfiguration())

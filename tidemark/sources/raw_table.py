@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from uuid import uuid4
 
 from pyspark.errors import AnalysisException
@@ -40,6 +40,9 @@ LEDGER_SCHEMA = T.StructType([
 
 _COMPLETE = "complete"
 
+# Called with the session after each load that it enters in a ledger.
+AFTER_LOAD: list[Callable[[SparkSession], None]] = []
+
 
 def read_raw_table(spark: SparkSession, path: str) -> DataFrame:
     """The rows that count, or an empty frame of the same schema where nothing was written yet.
@@ -172,6 +175,11 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return newest.select("entry.*").select(*LEDGER_SCHEMA.names, "number")
 
 
+def ledger_number(spark: SparkSession, path: str) -> int:
+    """The number of the newest load, -1 before the first: it changes with every load."""
+    return max(numbered.numbers(spark, _ledger_path(path)), default=-1)
+
+
 def open_ledger(spark: SparkSession, path: str) -> DataFrame:
     """The ledger; a table without one gets one that names all it holds now."""
     try:
@@ -206,4 +214,6 @@ def enter(spark: SparkSession, path: str, entries: Iterable[dict], replace: bool
             return []
         lines = [*map(json.dumps, ours), json.dumps({_COMPLETE: True})]
         if numbered.create(spark, _ledger_path(path), max(found, default=-1) + 1, lines):
+            for tell in AFTER_LOAD:
+                tell(spark)
             return sorted(((e["snapshot_month"], e["region"]) for e in ours), key=str)
