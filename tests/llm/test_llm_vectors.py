@@ -106,6 +106,7 @@ CASES = {
     "sphere": random_rows(700, 5, 4),
     "groups": [(i, (np.array(v) * 0.05 + (i % 7) * np.eye(8)[i % 7] * 3).tolist()) for i, v in random_rows(600, 8, 5)],
     "copies": random_rows(60, 3, 6) + [(1000 + i, [1.0, 2.0, 3.0]) for i in range(300)] + [(5, [0.5, 0.5, 0.5])] * 4,
+    "own copies": random_rows(15, 3, 10) + [(20, [4.0, 4.0, 4.0])] * 8 + [(i, [4.0, 4.0, 4.0]) for i in (31, 40, 41, 42, 43, 44, 45)] + [(33, [4.0, 4.0, 4.0])] * 9,
     "long": [(i, [c * 2.0**18 for c in v]) for i, v in random_rows(200, 4, 7)],
     "zeros": [(i, [0.0, 0.0]) for i in range(40)] + [(50, [1.0, 0.0]), (51, [-1.0, 0.0])],
 }

@@ -267,8 +267,9 @@ def top_products(vectors: DataFrame, is_query: Column, count: int = 5, scale: in
     sorts first; repeated rows are all candidates. Without usable rows or queries the result is empty.
     Vectors too long for exact products in a long are an error.
 
-    Of equal vectors only the ``count`` + 1 smallest ids can be among the best, so the others stay behind
-    before anything is shuffled; no loss, and no hot vector. A top routing object with more than ``part``
+    Of equal vectors only the ``count`` + 1 smallest ids, and of repeated rows ``count``, can be among the
+    best. The others are left out by partial aggregates and limits before each shuffle, so that nothing is
+    lost and no vector is hot. A top routing object with more than ``part``
     vectors has several parts by hash. A visit is one row per query and part in reach: where distances
     tell little apart that is queries * vectors / ``part`` rows, which exactness costs there.
     """
@@ -286,8 +287,10 @@ def top_products(vectors: DataFrame, is_query: Column, count: int = 5, scale: in
     if not asked:
         return spark.createDataFrame([], result)
     queries = rows.filter("is_query").groupBy("vec_id").agg(F.min("x").alias("x")).withColumn("home", F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)))
-    same = W.partitionBy("x").orderBy("vec_id")
-    entries = written(rows.select("vec_id", "x").withColumn("n", F.row_number().over(same)).filter(F.col("n") <= count + 1).drop("n"))
+    # of equal vectors the smallest ids, one more than asked for as one may be the query's own
+    ids = rows.groupBy("x", "vec_id").agg(F.least(F.count("*"), F.lit(count)).alias("times"))
+    ids = ids.withColumn("n", F.row_number().over(W.partitionBy("x").orderBy("vec_id"))).filter(F.col("n") <= count + 1)
+    entries = written(ids.select("vec_id", "x", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("vec_id", "x"))
     total = entries.count()
     metric = Metric(int(squared))
     spread = entries.groupBy("x").agg(F.xxhash64("x").alias("h")).orderBy("h", "x").limit(min(tops, -(-total // part))).collect()
