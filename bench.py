@@ -20,6 +20,7 @@ import statistics
 import sys
 import tempfile
 import time
+from uuid import uuid4
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +32,8 @@ from tidemark.rules import HEADER_TO_COLUMN
 from tidemark.session import session_builder
 from tidemark.sources.csv_files import ingest
 from tidemark.sources.panel import AS_OF, panel, write_csv_files
-from tidemark.sources.raw_table import append_rows, read_raw_table
+from tidemark.sources.raw_table import load_rows, read_raw_table
+from tidemark.sources.timeline_table import update_timeline
 
 HEADLINE = ["overall_health_score", "at_risk_next_actions", "load_monthly_usage"]
 
@@ -87,7 +89,8 @@ def multiplied(raw: DataFrame, times: int) -> DataFrame:
 
 def measure(spark: SparkSession, sf_dir: str, runs: int, times: int,
             only: set[str]) -> tuple[dict[str, float], int]:
-    folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    folder = f"{base.rstrip('/')}/run-{uuid4().hex}" if base else tempfile.mkdtemp(prefix="run-", dir="/tmp")
     table = f"{folder}/clients_raw"
     source = multiplied(panel(spark, sf_dir), times) if times > 1 else panel(spark, sf_dir)
     taken = {"fixture_panel": seconds(lambda: source.write.parquet(table))}
@@ -102,14 +105,23 @@ def measure(spark: SparkSession, sf_dir: str, runs: int, times: int,
 
         query()
         taken[name] = statistics.median(seconds(query) for _ in range(runs))
-    # the same from the library's own table, with a folder for each month and region
-    stored = f"{folder}/clients_raw_partitioned"
-    if not only or "partitioned" in only:
-        append_rows(raw.repartition("snapshot_month", "region"), stored)
-        for name in ("overall_health_score", "at_risk_next_actions", "growth_summary"):
-            taken[f"{name}_partitioned"] = statistics.median(
-                seconds(lambda: run(QUERIES[name](clients_clean(read_raw_table(spark, stored)))))
-                for _ in range(runs))
+    # the same from the library's own table, by month and region, and by account within them
+    for kind, buckets in (("partitioned", 0), ("buckets", 8)):
+        if only and kind not in only:
+            continue
+        stored = f"{folder}/clients_raw_{kind}"
+        taken[f"load_{kind}"] = seconds(lambda: load_rows(raw.repartition("snapshot_month", "region"), stored, buckets=buckets))
+        for name in ("overall_health_score_auto", "at_risk_next_actions", "growth_summary", "load_monthly_usage"):
+            def query() -> None:
+                run(QUERIES[name](clients_clean(read_raw_table(spark, stored))))
+            query()
+            taken[f"{name}_{kind}"] = statistics.median(seconds(query) for _ in range(runs))
+    if not only or "timeline" in only:
+        stored, kept, month = f"{folder}/clients_raw_monthly", f"{folder}/timeline", F.col("snapshot_month")
+        newest = raw.agg(F.max("snapshot_month")).first()[0]
+        for name, part in (("timeline_begun", raw.where(month < newest)), ("timeline_month_added", raw.where(month == newest))):
+            load_rows(part.repartition("snapshot_month", "region"), stored)
+            taken[name] = seconds(lambda: update_timeline(spark, stored, kept))
     if times == 1 and (not only or "ingest_first" in only):
         headers = [F.col(c).alias(h) for h, c in HEADER_TO_COLUMN.items()]
         write_csv_files(panel(spark, sf_dir), headers, f"{folder}/drop")

@@ -35,14 +35,14 @@ def test_month_by_month_replay_of_the_panel(spark, tmp_path):
     rows = panel(spark, SF_DIR).persist()
     months = sorted(r[0] for r in rows.select("snapshot_month").distinct().collect())
     raw_path, path = str(tmp_path / "raw"), str(tmp_path / "timeline")
-    load_rows(rows.where(F.col("snapshot_month") < months[-8]), raw_path)
+    load_rows(rows.where(F.col("snapshot_month") < months[-4]), raw_path)
     update_timeline(spark, raw_path, path)
     assert_same(spark, raw_path, path)
-    for i, month in enumerate(months[-8:]):
+    for i, month in enumerate(months[-4:]):
         load_rows(rows.where(F.col("snapshot_month") == month), raw_path)
         version = update_timeline(spark, raw_path, path)
         assert version.number == i + 1 and update_timeline(spark, raw_path, path) == version
-        if i in (0, 1, 4, 7):
+        if i in (0, 3):
             clean = assert_same(spark, raw_path, path)
     columns = VIEW_COLUMNS["overall_health_score"]
     scores = scored_timeline(read_timeline(spark, path), snapshot_months(clean)["latest"]).select(*columns)

@@ -128,7 +128,7 @@ def test_months_and_bounds_of_the_ledger(spark, raw, tmp_path):
         got, want = (view(name, frame, AS_OF) for frame in (table, plain))
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     clean = snapshots.clients_clean(table)
-    assert settled_layout(clean, "auto") == "window" and settled_layout(clean, Bounds(history_rows=9)) == Bounds(history_rows=9)
+    assert settled_layout(clean, "auto") == "window" and settled_layout(clean, Bounds(history_rows=9)) == Bounds(history_rows=9, long_accounts=())
     assert settled_layout(snapshots.clients_clean(plain), "auto") == "auto"
     with pytest.raises(ValueError, match="unknown layout"):
         view("monthly_usage", table, layout="nothing")
@@ -192,3 +192,32 @@ def test_an_older_table_and_mixed_buckets(spark, raw, tmp_path):
     text = plan(view("monthly_usage", read_raw_table(spark, path)))
     assert "Exchange hashpartitioning(team_id" in text  # read without buckets
     assert read_ledger(spark, path).select(*RAW_PARTITIONS).distinct().count() == 4
+
+
+def test_long_accounts_are_known_from_the_ledger(spark, raw, tmp_path, monkeypatch):
+    """Busy accounts are cut without a count of all; where the bounds do not tell, they are counted."""
+    monkeypatch.setattr(raw_table, "BUSY_ROWS", 3)
+    path, other = str(tmp_path / "t"), str(tmp_path / "other")
+    rows = [r | {"active_users": i} for month in range(1, 6) for i, r in enumerate(
+        [{"team_id": 1}] * 9 + [{"team_id": 2}] * (5 if month == 2 else 2) + [{"team_id": 3}] + [{"team_id": None}] * 7)
+        for r in [r | {"region": "UK", "company_name": f"c{r['team_id']}", "snapshot_month": f"2025-0{month}-01"}]]
+    for month in range(1, 6):
+        load_rows(raw([r for r in rows if r["snapshot_month"] == f"2025-0{month}-01"]), path)
+    table = read_raw_table(spark, path)
+    facts = facts_of(table)
+    # account 2 is named once; in other months it may have as many rows as any that is not named
+    assert (facts.longest, facts.others, facts.busy) == (45, 9, {1: 45, 2: 13})
+    assert facts.longer_than(12) == (1, 2) and facts.longer_than(13) == (1,) and facts.longer_than(45) == () and facts.longer_than(8) is None
+    clean, bounds = snapshots.clients_clean(table), Bounds(history_rows=12, block_rows=4)
+    assert settled_layout(clean, bounds).long_accounts == (1, 2)
+    assert settled_layout(clean, Bounds(history_rows=8)) == Bounds(history_rows=8)
+    from tidemark.operators.history import account_timeline
+    want = sorted(map(str, account_timeline(clean, "window").collect()))
+    names = account_timeline(clean, "window").columns
+    for layout in (bounds, Bounds(history_rows=8, block_rows=4), Bounds(history_rows=44, block_rows=10)):
+        assert sorted(map(str, account_timeline(clean, layout).select(*names).collect())) == want
+    counts = "HashAggregate(keys=[team_id"
+    assert plan(account_timeline(clean, bounds)).count(counts) < plan(account_timeline(clean, Bounds(history_rows=8, block_rows=4))).count(counts)
+    monkeypatch.setattr(raw_table, "BUSY_ACCOUNTS", 1)
+    load_rows(raw([r for r in rows if r["snapshot_month"] == "2025-02-01"]), other)
+    assert (facts_of(read_raw_table(spark, other)).others, facts_of(read_raw_table(spark, other)).busy) == (9, {})

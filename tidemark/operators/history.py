@@ -22,7 +22,7 @@ Columns added
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,20 +48,26 @@ class Bounds:
 
     At most ``accounts`` accounts can be that long, so their ids, 8 MB of them, may be broadcast.
     Of 10**12 rows a history of a million is cut, so a window group stays within some 100 MB.
+    ``long_accounts`` names the accounts to cut; without it they are counted.
     """
 
     history_rows: int = 100_000
     block_rows: int = 50_000
     accounts: int = 1_000_000
+    long_accounts: tuple[int, ...] | None = None
 
 
 def settled_layout(clean: DataFrame, layout: str | Bounds) -> str | Bounds:
-    """``window`` in place of ``auto`` where the ledger of ``clean`` tells that no history is long."""
+    """``auto`` made more definite by what the ledger of ``clean`` tells: ``window`` where no history is
+    long, else, where it names all accounts that may be, these."""
     facts = facts_of(clean)
     if facts is None or layout in ("window", "blocks") or (isinstance(layout, str) and layout != "auto"):
         return layout
     bounds = Bounds() if layout == "auto" else layout
-    return "window" if facts.longest <= bounds.history_rows else layout
+    if facts.longest <= bounds.history_rows:
+        return "window"
+    found = facts.longer_than(bounds.history_rows)
+    return layout if found is None or bounds.long_accounts is not None else replace(bounds, long_accounts=found)
 
 
 def account_timeline(clean: DataFrame, layout: str | Bounds = "window") -> DataFrame:
@@ -78,7 +84,10 @@ def account_timeline(clean: DataFrame, layout: str | Bounds = "window") -> DataF
         raise ValueError(f"unknown layout {layout!r}")
     bounds = Bounds() if layout == "auto" else layout
     known = clean.where(F.col("team_id").isNotNull())
-    long = F.broadcast(long_accounts(known, bounds))
+    if bounds.long_accounts is None:
+        long = F.broadcast(long_accounts(known, bounds))
+    else:
+        long = F.broadcast(clean.sparkSession.createDataFrame([(i,) for i in bounds.long_accounts], "team_id bigint"))
     rest = known.join(long, "team_id", "left_semi").unionByName(
         clean.where(F.col("team_id").isNull()))
     return account_timeline(known.join(long, "team_id", "left_anti")).unionByName(

@@ -22,7 +22,7 @@ from tidemark.functions.numbers import whole_number
 from tidemark.rules import HEADER_TO_COLUMN, MISSING_TEXTS
 from tidemark.schema import LONG_COLUMNS, RAW_PARTITIONS, RAW_SCHEMA
 from tidemark.sources import records
-from tidemark.sources.raw_table import enter, open_ledger, read_ledger, table_buckets, write_rows
+from tidemark.sources.raw_table import busy_columns, enter, open_ledger, read_ledger, table_buckets, write_rows
 
 _BROKEN = "broken_line"
 # Files that are loaded and entered in the ledger together.
@@ -318,11 +318,11 @@ def ingest_files(spark: SparkSession, files: DataFrame, table_path: str,
             counted = beside.submit(_loads(texts, keys).collect)
             folder = write_rows(raw_rows(texts, load_date), table_path, buckets)
         paths = {(f["snapshot_month"], f["region"]): f["path"] for f in todo}
-        entries = [e.asDict() | {"folder": folder, "buckets": buckets} for e in counted.result()]
+        entries = [e.asDict(recursive=True) | {"folder": folder, "buckets": buckets} for e in counted.result()]
         done += [paths[key] for key in enter(spark, table_path, entries, replace)]
         tried = tried.union(keys.select(*RAW_PARTITIONS))
     paths = spark.createDataFrame([(p,) for p in done], "path string")
-    return (read_ledger(spark, table_path).drop("folder", "buckets", "number")
+    return (read_ledger(spark, table_path).drop("folder", "buckets", "number", "other_rows", "busy")
             .join(paths, "path", "left_semi").withColumn("skipped", F.lit(False)))
 
 
@@ -335,9 +335,9 @@ def _loads(texts: DataFrame, files: DataFrame) -> DataFrame:
     counts = keys.groupBy("path").agg(
         F.sum("n").alias("rows"), F.sum("rejected").alias("rejected"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("columns")))).alias("rejected_columns"),
-        F.max("n").alias("most_rows"),
+        *busy_columns(),
         F.count_if((F.col("n") > 1) & F.col("team_id").isNotNull()).alias("duplicate_keys"))
-    zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("rows", "rejected", "duplicate_keys", "most_rows")}
+    zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("rows", "rejected", "duplicate_keys", "most_rows", "other_rows")}
     # a file marks no test accounts, so all its rows count
     return (files.join(counts, "path", "left").withColumns(zero)
             .withColumn("kept_rows", F.col("rows")))

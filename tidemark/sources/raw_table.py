@@ -18,11 +18,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections import Counter
 from collections.abc import Callable, Iterable
 from uuid import uuid4
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,10 +37,16 @@ LEDGER_SCHEMA = T.StructType([
     T.StructField("kept_rows", T.LongType()), T.StructField("rejected", T.LongType()),
     T.StructField("rejected_columns", T.ArrayType(T.StringType())),
     T.StructField("duplicate_keys", T.LongType()), T.StructField("most_rows", T.LongType()),
+    T.StructField("other_rows", T.LongType()),
+    T.StructField("busy", T.ArrayType(T.StructType([T.StructField("team_id", T.LongType()), T.StructField("rows", T.LongType())]))),
     T.StructField("folder", T.StringType()), T.StructField("buckets", T.IntegerType())])
 
 _COMPLETE = "complete"
 
+# An account with more rows than that in one month and region is named in the ledger, if at most so
+# many accounts are: a thousandth of the rows at most, and 40 kB a month and region.
+BUSY_ROWS, BUSY_ACCOUNTS = 1000, 1000
+
 # Called with the session after each load that it enters in a ledger.
 AFTER_LOAD: list[Callable[[SparkSession], None]] = []
 
@@ -52,7 +59,7 @@ def read_raw_table(spark: SparkSession, path: str) -> DataFrame:
     """
     try:
         entries = read_ledger(spark, path).select(
-            *RAW_PARTITIONS, "rows", "kept_rows", "most_rows", "folder", "buckets").collect()
+            *RAW_PARTITIONS, "rows", "kept_rows", "most_rows", "other_rows", "busy", "folder", "buckets").collect()
     except AnalysisException as error:
         _only_not_found(error)
         return _plain(spark, path)
@@ -62,7 +69,20 @@ def read_raw_table(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.table(_registered(spark, path, held)).select(*RAW_SCHEMA.names)
     months = sorted({e["snapshot_month"] for e in held if e["kept_rows"] and e["snapshot_month"]}, reverse=True)
     latest, previous = (*months, None, None)[:2]
-    return with_facts(rows, Facts(latest, previous, sum(e["most_rows"] for e in held)))
+    return with_facts(rows, Facts(latest, previous, *_account_bounds(held)))
+
+
+def _account_bounds(entries: list[Row]) -> tuple[int, dict[int, int], int]:
+    """``Facts.longest``, ``busy`` and ``others``: sums over entries, each of which bounds all accounts that
+    it does not name by ``other_rows`` (by all its rows where it does not tell)."""
+    def told(entry: Row, column: str) -> int:
+        return entry["rows"] if entry[column] is None else entry[column]
+
+    others, busy = sum(told(e, "other_rows") for e in entries), Counter()
+    for e in entries:
+        for account, n in e["busy"] or ():
+            busy[account] += n - told(e, "other_rows")
+    return sum(told(e, "most_rows") for e in entries), {i: n + others for i, n in busy.items()}, others
 
 
 def _plain(spark: SparkSession, path: str) -> DataFrame:
@@ -143,16 +163,31 @@ def load_rows(rows: DataFrame, path: str, buckets: int = 0, replace: bool = Fals
     buckets = buckets or table_buckets(known)
     folder = write_rows(rows, path, buckets)
     written = spark.read.schema(RAW_SCHEMA).parquet(f"{path.rstrip('/')}/{folder}")
-    entries = [e.asDict() for e in _counts(written).collect()]
+    entries = [e.asDict(recursive=True) for e in _counts(written).collect()]
     return enter(spark, path, [e | {"folder": folder, "buckets": buckets} for e in entries], replace)
 
 
+def busy_columns() -> list[Column]:
+    """Aggregates over one row per ``team_id``, with its number of rows ``n``: the most rows of any account
+    or without one (most_rows), the accounts with over ``BUSY_ROWS`` (busy), and the most rows of an account
+    that is not among these (other_rows).  A load of too many busy accounts names none."""
+    n, account = F.col("n"), F.col("team_id")
+    listed = account.isNotNull() & (n > BUSY_ROWS)
+    few = F.count_if(listed) <= BUSY_ACCOUNTS
+    named = F.collect_list(F.when(listed, F.struct(account.alias("team_id"), n.alias("rows"))))
+    return [
+        F.max(n).alias("most_rows"),
+        F.when(few, F.coalesce(F.max(F.when(account.isNotNull() & ~listed, n)), F.lit(0)))
+        .otherwise(F.max(F.when(account.isNotNull(), n))).alias("other_rows"),
+        F.when(few, named).alias("busy")]
+
+
 def _counts(rows: DataFrame) -> DataFrame:
     """Ledger columns, as far as rows tell them, of each month and region."""
     keys = rows.groupBy(*RAW_PARTITIONS, "team_id").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(F.col("is_test"), F.lit(0)) == 0).alias("kept"))
     return keys.groupBy(*RAW_PARTITIONS).agg(
-        F.sum("n").alias("rows"), F.sum("kept").alias("kept_rows"), F.max("n").alias("most_rows"),
+        F.sum("n").alias("rows"), F.sum("kept").alias("kept_rows"), *busy_columns(),
         F.count_if((F.col("n") > 1) & F.col("team_id").isNotNull()).alias("duplicate_keys"))
 
 
@@ -164,8 +199,9 @@ def _ledger_path(path: str) -> str:
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """For each month and region its newest entry: file, rows, rows that count (no test accounts), values
-    that were no whole numbers, their columns, keys with more than one row, the most rows of one
-    account, the folder of its rows and the buckets they are written in, and the ``number`` of the load."""
+    that were no whole numbers, their columns, keys with more than one row, the rows of its busiest
+    accounts (``busy_columns``), the folder of its rows and the buckets they are written in, and the
+    ``number`` of the load."""
     schema = T.StructType([*LEDGER_SCHEMA, T.StructField(_COMPLETE, T.BooleanType())])
     number = F.regexp_extract(F.col("_metadata.file_name"), r"^(\d+)", 1).cast("long")
     lines = spark.read.schema(schema).json(_ledger_path(path)).select("*", number.alias("number"))
@@ -186,7 +222,7 @@ def open_ledger(spark: SparkSession, path: str) -> DataFrame:
         return read_ledger(spark, path)
     except AnalysisException as error:
         _only_not_found(error)
-    held = [e.asDict() | {"folder": "", "buckets": 0} for e in _counts(_plain(spark, path)).collect()]
+    held = [e.asDict(recursive=True) | {"folder": "", "buckets": 0} for e in _counts(_plain(spark, path)).collect()]
     enter(spark, path, held)
     return read_ledger(spark, path)
 
