@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from conftest import monthly
 from tidemark.operators.facts import facts_of
 from tidemark.operators.history import Bounds, settled_layout
-from tidemark.plans import health, serving, snapshots
+from tidemark.plans import health, registry, serving, snapshots
 from tidemark.plans.accounts import at_risk_next_actions
 from tidemark.plans.catalog import view
 from tidemark.schema import RAW_PARTITIONS
@@ -221,3 +221,23 @@ def test_long_accounts_are_known_from_the_ledger(spark, raw, tmp_path, monkeypat
     monkeypatch.setattr(raw_table, "BUSY_ACCOUNTS", 1)
     load_rows(raw([r for r in rows if r["snapshot_month"] == "2025-02-01"]), other)
     assert (facts_of(read_raw_table(spark, other)).others, facts_of(read_raw_table(spark, other)).busy) == (9, {})
+
+
+def test_buckets_grow_with_the_rows_to_hold():
+    assert [raw_table.buckets_for(n) for n in (0, 82_000, 2_800_001, 30_000_000)] == [4, 4, 5, 43]
+
+
+def test_stored_queries_bucket_by_the_size_of_the_tables(spark, tmp_path, monkeypatch):
+    for table, rows in {
+            "supplier": "select id s_suppkey, concat('S', id) s_name, 0 s_nationkey from range(1, 7)",
+            "lineitem": "select s.id l_suppkey, m.id + 1 l_linenumber, 5d l_quantity, add_months(timestamp '1998-11-03', 7 * int(m.id)) l_shipdate "
+                        "from range(1, 7) s cross join range(6) m",
+            "nation": "select 0 n_nationkey, 0 n_regionkey", "region": "select 0 r_regionkey, 'ASIA' r_name"}.items():
+        spark.sql(rows).write.parquet(str(tmp_path / f"{table}.parquet"))
+    monkeypatch.setattr(raw_table, "BUCKET_ROWS", 100)
+    clean = registry.QUERIES["latest_snapshot_stored"](spark, str(tmp_path))
+    path = f"{registry._stored(spark, str(tmp_path))}/clients_raw"
+    # six accounts of 82 months at most
+    assert {r["buckets"] for r in read_ledger(spark, path).collect()} == {5}
+    assert sorted(map(str, read_raw_table(spark, path).collect())) == sorted(map(str, panel(spark, str(tmp_path)).collect()))
+    assert clean.count() == 6

@@ -27,8 +27,8 @@ from tidemark.plans.trends import user_trend_monthly
 from tidemark.rules import HEADER_TO_COLUMN, STANDARD
 from tidemark.schema import RAW_PARTITIONS, RAW_SCHEMA, VIEW_COLUMNS
 from tidemark.sources import csv_files
-from tidemark.sources.panel import AS_OF, hot_panel, panel, write_csv_files
-from tidemark.sources.raw_table import append_rows, load_rows, read_raw_table
+from tidemark.sources.panel import AS_OF, expected_rows, hot_panel, panel, write_csv_files
+from tidemark.sources.raw_table import append_rows, buckets_for, load_rows, read_raw_table
 from tidemark.sources.timeline_table import read_timeline, update_timeline
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -292,16 +292,22 @@ HOT: dict[str, Query] = {
 # --- the panel as a table of the library, loaded in parts ------------------------------------
 
 def _parts(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    month, rows = F.col("snapshot_month"), _panel(spark, sf_dir)
+    """The panel, computed once for all its parts."""
+    month, folder = F.col("snapshot_month"), f"{shared_folder(spark)}/panel"
+    _panel(spark, sf_dir).write.parquet(folder)
+    rows = spark.read.schema(RAW_SCHEMA).parquet(folder)
     return [rows.where(month < "1999-01-01"), rows.where((month >= "1999-01-01") & (month < "2001-10-01")), rows.where(month >= "2001-10-01")]
 
 
 @lru_cache(maxsize=8)
 def _stored(spark: SparkSession, sf_dir: str) -> str:
-    """A raw table in buckets by account and the timeline that followed its loads, written once per session."""
-    folder = shared_folder(spark)
+    """A raw table in buckets by account and the timeline that followed its loads, written once per session.
+
+    The buckets grow with the tables, so that no task gets more rows for that.
+    """
+    folder, buckets = shared_folder(spark), buckets_for(expected_rows(spark, sf_dir))
     for part in _parts(spark, sf_dir):
-        load_rows(part, f"{folder}/clients_raw", buckets=4)
+        load_rows(part, f"{folder}/clients_raw", buckets=buckets)
         update_timeline(spark, f"{folder}/clients_raw", f"{folder}/timeline")
     return folder
 

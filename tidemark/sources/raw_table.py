@@ -47,6 +47,9 @@ _COMPLETE = "complete"
 # many accounts are: a thousandth of the rows at most, and 40 kB a month and region.
 BUSY_ROWS, BUSY_ACCOUNTS = 1000, 1000
 
+# Rows of a bucket: a task that takes one through the timeline's sorts needs about 1 kB a row.
+BUCKET_ROWS = 700_000
+
 # Called with the session after each load that it enters in a ledger.
 AFTER_LOAD: list[Callable[[SparkSession], None]] = []
 
@@ -155,6 +158,11 @@ def write_rows(rows: DataFrame, path: str, buckets: int = 0) -> str:
     return folder
 
 
+def buckets_for(rows: int) -> int:
+    """Buckets for a table that is to hold so many rows, 4 at least: as many tasks read it."""
+    return max(4, -(-rows // BUCKET_ROWS))
+
+
 def load_rows(rows: DataFrame, path: str, buckets: int = 0, replace: bool = False) -> list[tuple[str, str]]:
     """Write rows and enter their months and regions; returns those that were entered: all that are
     not there yet, or with ``replace`` all."""
