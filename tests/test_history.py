@@ -1,10 +1,12 @@
 """The account timeline against a plain restatement of the rules, in both layouts."""
 
 import random
+import re
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.operators.blocks import blocked_timeline, long_accounts, with_blocks
 from tidemark.operators.checks import duplicate_keys, longest_history
@@ -81,6 +83,21 @@ def test_timeline_in_both_layouts(spark, raw, seed):
         assert Counter(tuple(r) for r in frame.select(*COLUMNS).collect()) == expected
 
 
+def test_windows_run_in_many_tasks(spark, raw):
+    """Few shuffled bytes are no reason to sort all rows in a few tasks, also if rows come by account."""
+    table = raw([{"team_id": t, "snapshot_month": f"2025-0{m}-01", "active_users": t} for t in range(200) for m in (1, 2)])
+    own, tasks = spark.conf.get("spark.sql.shuffle.partitions"), 40
+    spark.conf.set("spark.sql.shuffle.partitions", tasks)
+    try:
+        by_account = table.withColumn("total_jobs", F.sum("active_users").over(Window.partitionBy("team_id").orderBy("snapshot_month")))
+        found = account_timeline(by_account, Bounds())
+        assert found.select(F.spark_partition_id()).distinct().count() > tasks
+        text = account_timeline(table, "blocks")._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"Exchange hashpartitioning\(team_id#\d+L?, block#\d+L?, \d+\), REPARTITION_BY_NUM", text)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", own)
+
+
 def test_layouts_have_the_same_columns(spark, raw):
     table = raw(random_accounts(3))
     window, blocks = account_timeline(table), account_timeline(table, "blocks")

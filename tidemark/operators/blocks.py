@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.operators.history import (
-    LOOK_BACK_ROWS, ROW_ORDER, SIGNALS, Bounds, break_position, by_month, is_break, newest_first,
-    tie_break, up_to_here, with_signals, with_streaks)
+    LOOK_BACK_ROWS, ROW_ORDER, SIGNALS, Bounds, break_position, by_month, dealt, is_break,
+    newest_first, tie_break, up_to_here, with_signals, with_streaks)
 
 BLOCK_KEYS = ["team_id", "block"]
 
@@ -65,7 +65,7 @@ def blocked_timeline(clean: DataFrame, block_rows: int = Bounds.block_rows,
     """
     clean = clean.withColumn(ROW_ORDER, tie_break())
     blocks = with_blocks(clean, block_rows) if block is None else clean.withColumn("block", block)
-    rows = with_signals(_with_lead_in(blocks), BLOCK_KEYS).where(~F.col("is_lead_in"))
+    rows = with_signals(dealt(_with_lead_in(blocks), BLOCK_KEYS), BLOCK_KEYS).where(~F.col("is_lead_in"))
     rows = _with_local_positions(rows.drop("is_lead_in"))
     carried = _carried_over(_block_summary(rows))
     same_block = (F.col("rows.team_id").eqNullSafe(F.col("carried.team_id"))
