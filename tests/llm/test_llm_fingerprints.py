@@ -306,3 +306,21 @@ def test_rows_without_an_id_are_dealt_over_ranges(spark, monkeypatch):
     follower = {i: texts[places[(k + 1) % 3000]] for k, i in enumerate(places)}
     want = sorted((str(rows[i][0]), hashlib.sha256((t[:len(t) - len(t) // 4] + follower[i][:len(t) // 4]).encode()).hexdigest()) for i, t in enumerate(texts))
     assert sorted((str(r.doc_id), r.edited_sha256) for r in piecewise.edited_fingerprints(frame).select("doc_id", "edited_sha256").collect()) == want
+
+
+def test_only_lines_that_may_start_with_a_last_word_are_counted():
+    """Words that are no candidates for hot ones spare the lines whose prefix they fill."""
+    texts = [" the of\n\nthe of a the\nx1 x2 x3 the of a\nthe the the\ny y y y the of", None, "", "the of a in to x1\nx1 x1 x2 x1 the of a in to is"]
+    lines = line_join._Lines(pa.array(texts), 1)
+    common = line_join._hashes(pa.array(["the", "of", "a", "in", "to", "is"]))
+    last = np.isin(lines.hashes, common)
+    priority = np.where(last, np.uint64(1) << np.uint64(63), np.uint64(0)) + (lines.hashes >> np.uint64(1))
+    asked = line_join._may_hold(lines, last, 0.8)
+
+    def postings(asked=None):
+        word, start, size, kept = lines.sets(priority, asked)
+        first = [word[s:s + n] for s, n in zip(start, line_join._prefix(size, 0.8))]
+        return sorted((int(lines.line[k]), int(w)) for k, words in zip(kept, first) for w in words if last[w])
+
+    assert postings(asked) == postings() != []
+    assert not asked[list(lines.line).index(3)] and asked.sum() < len(lines.line)

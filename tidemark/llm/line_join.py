@@ -90,32 +90,41 @@ class _Lines:
         if only is not None:
             lines, number = lines.take(pa.array(only)), np.asarray(only)
         words = pc.ascii_split_whitespace(lines)
-        owner = np.repeat(np.arange(len(lines)), pc.list_value_length(words).to_numpy())
-        words = words.flatten()
+        count, words = pc.list_value_length(words).to_numpy(), words.flatten()
         there = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
-        enough = np.bincount(owner[there], minlength=len(lines)) >= least
-        there &= enough[owner]
-        taking, self.owner = np.flatnonzero(enough), (np.cumsum(enough) - 1)[owner[there]]
-        coded = words.filter(pa.array(there)).dictionary_encode()
+        if not there.all():
+            count = np.bincount(np.repeat(np.arange(len(lines)), count)[there], minlength=len(lines))
+            words = words.filter(pa.array(there))
+        enough = count >= least
+        if least > 1:
+            words = words.filter(pa.array(np.repeat(enough, count)))
+        taking = np.flatnonzero(enough)
+        self.owner = np.repeat(np.arange(len(taking)), count[taking])
+        coded = words.dictionary_encode()
         self.words = coded.indices.to_numpy().astype(np.int64)
         self.hashes = _hashes(coded.dictionary)
         self.counts = np.bincount(self.words, minlength=len(self.hashes))
         self.line = number[taking]
         self.doc = doc[self.line]
 
-    def sets(self, priority: np.ndarray):
+    def sets(self, priority: np.ndarray, asked: np.ndarray | None = None):
         """(word, start, size) of the lines' sets in ascending priority; lines of few words are left out.
 
-        Also which lines those are. Priorities of different words must differ.
+        Also which lines those are. Priorities of different words must differ. ``asked``: a flag for each
+        line; the others are left out too.
         """
+        owner, words = self.owner, self.words
+        if asked is not None:
+            at = np.flatnonzero(asked[owner])
+            owner, words = owner[at], words[at]
         order = np.argsort(priority)
         dense = np.empty(len(order), np.int64)
         dense[order] = np.arange(len(order))
-        keys = np.sort(self.owner << 32 | dense[self.words])
+        keys = np.sort(owner << 32 | dense[words])
         keys = keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
         owner, word = keys >> 32, order[keys & 0xFFFFFFFF]
         size = np.bincount(owner, minlength=len(self.line))
-        enough = size >= self.least
+        enough = size >= (self.least if asked is None else max(1, self.least))
         word, kept = word[enough[owner]], np.flatnonzero(enough)
         size = size[kept]
         return word, np.cumsum(size) - size, size, kept
@@ -199,9 +208,13 @@ def _chunks(t: float, least: int):
     return work
 
 
-def _frequent(chunks: DataFrame) -> np.ndarray:
+def _frequent(chunks: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     """Hashes of the frequent words, rarest first. Each chunk names its own, so that no word that is one in
-    ``FREQUENT`` over all is missed by all chunks, and at most ``FREQUENT`` words come together."""
+    ``FREQUENT`` over all is missed by all chunks, and at most ``FREQUENT`` words come together.
+
+    Also how often each occurs at most, and how often any other word does: what a chunk does not name are
+    fewer than one in twice ``FREQUENT`` of its words.
+    """
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for words, counts in zip(batch.column("words").to_pylist(), batch.column("counts").to_pylist()):
@@ -211,22 +224,42 @@ def _frequent(chunks: DataFrame) -> np.ndarray:
     total = chunks.agg(F.sum("tokens")).first()[0] or 0
     words = chunks.select("words", "counts").mapInArrow(work, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     words = words.filter(F.col("n") * FREQUENT >= total).orderBy(F.desc("n"), "word").limit(FREQUENT)
-    return np.array([r[0] for r in words.select("word").collect()][::-1], np.int64).view(np.uint64)
-
-
-def _hot(chunks: DataFrame, frequent: np.ndarray, buckets: int, t: float, least: int) -> tuple[np.ndarray, ...]:
+    found = np.array([tuple(r) for r in words.collect()][::-1], np.int64).reshape(-1, 2)
+    unnamed = total // (2 * FREQUENT) + 1
+    return found[:, 0].copy().view(np.uint64), found[:, 1] + unnamed, total // FREQUENT + 1 + unnamed
+
+
+def _may_hold(lines: _Lines, last: np.ndarray, t: float) -> np.ndarray:
+    """Whether a line's prefix may hold one of the words ``last`` (flags), which come after all others: not if
+    its other words set as many of 64 bits as its prefix has words, since different words are no fewer."""
+    if not len(lines.owner):
+        return np.zeros(len(lines.line), bool)
+    bit = np.where(last, np.uint64(0), np.uint64(1) << (lines.hashes & np.uint64(63)))
+    tokens = np.bincount(lines.owner, minlength=len(lines.line))
+    there = np.flatnonzero(tokens)
+    found = np.zeros(len(tokens), bool)
+    bits = np.bitwise_or.reduceat(bit[lines.words], (np.cumsum(tokens) - tokens)[there])
+    found[there] = np.bitwise_count(bits) < _prefix(tokens[there], t)
+    return found
+
+
+def _hot(
+        chunks: DataFrame, frequent: np.ndarray, most: np.ndarray, others: int, buckets: int, t: float, least: int) -> tuple[np.ndarray, ...]:
     """(word, blocks of cores, blocks of tails, first bucket) of the words with more postings than a bucket.
 
-    Counts decide how postings are dealt, not which meet.
+    Counts decide how postings are dealt, not which meet. Where only some frequent words occur often
+    enough for that, these are the last in every set, and only lines whose prefix may hold one are counted.
     """
-    if buckets == 1:  # no word has more than all have
+    able = frequent[most > BUCKET] if others <= BUCKET else None
+    if buckets == 1 or (able is not None and not len(able)):  # no word has more than all have
         return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for body, twins in zip(*(batch.column(c).to_pylist() for c in ("body", "twins"))):
                 lines = _Lines(_texts(_unpack_batch(body)), least)
-                word, start, size, kept = lines.sets(_priority(lines.hashes, frequent))
+                asked = None if able is None else _may_hold(lines, np.isin(lines.hashes, able), t)
+                word, start, size, kept = lines.sets(_priority(lines.hashes, frequent), asked)
                 count = np.where(np.isin(lines.line[kept], unpack(twins)), 0, _prefix(size, t))
                 owner = np.repeat(np.arange(len(size)), count)
                 place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
@@ -544,8 +577,8 @@ def _rewritten(names: list[str]):
 def _posted(chunks: DataFrame, t: float, least: int) -> DataFrame:
     """The prefix words of all lines, by the bucket in which they meet."""
     buckets = max(1, -(-(chunks.agg(F.sum("postings")).first()[0] or 0) // BUCKET))
-    frequent = _frequent(chunks)
-    work = _postings(frequent, buckets, _hot(chunks, frequent, buckets, t, least), t, least)
+    frequent, most, others = _frequent(chunks)
+    work = _postings(frequent, buckets, _hot(chunks, frequent, most, others, buckets, t, least), t, least)
     return chunks.select("chunk", "body", "twins").mapInArrow(work, _POSTINGS)
 
 
