@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -324,3 +325,54 @@ def test_only_lines_that_may_start_with_a_last_word_are_counted():
 
     assert postings(asked) == postings() != []
     assert not asked[list(lines.line).index(3)] and asked.sum() < len(lines.line)
+
+
+def test_words_of_lines_equal_plain_ones():
+    """White space, words over the ends of texts, words beyond eight bytes, parts of an array, lines asked for."""
+    pick = random.Random(3)
+    signs = [*"abcAZ\0", "é", "\x85", "\x1c", "word-of-more-bytes", "Word-of-more-bytes", *" \t\n\n\v\f\r"]
+    for _ in range(200):
+        texts = [None if pick.random() < 0.2 else "".join(pick.choices(signs, k=pick.randrange(12))) for _ in range(pick.randrange(2, 8))]
+        asked = [line for t in texts[1:] if t is not None for line in t.split("\n")]
+        only = np.array(sorted(pick.sample(range(len(asked)), len(asked) // 2)), np.int64)
+        want = [[w for w in re.split("[ \t\n\v\f\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), line)) if w] for line in asked]
+        for places in (None, only):
+            lines = line_join._Lines(pa.array(texts, pa.string()).slice(1), 1, places)
+            word, start, size, kept = lines.sets()
+            got = {int(lines.line[k]): set(lines.hashes[word[s:s + n]].tolist()) for k, s, n in zip(kept, start, size)}
+            taken = [i for i in (range(len(asked)) if places is None else places.tolist()) if want[i]]
+            assert got == {i: set(line_join._hashes(pa.array(want[i])).tolist()) for i in taken}
+    words = ["", *sorted({"".join(pick.choices("ab\0é", k=n)) for n in range(1, 20) for _ in range(50)})]
+    assert len(set(line_join._hashes(pa.array(words)).tolist())) == len(words)
+
+
+def test_rarer_words_are_ordered_by_count(spark):
+    """A word that is one in 150,000 comes before one that is one in 100,000 and after those hardly ever there."""
+    words = ["common"] * 299_994 + ["twice"] * 2 + ["thrice"] * 3 + ["once"]
+    docs = spark.createDataFrame([(1, "\n".join(" ".join(words[i::1000]) for i in range(1000)))], "doc_id long, text string")
+    chunks = line_join.written(docs.mapInArrow(line_join._chunks(0.8, 1), line_join._CHUNK))
+    frequent, most, others = line_join._frequent(chunks)
+    assert frequent.tolist() == line_join._hashes(pa.array(["twice", "thrice", "common"])).tolist()
+    assert (most >= [2, 3, 299_994]).all() and others >= 1
+
+
+def test_links_of_a_bucket_equal_brute_force(monkeypatch):
+    """Sizes and bitmaps sorted as parts of one number, pairs of lines linked before left out."""
+    pick = random.Random(12)
+    base = [" ".join(f"w{pick.randrange(40)}" for _ in range(pick.choice([1, 2, 3, 5, 30, 120]))) for _ in range(60)]
+    texts = [" ".join(w if pick.random() < 0.95 else f"x{pick.randrange(9)}" for w in t.split()) for t in base * 3]
+    for name, value in (("FREQUENT", 64), ("WIDE", 20)):
+        monkeypatch.setattr(line_join, name, value)
+    monkeypatch.setattr(line_join, "chunk_numbers", lambda: iter(range(9)))
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts})
+    chunk = next(line_join._chunks(0.8, 1)(iter([batch])))
+    none = (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
+    rows = pa.Table.from_batches(line_join._postings(np.zeros(0, np.uint64), 1, none, 0.8, 1)(iter([chunk])))
+    links = line_join._candidates(0.8)((0,), rows).to_pylist()
+    family = {link["a"] & 0xFFFFFF: link["b"] & 0xFFFFFF for link in links}
+    sets = [set(t.split()) for t in texts]
+    twins = set(line_join.unpack(chunk.column("twins")[0].as_py()).tolist())
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if {i, j}.isdisjoint(twins) and len(a & sets[j]) >= 0.8 * len(a | sets[j]) - 1e-9:
+                assert family.get(i, i) == family.get(j, j)

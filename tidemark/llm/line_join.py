@@ -35,13 +35,17 @@ CHUNK, BUCKET, FAMILY = 1_000_000, 400_000, 20_000
 #: are hot, and their postings meet in pairs of blocks of half a bucket.
 NAMED = 8
 #: A word is frequent if it is one in so many at least; there are no more frequent words than that.
-FREQUENT = 1 << 16
+FREQUENT = 1 << 18
 #: Rows of families that a task holds at once.
 ROWS = 150_000
 #: A line's number: that of its chunk, then its place there.
 PLACES = 24
 #: Words beyond which a line's bitmap has 256 bits, not 64.
 WIDE = 80
+#: Words hashed at once.
+PIECE = 1 << 15
+#: Masks that leave the first 0 to 8 bytes of a number.
+_EIGHTS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 _CHUNK = "chunk long, body binary, twins binary, words binary, counts binary, tokens long, postings long"
 _POSTINGS = "bucket long, side int, chunk long, word binary, line binary, size binary, place binary, bitmap binary, wide binary"
@@ -62,20 +66,38 @@ def _core(size: np.ndarray, place: np.ndarray, t: float) -> np.ndarray:
     return size - place >= _overlap(size, size, t)
 
 
-def _hashes(words: pa.StringArray) -> np.ndarray:
-    """A 64-bit hash of each word: its bytes as digits in an odd base, mixed, over all words at once."""
-    if not len(words):
-        return np.zeros(0, np.uint64)
-    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset:words.offset + len(words) + 1].astype(np.int64)
-    data = np.frombuffer(words.buffers()[2], np.uint8)[ends[0]:ends[-1]].astype(np.uint64) + np.uint64(1)
-    ends -= ends[0]
-    size = np.diff(ends)
-    base = np.full(int(size.max()), 0x9E3779B97F4A7C15, np.uint64)
-    power = np.cumprod(base)
-    mixed = np.add.reduceat(data * power[np.arange(len(data)) - np.repeat(ends[:-1], size)], ends[:-1])
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
-    return mixed ^ (mixed >> np.uint64(31))
+def _text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of an array of texts, and where each text starts; last, where all end."""
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    ends = np.frombuffer(column.buffers()[1] or bytes(8), kind)[column.offset:column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0]:ends[-1]]
+    return data, ends - ends[0]
+
+
+def _hashes(words: pa.Array, starts: np.ndarray | None = None, ends: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of each word, A-Z lower-cased: its bytes by eight as numbers, mixed, over all words at
+    once. Words lie from ``starts`` to ``ends``; if these are not given, each text is a word."""
+    data, bounds = _text_bytes(words)
+    starts, ends = (bounds[:-1], bounds[1:]) if starts is None else (starts, ends)
+    lower = np.zeros((len(data) // 8 + 2) * 8, np.uint8)
+    lower[:len(data)] = data + ((data - np.uint8(65) < 26).view(np.uint8) << np.uint8(5))
+    digits, sizes = lower.view("<u8"), ends - starts
+    found = sizes.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
+    for first in range(0, len(starts), PIECE):
+        piece, start, left = (v[first:first + PIECE] for v in (found, starts, sizes))
+        at = slice(None)
+        while len(start):
+            place, shift = start >> 3, (start & 7).astype(np.uint64) << np.uint64(3)
+            eight = (digits[place] >> shift) | (digits[place + 1] << np.uint64(1) << (np.uint64(63) - shift))
+            mixed = (piece[at] ^ (eight & _EIGHTS[np.minimum(left, 8)])) * np.uint64(0x9E3779B97F4A7C15)
+            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
+            piece[at] = mixed ^ (mixed >> np.uint64(31))
+            # Words of more bytes go on with the next eight.
+            more = np.flatnonzero(left > 8)
+            at = more if isinstance(at, slice) else at[more]
+            start, left = start[more] + 8, left[more] - 8
+    return found
 
 
 class _Lines:
@@ -84,45 +106,60 @@ class _Lines:
     def __init__(self, column: pa.Array, least: int, only: np.ndarray | None = None):
         """``column``: texts, null without lines. ``only``: places of lines to look at, ascending."""
         self.least = least
-        split = pc.split_pattern(pc.ascii_lower(column), "\n")
-        doc = np.repeat(np.arange(len(column)), pc.fill_null(pc.list_value_length(split), 0).to_numpy())
-        lines, number = split.flatten(), np.arange(len(doc))
-        if only is not None:
-            lines, number = lines.take(pa.array(only)), np.asarray(only)
-        words = pc.ascii_split_whitespace(lines)
-        count, words = pc.list_value_length(words).to_numpy(), words.flatten()
-        there = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
-        if not there.all():
-            count = np.bincount(np.repeat(np.arange(len(lines)), count)[there], minlength=len(lines))
-            words = words.filter(pa.array(there))
+        there = column.is_valid().to_numpy(zero_copy_only=False)
+        column = column.fill_null("") if column.null_count else column
+        data, ends = _text_bytes(column)
+        feeds = np.flatnonzero(data == 10)
+        # A line starts where its text does or after a line feed; of lines with one start the last has the words.
+        lines = np.sort(np.r_[ends[:-1][there], feeds + 1], kind="stable")
+        doc = np.repeat(np.arange(len(column)), np.where(there, np.diff(np.searchsorted(feeds, ends)) + 1, 0))
+        letter = np.zeros(len(data) + 1, bool)
+        letter[:-1] = (data != 32) & (data - np.uint8(9) > 4)
+        starts, stops = letter[:-1].copy(), letter[:-1].copy()
+        starts[1:] &= ~letter[:-2]
+        stops &= ~letter[1:]
+        # Words do not go on in the next text.
+        bounds = ends[:-1][np.diff(ends) > 0]
+        starts[bounds] = letter[bounds]
+        stops[bounds[1:] - 1] = letter[bounds[1:] - 1]
+        starts, stops = np.flatnonzero(starts), np.flatnonzero(stops) + 1
+        cuts = np.r_[np.searchsorted(starts, lines), len(starts)]
+        count = np.diff(cuts)
         enough = count >= least
-        if least > 1:
-            words = words.filter(pa.array(np.repeat(enough, count)))
+        if only is not None:
+            enough &= np.bincount(only, minlength=len(lines)) > 0
         taking = np.flatnonzero(enough)
+        if least > 1 or only is not None:
+            asked = np.repeat(enough, count)
+            starts, stops = starts[asked], stops[asked]
+        hashes = _hashes(column, starts, stops)
         self.owner = np.repeat(np.arange(len(taking)), count[taking])
-        coded = words.dictionary_encode()
+        coded = pa.array(hashes).dictionary_encode()
         self.words = coded.indices.to_numpy().astype(np.int64)
-        self.hashes = _hashes(coded.dictionary)
+        self.hashes = coded.dictionary.to_numpy()
         self.counts = np.bincount(self.words, minlength=len(self.hashes))
-        self.line = number[taking]
-        self.doc = doc[self.line]
+        self.line = taking
+        self.doc = doc[taking]
 
-    def sets(self, priority: np.ndarray, asked: np.ndarray | None = None):
+    def sets(self, priority: np.ndarray | None = None, asked: np.ndarray | None = None):
         """(word, start, size) of the lines' sets in ascending priority; lines of few words are left out.
 
-        Also which lines those are. Priorities of different words must differ. ``asked``: a flag for each
-        line; the others are left out too.
+        Also which lines those are. Priorities of different words must differ; without them, words come in
+        any order. ``asked``: a flag for each line; the others are left out too.
         """
         owner, words = self.owner, self.words
         if asked is not None:
             at = np.flatnonzero(asked[owner])
             owner, words = owner[at], words[at]
-        order = np.argsort(priority)
-        dense = np.empty(len(order), np.int64)
-        dense[order] = np.arange(len(order))
-        keys = np.sort(owner << 32 | dense[words])
+        if priority is not None:
+            order = np.argsort(priority)
+            dense = np.empty(len(order), np.int64)
+            dense[order] = np.arange(len(order))
+            words = dense[words]
+        keys = np.sort(owner << 32 | words)
         keys = keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
-        owner, word = keys >> 32, order[keys & 0xFFFFFFFF]
+        owner, word = keys >> 32, keys & 0xFFFFFFFF
+        word = word if priority is None else order[word]
         size = np.bincount(owner, minlength=len(self.line))
         enough = size >= (self.least if asked is None else max(1, self.least))
         word, kept = word[enough[owner]], np.flatnonzero(enough)
@@ -131,14 +168,18 @@ class _Lines:
 
 
 def _set_hashes(hashes: np.ndarray, word: np.ndarray, start: np.ndarray) -> np.ndarray:
-    mixed = hashes[word] * np.uint64(0x9E3779B97F4A7C15)
-    return np.add.reduceat(mixed ^ (mixed >> np.uint64(31)), start) if len(start) else np.zeros(0, np.uint64)
+    mixed = hashes * np.uint64(0x9E3779B97F4A7C15)
+    return np.add.reduceat((mixed ^ (mixed >> np.uint64(31)))[word], start) if len(start) else np.zeros(0, np.uint64)
+
+
+def _bits(hashes: np.ndarray) -> np.ndarray:
+    return np.uint64(1) << (hashes & np.uint64(63))
 
 
 def _bitmaps(hashes: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Of each set the parities of its words in 256 bits, as four numbers; those xor-ed are its parities in
     64. Bits that differ are at most as many as words that only one of two sets has."""
-    bit, part = np.uint64(1) << (hashes & np.uint64(63)), (hashes >> np.uint64(6)) & np.uint64(3)
+    bit, part = _bits(hashes), (hashes >> np.uint64(6)) & np.uint64(3)
     if not len(start):
         return np.zeros((0, 4), np.uint64)
     return np.stack([np.bitwise_xor.reduceat(np.where(part == np.uint64(i), bit, np.uint64(0)), start) for i in range(4)], 1)
@@ -178,7 +219,7 @@ def _chunks(t: float, least: int):
     def row(batches: list[pa.RecordBatch], name: int) -> pa.RecordBatch:
         table = pa.Table.from_batches(batches).combine_chunks()
         lines = _Lines(_texts(table), least)
-        word, start, size, kept = lines.sets(lines.hashes)
+        word, start, size, kept = lines.sets()
         # Of equal sets in this chunk the first in order stays; the others are its twins.
         sets = _set_hashes(lines.hashes, word, start)
         order = np.lexsort((lines.line[kept], _order(table)[lines.doc[kept]], sets))
@@ -234,7 +275,7 @@ def _may_hold(lines: _Lines, last: np.ndarray, t: float) -> np.ndarray:
     its other words set as many of 64 bits as its prefix has words, since different words are no fewer."""
     if not len(lines.owner):
         return np.zeros(len(lines.line), bool)
-    bit = np.where(last, np.uint64(0), np.uint64(1) << (lines.hashes & np.uint64(63)))
+    bit = np.where(last, np.uint64(0), _bits(lines.hashes))
     tokens = np.bincount(lines.owner, minlength=len(lines.line))
     there = np.flatnonzero(tokens)
     found = np.zeros(len(tokens), bool)
@@ -292,10 +333,14 @@ def _priority(hashes: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """Words that are not frequent come first, by hash; then the frequent ones, rarest first."""
     if not len(frequent):
         return hashes >> np.uint64(1)
-    order = np.argsort(frequent)
-    at = np.minimum(np.searchsorted(frequent[order], hashes), len(frequent) - 1)
-    hit = frequent[order][at] == hashes
-    return np.where(hit, np.uint64(1 << 63) + order[at].astype(np.uint64), hashes >> np.uint64(1))
+    if not len(hashes):
+        return hashes
+    order = np.argsort(hashes)
+    at = order[np.minimum(np.searchsorted(hashes[order], frequent), len(hashes) - 1)]
+    hit = np.flatnonzero(hashes[at] == frequent)
+    found = hashes >> np.uint64(1)
+    found[at[hit]] = np.uint64(1 << 63) + hit.astype(np.uint64)
+    return found
 
 
 def _postings(frequent: np.ndarray, buckets: int, hot: tuple[np.ndarray, ...], t: float, least: int):
@@ -310,9 +355,10 @@ def _postings(frequent: np.ndarray, buckets: int, hot: tuple[np.ndarray, ...], t
                 if not len(size):
                     continue
                 first = ~np.isin(lines.line[kept], unpack(twins))
-                bitmaps = _bitmaps(lines.hashes[word], start)
-                short = size <= WIDE
-                bitmaps[short, 0], bitmaps[short, 1:] = _folded(bitmaps[short]), 0
+                wide = np.flatnonzero(size > WIDE)
+                bitmaps = np.zeros((len(size), 4), np.uint64)
+                bitmaps[:, 0] = np.bitwise_xor.reduceat(_bits(lines.hashes)[word], start)
+                bitmaps[wide] = _bitmaps(lines.hashes[word[np.repeat(size > WIDE, size)]], np.cumsum(size[wide]) - size[wide])
                 count = np.where(first, _prefix(size, t), 0)
                 owner = np.repeat(np.arange(len(size)), count)
                 place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
@@ -324,7 +370,7 @@ def _postings(frequent: np.ndarray, buckets: int, hot: tuple[np.ndarray, ...], t
                 def row(bucket, side, at):
                     who = owner[at]
                     return (bucket, side, chunk, pack(key[at], True), pack(names[who].astype(np.uint32)), pack(least_type(size[who])),
-                            pack(least_type(place[at])), pack(bitmaps[who, 0]), pack(bitmaps[who[~short[who]], 1:].ravel()))
+                            pack(least_type(place[at])), pack(bitmaps[who, 0]), pack(bitmaps[who[size[who] > WIDE], 1:].ravel()))
 
                 heated = np.isin(key, hot_words)
                 rest = np.flatnonzero(~heated)
@@ -389,7 +435,15 @@ def _candidates(t: float):
         bitmaps[:, 0] = np.concatenate(parts["bitmap"])
         bitmaps[size > WIDE, 1:] = np.concatenate(parts["wide"]).reshape(-1, 3)
         folded = _folded(bitmaps)
-        order = np.lexsort((folded, size, word))
+        # By word, then size, then as many bits of the bitmap as a number has room for beside these.
+        order = np.argsort(word)
+        group = np.cumsum(np.r_[False, word[order][1:] != word[order][:-1]]).astype(np.uint64)
+        sizes = int(size.max()).bit_length()
+        room = 64 - int(group[-1]).bit_length() - sizes
+        some = folded[order] >> np.uint64(64 - room)
+        key = (group << np.uint64(sizes) | size[order].astype(np.uint64)) << np.uint64(room) | some
+        at = np.argsort(key)
+        order, some = order[at], some[at]
         line, side, word, size, place, bitmaps, folded = line[order], side[order], word[order], size[order], place[order], bitmaps[order], folded[order]
         names, node = np.unique(line, return_inverse=True)
         parent = np.arange(len(names))
@@ -400,11 +454,11 @@ def _candidates(t: float):
         total = np.arange(2 * int(size.max()) + 1)
         least_of = _overlap(total, 0, t)
         spare_of = (total - 2 * least_of).astype(np.int32)
-        # Sets that only an equal one can match meet those of equal bitmaps, which stand together.
-        same = np.flatnonzero(np.r_[(word[1:] != word[:-1]) | (size[1:] != size[:-1]) | (folded[1:] != folded[:-1]), True]) + 1
+        # Sets that only an equal one can match meet those of equal bits, which stand together.
+        same = np.flatnonzero(np.r_[(word[1:] != word[:-1]) | (size[1:] != size[:-1]) | (some[1:] != some[:-1]), True]) + 1
         alone = (np.floor(size / t + 1e-9) == size) & (spare_of[2 * size] == 0)
         last[alone] = same[np.searchsorted(same, np.flatnonzero(alone), "right")]
-        a, step = np.flatnonzero(last - np.arange(len(line)) > 1), 1
+        a, step, root = np.flatnonzero(last - np.arange(len(line)) > 1), 1, node
         while len(a):
             b = a + step
             near = np.flatnonzero(np.bitwise_count(folded[a] ^ folded[b]) <= spare_of[size[a] + size[b]])
@@ -412,7 +466,7 @@ def _candidates(t: float):
             both = size[x] + size[y]
             # A pair is found at its first shared word, before which nothing is shared.
             most = np.minimum(size[x] - place[x], size[y] - place[y])
-            passed = (node[x] != node[y]) & (most >= least_of[both]) & ((side[x] != side[y]) | (side[x] == 0))
+            passed = (root[x] != root[y]) & (most >= least_of[both]) & ((side[x] != side[y]) | (side[x] == 0))
             wide = np.flatnonzero(passed & (size[x] > WIDE) & (size[y] > WIDE))
             passed[wide[_differing(bitmaps, x[wide], y[wide]) > spare_of[both[wide]]]] = False
             _unite(parent, node[x[passed]], node[y[passed]])
@@ -420,7 +474,8 @@ def _candidates(t: float):
             a = a[a + step < last[a]]
             if step & (step - 1) == 0:
                 # Of lines whose whole range is linked to them already, nothing is left to find.
-                root = _roots(parent, node)
+                parent = _roots(parent, np.arange(len(names)))
+                root = parent[node]
                 runs = np.flatnonzero(np.r_[(root[1:] != root[:-1]), True]) + 1
                 a = a[runs[np.searchsorted(runs, a, "right")] < last[a]]
         root = _roots(parent, np.arange(len(names)))
@@ -444,7 +499,7 @@ def _sets(least: int):
         order = np.argsort(places)
         places, families = np.array(places)[order], np.array(families)[order]
         lines = _Lines(_texts(table), least, places)
-        word, start, size, kept = lines.sets(lines.hashes)
+        word, start, size, kept = lines.sets()
         at = np.searchsorted(places, lines.line[kept])
         ids = _order(table)[lines.doc[kept]]
         words = [lines.hashes[word[s:s + n]].tobytes() for s, n in zip(start.tolist(), size.tolist())]

@@ -11,7 +11,7 @@ def pack(values: np.ndarray, ascending: bool = False) -> bytes:
     kind = np.dtype(values.dtype).str.encode()
     if ascending and len(values):
         values = np.r_[values[:1], np.diff(values)]
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes() if len(values) else b""
+    planes = np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T).tobytes() if len(values) else b""
     return bytes([len(kind), ascending]) + kind + zstandard.ZstdCompressor(level=1).compress(planes)
 
 
